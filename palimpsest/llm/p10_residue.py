@@ -12,7 +12,6 @@ Null and empty texts are never found; a null host is one host of its own.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +39,8 @@ LOREM = frozenset(
     "vel purus".split())
 LOREM_MARKS = frozenset("lorem ipsum dolor amet consectetur consectetuer adipiscing eiusmod incididunt aliqua vestibulum dolore labore tempor".split())
 MASH = re.compile(r"(?:asdf|qwer|zxcv|hjkl|jkl|uiop|qwertz?y?|foo|bar|baz|bla+h?|test|abc|xyz|x{3,}|z{3,}|a{3,}|\d+)+", re.I)
+LOREM_HINTS = ("lorem", "ipsum", "dolor", "consectetur", "adipiscing", "eiusmod", "vestibulum")
+MASH_HINT = re.compile(r"asdf|qwer|zxcv|hjkl|jkl|uiop|foo|bar|bla|test|abc|xyz|xxx|zzz|aaa")
 # How servers report a failure, in some languages.
 ERROR = re.compile(
     r"(?:(?:error|erreur|fehler|errore|erro|błąd|ошибка|http)[\s/:.-]*(?:\d\.\d\s+)?)?[45]\d\d\s*(?:[:–—-]\s*)?"
@@ -62,7 +63,7 @@ NOTICE = re.compile(
     r"habilit|włącz|включите|aktivieren|this (?:site|page|app|website|application|content) (?:requires|needs|uses|works)|"
     r"(?:javascript|scripts?|cookies?) (?:is|are|must be|has been|have been) (?:required|disabled|needed|turned off|not|enabled)|we(?:'re| are) sorry|checking (?:if|your)|"
     r"(?:we|this site) use cookies|noscript|diese seite|cette page|esta página", re.I)
-REPEAT = re.compile(r"(?P<s>[^.!?\n]{4,80}[.!?])(?:\s+(?P=s)){3,}")
+REPEATS = 4
 QUOTED = re.compile(r"\"[^\"\n]{0,120}\"|“[^”\n]{0,120}”|«[^»\n]{0,120}»|„[^“”\n]{0,120}[“”]|`[^`\n]{0,120}`")
 TALK = re.compile(r"\b(?:template language|the format|the notation|the syntax|the string|the words?|the phrase|stands? for|is written|writes|wrote|means|called|where the value)\b", re.I)
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|$)|$|[.!?])+", re.M)
@@ -87,19 +88,25 @@ def evidence(line: str) -> str | None:
         for s in re.split(r"(?<=[.!?])\s+", own):
             if SCRIPTS.search(s) and NOTICE.match(s.strip()):
                 return "scripts"
-    w = WORD.findall(own.lower())
+    low = own.lower()
+    lorem, mash = any(x in low for x in LOREM_HINTS), MASH_HINT.search(low)
+    w = WORD.findall(low) if lorem or mash else []
     if len(w) >= 4:
-        c = Counter(w)
-        if sum(n for x, n in c.items() if x in LOREM_MARKS) >= 3 and sum(n for x, n in c.items() if x in LOREM) >= 0.5 * len(w):
+        if lorem and sum(x in LOREM_MARKS for x in w) >= 3 and sum(x in LOREM for x in w) >= 0.5 * len(w):
             return "filler"
-        if sum(n for x, n in c.items() if MASH.fullmatch(x)) >= 0.6 * len(w):
+        if mash and sum(bool(MASH.fullmatch(x)) for x in w) >= 0.6 * len(w):
             return "filler"
-    for s in SENTENCE.findall(own) if "orem ipsum" in own or "orem Ipsum" in own else ():
+    for s in SENTENCE.findall(own) if "lorem ipsum" in low else ():
         x = WORD.findall(s.lower())
         if len(x) >= 5 and sum(t in LOREM for t in x) >= 0.6 * len(x):
             return "filler"
-    if REPEAT.search(own):
-        return "filler"
+    if own.count(".") + own.count("!") + own.count("?") >= REPEATS:
+        run, last = 0, None
+        for s in re.split(r"[.!?]\s*", own):
+            run = run + 1 if s == last and len(s) >= 4 else 1
+            if run >= REPEATS:
+                return "filler"
+            last = s
     return None
 
 
