@@ -34,7 +34,7 @@ MEAN_CHUNK = 6
 FINE = 64
 SIMILARITY = 0.7
 MIN_COVER = 0.2
-CHUNKS = "cls binary, chunk bigint, size int, total int, fine boolean, grams binary"
+CHUNKS = "cls bigint, chunk bigint, size int, total int"  # size -1: a single run of a short text
 
 
 def chunk_hashes(g: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, np.ndarray]:
@@ -54,60 +54,75 @@ def chunk_hashes(g: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, np.
 def _chunks(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     memo: dict[str, int] = {}
     for b in batches:
-        rows = []
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+
+        def put(cls: int, chunk: np.ndarray, size: np.ndarray, total: int, cols=cols) -> None:
+            for c, x in zip(cols, (np.full(len(chunk), cls), chunk, size, np.full(len(chunk), total))):
+                c.append(x)
+
         for cls, text in zip(b["cls"], b["_t"]):
             toks = tokens(text)
             g = gram_hashes(token_ids(toks, memo), GRAM)
             if not len(g):
                 continue
-            grams = np.unique(g)
-            body = grams.tobytes()
             if len(toks) <= FINE / similarity:
-                rows.append(pd.DataFrame({"cls": cls, "chunk": grams, "size": 1, "total": len(grams), "fine": True, "grams": None}))
+                grams = np.unique(g)
+                put(cls, grams, np.full(len(grams), -1), len(grams))
             if len(toks) > FINE:
                 h, size = chunk_hashes(g)
                 h, first = np.unique(h, return_index=True)
-                rows.append(pd.DataFrame({"cls": cls, "chunk": h, "size": size[first], "total": size[first].sum(), "fine": False, "grams": None}))
-            rows.append(pd.DataFrame({"cls": [cls], "chunk": [0], "size": [-1], "total": [len(grams)], "fine": [False], "grams": [body]}))
-        if rows:
-            yield pd.concat(rows, ignore_index=True)
+                put(cls, h, size[first], int(size[first].sum()))
+        if cols[0]:
+            yield pd.DataFrame(dict(zip(("cls", "chunk", "size", "total"), map(np.concatenate, cols))))
 
 
 def chunk_table(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """texts(cls, _t) -> the rows of the chunk table; the row of size -1 keeps a record's run hashes."""
+    """texts(cls, _t) -> the rows of the chunk table."""
     return spread(texts).mapInPandas(lambda it: _chunks(it, similarity), CHUNKS)
 
 
+def _run_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, int] = {}
+    for b in batches:
+        yield pd.DataFrame({"cls": b["cls"], "runs": [np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM)).tobytes() for t in b["_t"]]})
+
+
 def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = []
-        for x, y in zip(b["ga"], b["gb"]):
+        for x, y in zip(b["ra"], b["rb"]):
             x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             n = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
         yield b.loc[keep, ["ca", "cb"]]
 
 
-def similar_classes(chunks: DataFrame, old: DataFrame, new: DataFrame, similarity: float = SIMILARITY, min_cover: float = MIN_COVER) -> DataFrame:
-    """(ca, cb), ca <> cb: classes of `old` and `new` (each: cls) whose sets of runs are that similar."""
-    c = chunks.where("size > 0")
-    df = c.groupBy("fine", "chunk").agg(F.count("*").alias("df"))
-    lonely = df.where("df > 1")
-    c = c.join(lonely, ["fine", "chunk"])  # chunks of one record can join nothing
+def candidate_classes(chunks: DataFrame, old: DataFrame, new: DataFrame, similarity: float = SIMILARITY, min_cover: float = MIN_COVER) -> DataFrame:
+    """(ca, cb), distinct, ca <> cb: classes of `old` and `new` (each: cls) that share one of their rare chunks."""
+    fine = F.col("size") < 0
+    df = chunks.groupBy("chunk").agg(F.count("*").alias("df")).where("df > 1")
+    c = chunks.join(df, "chunk")  # chunks of one record can join nothing
     # rarest first; what cannot be met any more counts too, as it comes first of all
-    held = c.groupBy("cls", "fine").agg(F.sum("size").alias("held"))
-    w = Window.partitionBy("cls", "fine").orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.join(held, ["cls", "fine"]).withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)) + F.col("total") - F.col("held"))
+    c = c.select("cls", "chunk", F.abs("size").alias("size"), "total", "df", fine.alias("fine"))
+    of = Window.partitionBy("cls", "fine")
+    held = F.sum("size").over(of)
+    before = F.coalesce(F.sum("size").over(of.orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("total") - held
     share = F.when(F.col("fine"), F.lit(1 - similarity)).otherwise(F.lit(1 - min_cover))
-    c = c.where(F.col("before") <= share * F.col("total") + 1e-6).select("cls", "fine", "chunk", "total")
+    c = c.withColumn("before", before).where(F.col("before") <= share * F.col("total") + 1e-6).select("cls", "fine", "chunk", "total")
     a = c.join(old, "cls", "left_semi").select(F.col("cls").alias("ca"), "fine", "chunk", F.col("total").alias("ta"))
     b = c.join(new, "cls", "left_semi").select(F.col("cls").alias("cb"), "fine", "chunk", F.col("total").alias("tb"))
-    near: Column = F.when(F.col("fine"), F.least("ta", "tb") >= similarity * F.greatest("ta", "tb") - 1e-6).otherwise(F.least("ta", "tb") >= 0.5 * similarity * F.greatest("ta", "tb"))
-    pairs = a.join(b, ["fine", "chunk"]).where((F.col("ca") != F.col("cb")) & near).select("ca", "cb").distinct()
-    grams = chunks.where("size = -1").select("cls", "grams")
-    return (pairs.join(grams.select(F.col("cls").alias("ca"), F.col("grams").alias("ga")), "ca")
-            .join(grams.select(F.col("cls").alias("cb"), F.col("grams").alias("gb")), "cb")
-            .mapInPandas(lambda it: _jaccard(it, similarity), "ca binary, cb binary"))
+    near: Column = F.least("ta", "tb") >= F.when(F.col("fine"), F.lit(similarity)).otherwise(F.lit(0.5 * similarity)) * F.greatest("ta", "tb") - 1e-6
+    return a.join(b, ["fine", "chunk"]).where((F.col("ca") != F.col("cb")) & near).select("ca", "cb").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (ca, cb) whose sets of five-token runs are that similar. texts(cls, _t) is read for their classes only."""
+    pairs = materialize(pairs)
+    need = pairs.select(F.col("ca").alias("cls")).unionByName(pairs.select(F.col("cb").alias("cls"))).distinct()
+    runs = materialize(texts.join(need, "cls", "left_semi").mapInPandas(_run_sets, "cls bigint, runs binary"))
+    return (pairs.join(runs.select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
+            .join(runs.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb")
+            .mapInPandas(lambda it: _jaccard(it, similarity), "ca bigint, cb bigint"))
 
 
 def _expand(pairs: DataFrame, old: DataFrame, new: DataFrame, ident: str, block: int = 20_000) -> DataFrame:
@@ -131,17 +146,19 @@ def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", simi
 
     records: ident, doc_id, text, batch_no; accepted: doc_id. Rows with null batch_no stand nowhere.
     """
-    r = records.select(F.col(ident), "doc_id", F.col("text").alias("_t"), "batch_no").where(present("_t") & F.col("batch_no").isNotNull())
-    r = r.withColumn("cls", F.unhex(F.md5("_t")))
-    rows = materialize(r.join(accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True)), "doc_id", "left")
-                       .select("cls", ident, "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
+    r = records.select(F.col(ident), "doc_id", F.col("text").alias("_t"), "batch_no").where(present("_t") & F.col("batch_no").isNotNull()).withColumn("cls", F.xxhash64("_t"))
+    known = accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True))
+    rows = materialize(r.select("cls", ident, "batch_no", "doc_id").join(known, "doc_id", "left").select("cls", ident, "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
     old, new = rows.where("ok"), rows
-    texts = r.groupBy("cls").agg(F.first("_t").alias("_t"))
+    chosen = rows.groupBy("cls").agg(F.min(ident).alias(ident))
+    texts = r.select(ident, "cls", "_t").join(chosen.select(ident), ident, "left_semi").select("cls", "_t")
     chunks = materialize(chunk_table(texts, similarity))
     first, last = old.groupBy("cls").agg(F.min("batch_no").alias("x")), new.groupBy("cls").agg(F.max("batch_no").alias("y"))
-    pairs = similar_classes(chunks, first.select("cls"), last.where("y > 0").select("cls"), similarity)
+    pairs = candidate_classes(chunks, first.select("cls"), last.select("cls"), similarity)
+    # only pairs in which some row of b is later than some accepted row of a
+    pairs = pairs.join(first.select(F.col("cls").alias("ca"), "x"), "ca").join(last.select(F.col("cls").alias("cb"), "y"), "cb").where("x < y").select("ca", "cb")
     same = first.join(last, "cls").where("x < y").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-    return _expand(pairs.unionByName(same), old, new, ident)
+    return _expand(confirmed(pairs, texts, similarity).unionByName(same), old, new, ident)
 
 
 class History:
@@ -162,27 +179,30 @@ class History:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _tables(self) -> tuple[DataFrame, DataFrame]:
-        return self._read("chunks", CHUNKS), self._read("rows", f"cls binary, {self.ident} bigint, batch_no int")
+    def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self._read("chunks", CHUNKS), self._read("texts", "cls bigint, _t string"), self._read("rows", f"cls bigint, {self.ident} bigint, batch_no int")
 
     def _rows(self, batch: DataFrame) -> DataFrame:
-        return batch.where(present("text")).select(F.unhex(F.md5("text")).alias("cls"), self.ident, "batch_no", F.col("text").alias("_t"))
+        return batch.where(present("text")).select(F.xxhash64("text").alias("cls"), F.col(self.ident).cast("bigint").alias(self.ident), F.col("batch_no").cast("int").alias("batch_no"), F.col("text").alias("_t"))
 
     def check(self, batch: DataFrame) -> DataFrame:
-        chunks, rows = self._tables()
+        """(ident_a, ident_b): accepted rows of earlier batches that rows of this one repeat. Only chunks and the texts of candidates are read."""
+        chunks, texts, rows = self._tables()
         new = materialize(self._rows(batch))
-        own = chunk_table(new.groupBy("cls").agg(F.first("_t").alias("_t")).join(chunks.select("cls").distinct(), "cls", "left_anti"), self.similarity)
-        both = chunks.unionByName(materialize(own))
-        pairs = similar_classes(both, rows.select("cls").distinct(), new.select("cls").distinct(), self.similarity)
+        fresh = new.groupBy("cls").agg(F.first("_t").alias("_t")).join(texts.select("cls"), "cls", "left_anti")
+        own = materialize(chunk_table(fresh, self.similarity))
+        pairs = candidate_classes(chunks.unionByName(own), rows.select("cls").distinct(), new.select("cls").distinct(), self.similarity)
+        found = confirmed(pairs, texts.unionByName(fresh.select("cls", "_t")), self.similarity)
         same = new.select("cls").distinct().join(rows.select("cls").distinct(), "cls").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-        return _expand(pairs.unionByName(same), rows, new.drop("_t"), self.ident)
+        return _expand(found.unionByName(same), rows, new.drop("_t"), self.ident)
 
     def append(self, accepted: DataFrame) -> None:
-        chunks, rows = self._tables()
+        chunks, texts, rows = self._tables()
         new = materialize(self._rows(accepted).join(rows.select(self.ident), self.ident, "left_anti"))
-        texts = new.groupBy("cls").agg(F.first("_t").alias("_t")).join(chunks.select("cls").distinct(), "cls", "left_anti")
-        materialize(chunk_table(texts, self.similarity)).write.mode("append").parquet(f"{self.path}/chunks")
-        new.drop("_t").select("cls", F.col(self.ident).cast("bigint"), F.col("batch_no").cast("int")).write.mode("append").parquet(f"{self.path}/rows")
+        fresh = materialize(new.groupBy("cls").agg(F.first("_t").alias("_t")).join(texts.select("cls"), "cls", "left_anti"))
+        chunk_table(fresh, self.similarity).write.mode("append").parquet(f"{self.path}/chunks")
+        fresh.write.mode("append").parquet(f"{self.path}/texts")
+        new.drop("_t").write.mode("append").parquet(f"{self.path}/rows")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
