@@ -72,7 +72,7 @@ OTHER: list[tuple[re.Pattern[str], str]] = [
     (COMMENT, ""),
     (re.compile(r"\{\|.*?^\|\}", re.S | re.M), ""),
     (re.compile(r"<(?P<t>ref)\b[^>]*?(?:/>|>.*?</(?P=t)\s*>)", X), ""),
-    (re.compile(r"<br\s*/?>\n?|</p\s*>\n?", re.I), "\n"),
+    (re.compile(r"<br\s*/?>\n?|</(?:[a-z]+:)?p\s*>\n?", re.I), "\n"),
     (re.compile(r"</?[A-Za-z][\w:.-]*(?:\s+[^<>]*)?/?>"), ""),
     (re.compile(r"\{\{(?:[^{}\n|]+\|[^{}]*|[a-z][\w-]*)\}\}"), ""),
     (re.compile(r"\[\[(?:Category|File|Image|Datei|Kategorie|Catégorie):[^\]\n]*\]\]", re.I), ""),
@@ -97,11 +97,12 @@ OTHER: list[tuple[re.Pattern[str], str]] = [
 COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{(?P<b>[^{}\n]*)\}")
 ANY = re.compile(r"[<>\\$*_#=~`'\[{&|+•-]|^\s*\d+[.)]\s", re.M)
 HOLE = "\ue000{}\ue001"
+MARK = "\ue002"
 HOLES = re.compile("\ue000(\\d+)\ue001")
 
 
 def _entities(m: re.Match) -> str:
-    return html.unescape(m[0])
+    return html.unescape(m[0]).replace("\xa0", " ")
 
 
 def convert(text: str | None) -> tuple[set[str], str | None]:
@@ -141,7 +142,7 @@ def convert(text: str | None) -> tuple[set[str], str | None]:
     def items(m: re.Match) -> str:
         found.add("list")
         kept.append("\n".join("- " + x for s in m[0].split("\n") if (x := plain(re.sub(r"^\s*(?:[-*+•#]+|\d+[.)])\s+", "", s)))))
-        return HOLE.format(len(kept) - 1) + "\n"
+        return HOLE.format(len(kept) - 1) + m[0][len(m[0].rstrip("\n")):]
 
     t = BULLETS.sub(items, t)
     t = HASHES.sub(items, t)
@@ -153,10 +154,9 @@ def convert(text: str | None) -> tuple[set[str], str | None]:
     if n:
         found.add("other")
     for p in HEADING:
-        t, n = p.subn(lambda m: "\n# " + m["b"].strip() + "\n", t)
+        t, n = p.subn(lambda m: f"\n{MARK} " + m["b"].strip() + "\n", t)
         if n:
             found.add("heading")
-    # hash marks written here are not read again: headings are last of the blocks
     for p, form in OTHER:
         t, n = p.subn(_entities if form == "&" else form, t)
         if n:
@@ -169,7 +169,7 @@ def convert(text: str | None) -> tuple[set[str], str | None]:
             t = re.sub(r"(?<=\S)~(?=\S)", " ", t)
         while HOLES.search(t):
             t = HOLES.sub(lambda m: kept[int(m[1])], t)
-        t = re.sub(r"[ \t]+\n", "\n", t)
+        t = re.sub(r"[ \t]+\n", "\n", t.replace(MARK, "#"))
         t = re.sub(r"\n{3,}", "\n\n", t).strip()
     else:
         t = text
