@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pairs_of_classes, present, spread, table
+from .common import materialize, pairs_of_classes, present, spread, table
 
 # Letters that share a shape with a Latin letter.
 LOOK_ALIKES = {
@@ -111,8 +111,8 @@ def normalize_text(df: DataFrame, text: str = "text", out: str = "canonical_text
 def same_look(df: DataFrame, ident: str = "raw_id", text: str = "text") -> DataFrame:
     """Pairs of rows whose canonical forms are equal and whose texts are not. Only hashes are shuffled."""
     d = df.select(F.col(ident).alias("_i"), F.col(text).alias("_t")).where(present("_t"))
-    h = normalize_text(d, "_t", "_c").select(
-        "_i", F.unhex(F.sha2("_c", 256)).alias("look"), F.unhex(F.sha2("_t", 256)).alias("cls"))
+    h = materialize(normalize_text(d, "_t", "_c").select(
+        "_i", F.unhex(F.md5("_c")).alias("look"), F.unhex(F.md5("_t")).alias("cls")))
     forms = h.select("look", "cls").distinct()
     many = forms.groupBy("look").count().where("count > 1").select("look")
     forms = forms.join(many, "look")
