@@ -215,39 +215,71 @@ def chains(seeds: list[tuple[int, int]], gap: int) -> list[list[int]]:
     return out
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray, cfg: AlignConfig) -> tuple[int, int, int, int, float]:
-    """Best local alignment: (first, last) in a, (first, last) in b, share of aligned places that match; (0, -1, 0, -1, 0.0) if none.
+CELLS = 4_000_000  # of a batch's score matrices
+
+
+def local_alignments(regions: list[tuple[np.ndarray, np.ndarray]], cfg: AlignConfig) -> list[tuple[int, int, int, int, float]]:
+    """For each (a, b) the best local alignment: first and last in a, first and last in b, share of aligned places that match; (0, -1, 0, -1, 0.0) if none.
 
-    Scores are doubled to integers. A row needs no inner loop: the best way along it is a running
-    maximum of the scores with the gap cost taken out.
+    Regions of like size are scored together, one row of all of them at a time. Scores are doubled to
+    integers; the best way along a row is a running maximum of the scores with the gap cost taken
+    out. What fills up a smaller region equals nothing, so scores only fall there.
     """
-    none = (0, -1, 0, -1, 0.0)
-    n, m = len(a), len(b)
-    if not n or not m:
-        return none
-    match, mismatch, gap = (round(2 * x) for x in (cfg.match, cfg.mismatch, cfg.gap))
-    h = np.zeros((n + 1, m + 1), np.int64)
-    slope = gap * np.arange(m + 1)
+    out: list[tuple[int, int, int, int, float]] = [(0, -1, 0, -1, 0.0)] * len(regions)
+    order = sorted((k for k, (a, b) in enumerate(regions) if len(a) and len(b)), key=lambda k: (len(regions[k][0]), len(regions[k][1])))
+    while order:
+        n = m = size = 0
+        while size < len(order):
+            a, b = regions[order[size]]
+            if size and (size + 1) * (max(n, len(a)) + 1) * (max(m, len(b)) + 1) > CELLS:
+                break
+            n, m, size = max(n, len(a)), max(m, len(b)), size + 1
+        group, order = order[:size], order[size:]
+        x, y = np.full((size, n), -1, np.int32), np.full((size, m), -2, np.int32)
+        for r, k in enumerate(group):
+            x[r, :len(regions[k][0])], y[r, :len(regions[k][1])] = regions[k]
+        for k, found in zip(group, _score(x, y, cfg)):
+            out[k] = found
+    return out
+
+
+def _score(x: np.ndarray, y: np.ndarray, cfg: AlignConfig) -> list[tuple[int, int, int, int, float]]:
+    size, n, m = len(x), x.shape[1], y.shape[1]
+    match, mismatch, gap = (round(2 * v) for v in (cfg.match, cfg.mismatch, cfg.gap))
+    h = np.zeros((n + 1, size, m + 1), np.int32)
+    slope = (gap * np.arange(m + 1)).astype(np.int32)
     for i in range(1, n + 1):
-        row = np.zeros(m + 1, np.int64)
-        row[1:] = np.maximum(0, np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch), h[i - 1, 1:] + gap))
-        h[i] = np.maximum(row, np.maximum.accumulate(row - slope) + slope)
-    i, j = divmod(int(h.argmax()), m + 1)  # the first of the best, row by row
-    if not h[i, j]:
-        return none
+        row = h[i]
+        np.maximum(h[i - 1, :, :-1] + np.where(y == x[:, i - 1, None], match, mismatch), h[i - 1, :, 1:] + gap, out=row[:, 1:])
+        np.maximum(row, 0, out=row)
+        row -= slope
+        np.maximum.accumulate(row, axis=1, out=row)
+        row += slope
+    r = np.arange(size)
+    by_row = h.max(axis=2)  # (n + 1, size)
+    i = by_row.argmax(axis=0)  # the first of the best, row by row
+    j = h[i, r].argmax(axis=1)
     ends = i - 1, j - 1
-    places = hits = 0
-    while i and j and h[i, j]:
-        places += 1
-        same = a[i - 1] == b[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (match if same else mismatch):
-            hits += int(same)
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return i, ends[0], j, ends[1], hits / places
+    best = h[i, r, j] > 0
+    places, hits = np.zeros(size, int), np.zeros(size, int)
+    live = best.copy()
+    while live.any():
+        k = np.flatnonzero(live)
+        a, b = i[k], j[k]
+        now = h[a, k, b]
+        same = x[k, a - 1] == y[k, b - 1]
+        diagonal = now == h[a - 1, k, b - 1] + np.where(same, match, mismatch)
+        up = ~diagonal & (now == h[a - 1, k, b] + gap)
+        places[k] += 1
+        hits[k] += diagonal & same
+        i[k] -= diagonal | up
+        j[k] -= ~up
+        live[k] = (i[k] > 0) & (j[k] > 0) & (h[i[k], k, j[k]] > 0)
+    return [(int(i[k]), int(ends[0][k]), int(j[k]), int(ends[1][k]), hits[k] / places[k]) if best[k] else (0, -1, 0, -1, 0.0) for k in r]
+
+
+def smith_waterman(a: np.ndarray, b: np.ndarray, cfg: AlignConfig) -> tuple[int, int, int, int, float]:
+    return local_alignments([(a, b)], cfg)[0]
 
 
 def merge_claims(found: list[tuple], share: float = 0.5) -> list[tuple]:
@@ -260,18 +292,22 @@ def merge_claims(found: list[tuple], share: float = 0.5) -> list[tuple]:
     return sorted(kept, key=lambda p: (p[0], p[0] - p[1]))
 
 
-def align(query: list[str], source: list[str], seeds: list[tuple[int, int]], k: int, cfg: AlignConfig) -> list[tuple]:
-    """Passages (q0, q1, s0, s1, identity), token positions inclusive."""
-    code: dict[str, int] = {}
-    a = np.array([code.setdefault(w, len(code)) for w in query], np.int64)
-    b = np.array([code.setdefault(w, len(code)) for w in source], np.int64)
-    out = []
-    for q0, q1, s0, s1, _ in chains(seeds, cfg.max_gap):
-        qa, sa = max(0, q0 - cfg.pad), max(0, s0 - cfg.pad)
-        x, y, u, v, same = smith_waterman(a[qa:q1 + k + cfg.pad], b[sa:s1 + k + cfg.pad], cfg)
+def align(pairs: list[tuple[list[str], list[str], list[tuple[int, int]]]], k: int, cfg: AlignConfig) -> list[list[tuple]]:
+    """For each (query words, source words, seeds) its passages (q0, q1, s0, s1, identity), token positions inclusive."""
+    regions, where = [], []
+    for no, (query, source, seeds) in enumerate(pairs):
+        code: dict[str, int] = {}
+        a = np.array([code.setdefault(w, len(code)) for w in query], np.int32)
+        b = np.array([code.setdefault(w, len(code)) for w in source], np.int32)
+        for q0, q1, s0, s1, _ in chains(seeds, cfg.max_gap):
+            qa, sa = max(0, q0 - cfg.pad), max(0, s0 - cfg.pad)
+            regions.append((a[qa:q1 + k + cfg.pad], b[sa:s1 + k + cfg.pad]))
+            where.append((no, qa, sa))
+    found: list[list[tuple]] = [[] for _ in pairs]
+    for (no, qa, sa), (x, y, u, v, same) in zip(where, local_alignments(regions, cfg)):
         if y - x + 1 >= max(1, cfg.min_words):
-            out.append((qa + x, qa + y, sa + u, sa + v, same))
-    return merge_claims(out)
+            found[no].append((qa + x, qa + y, sa + u, sa + v, same))
+    return [merge_claims(f) for f in found]
 
 
 # --- features -----------------------------------------------------------------------------------

@@ -26,9 +26,8 @@ def passages(pairs: DataFrame, seed_rows: DataFrame, subs: DataFrame, docs: Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for sub, src, s, x, y in zip(b["sub_id"], b["src_id"], b["seeds"], b["ta"], b["tb"]):
-                rows += [(sub, src, *p) for p in kernels.align(list(x), list(y), [(int(e["q"]), int(e["s"])) for e in s], cfg.k, a)]
+            pairs = [(list(x), list(y), [(int(e["q"]), int(e["s"])) for e in s]) for s, x, y in zip(b["seeds"], b["ta"], b["tb"])]
+            rows = [(sub, src, *p) for sub, src, ps in zip(b["sub_id"], b["src_id"], kernels.align(pairs, cfg.k, a)) for p in ps]
             yield pd.DataFrame(rows, columns=["sub_id", "src_id", "q0", "q1", "s0", "s1", "similarity"])
 
     m = z.join(ta, "sub_id").join(tb, "src_id").mapInPandas(run, f"sub_id {kinds[0]}, src_id {kinds[1]}, {PASSAGE}")

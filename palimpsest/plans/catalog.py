@@ -7,6 +7,7 @@ Submissions are `documents`, the reference corpus is `eval_items` (or, where mat
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from palimpsest.config import CALIBRATED, DISCOURSE_MARKERS, FUNCTION_WORDS, PRI
 from palimpsest.functions import kernels, native
 from palimpsest.operators import align, detect, lm, paraphrase, retrieve, scoring, spans
 from palimpsest.operators.corpus import Corpus, choose_bands, fingerprints, latest, lsh, postings
+from palimpsest.operators.cut import written
 from palimpsest.plans import report
 from palimpsest.plans.engine import Engine
 from palimpsest.sources import providers
@@ -280,7 +282,7 @@ def word_ratios(s, d):
 def punct_entropy(s, d):
     c = _docs(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[!-/:-@\[-`{-~]"), F.lit(0))).alias("c")).groupBy("doc_id", "c").agg(F.count("*").alias("n"))
     t = c.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("x"))
-    return t.select("doc_id", F.round(F.log2(F.col("t").cast("double")) - F.col("x") / F.col("t") + 0.0, 6).alias("entropy"))
+    return t.select("doc_id", F.round(F.abs(F.log2(F.col("t").cast("double")) - F.col("x") / F.col("t")), 6).alias("entropy"))
 
 
 def lexical_embedding(s, d):
@@ -379,7 +381,8 @@ def ai_analysis(s, d):
 
 def _engine(s, d) -> Engine:
     items = _t(s, d, "eval_items").select((F.col("item_id") + SHIFT).alias("doc_id"), "text")
-    return Engine.build(items, profile=CALIBRATED)
+    e = Engine.build(items, profile=CALIBRATED)
+    return replace(e, corpus=replace(e.corpus, docs=written(e.corpus.docs), meta=written(e.corpus.meta)))
 
 
 def originality_check(s, d):
@@ -566,7 +569,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, round(count(*) / sum(n), 6)::DOUBLE AS type_token, round(sum(CASE WHEN n = 1 THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS hapax,
             round(sum(CASE WHEN tok IN ({words(FUNCTION_WORDS)}) THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS function_words, round(sum(CASE WHEN tok IN ({words(DISCOURSE_MARKERS)}) THEN n ELSE 0 END) / sum(n), 6)::DOUBLE AS discourse FROM w GROUP BY doc_id""",
         "punct_entropy": r"""WITH c AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[!-/:-@\[-`{-~]')) AS c FROM documents WHERE text IS NOT NULL) GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t, sum(n * log2(n)) AS x FROM c GROUP BY 1)
-            SELECT doc_id, round(log2(t) - x / t + 0.0, 6)::DOUBLE AS entropy FROM t""",
+            SELECT doc_id, round(abs(log2(t) - x / t), 6)::DOUBLE AS entropy FROM t""",
         "lexical_embedding": f"WITH {_embed('e', 'eval_items', 'item_id')} SELECT id AS item_id, bucket, round(weight, 6) AS weight FROM e",
         "paraphrase_topk": f"""WITH {_embed('e', 'eval_items', 'item_id', 'item_id % 100 = 0')}, {_embed('d', 'documents', 'doc_id')}, c AS (SELECT e.id AS item_id, d.id AS doc_id, round(sum(e.weight * d.weight), 6) AS cosine FROM e JOIN d USING (bucket) GROUP BY ALL)
             SELECT item_id, doc_id, cosine, (row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id))::INTEGER AS rank FROM c QUALIFY rank <= 10""",

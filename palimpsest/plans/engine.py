@@ -13,6 +13,7 @@ from palimpsest.config import PROFILES, AlignConfig, DetectorProfile, Fingerprin
 from palimpsest.functions import kernels, native
 from palimpsest.operators import align, detect, retrieve, scoring, spans
 from palimpsest.operators.corpus import Corpus, fingerprints
+from palimpsest.operators.cut import written
 
 
 @dataclass(frozen=True)
@@ -50,15 +51,15 @@ class Engine:
     def forget(self, ids: DataFrame) -> Engine:
         return replace(self, corpus=self.corpus.forget(ids))
 
-    def check(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text", materialize: Callable[[DataFrame], DataFrame] = lambda df: df) -> Checked:
-        """All submissions at once. `materialize` cuts the plan where a part is used again (checkpoint, or a written table)."""
+    def check(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text", cut: Callable[[DataFrame], DataFrame] = written) -> Checked:
+        """All submissions at once. `cut` ends the plan where a part is used again; pass the identity to keep one lazy plan."""
         cfg = self.corpus.cfg
-        subs = materialize(fingerprints(submissions, cfg, ident, text))
-        docs = self.corpus.docs
-        cand = materialize(retrieve.candidates(subs, docs, cfg))
+        subs = cut(fingerprints(submissions, cfg, ident, text))
+        docs = self.corpus.docs  # load() gives a table; a corpus built in memory is computed where it is used
+        cand = cut(retrieve.candidates(subs, docs, cfg))
         seed = retrieve.seeds(subs, docs, cand)
         found = align.passages(cand, seed, subs, docs, cfg, self.alignment)
-        norm = materialize(spans.normalized(submissions, ident, text)) if cfg.normalize else _stored(submissions, ident, text)
+        norm = cut(spans.normalized(submissions, ident, text)) if cfg.normalize else _stored(submissions, ident, text)
         toks = norm.select(F.col("doc_id").alias("sub_id"), F.posexplode("tokens").alias("pos", "t")).select("sub_id", "pos", "t.start", "t.end")
         m = scoring.admitted(found, self.scoring)
         # characters of the first and last token
@@ -66,7 +67,7 @@ class Engine:
         m = m.join(places, "sub_id").withColumn("c0", F.get("tokens", F.col("q0"))["start"]).withColumn("c1", F.get("tokens", F.col("q1"))["end"]).drop("tokens")
         label = self.corpus.meta.select(F.col("doc_id").alias("src_id"), native.source_label("title", "url", "doc_id").alias("source_label"))
         excl = norm.select("doc_id", F.explode("exclusions").alias("x")).select("doc_id", "x.start", "x.end", "x.kind")
-        m = materialize(scoring.apply_exclusions(m, excl, self.scoring).join(label, "src_id", "left"))
+        m = cut(scoring.apply_exclusions(m, excl, self.scoring).join(label, "src_id", "left"))
         out = excl.where(F.col("kind").isin(*self.scoring.kinds)) if self.scoring.kinds else excl.limit(0)
         free = spans.scorable(toks.withColumnRenamed("sub_id", "doc_id"), out).select(F.col("doc_id").alias("sub_id"), "pos")
         cover = scoring.covered(m)
