@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.cut import written as materialize
+
 TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z]+)?"
 TOKEN_RE = re.compile(TOKEN)
 
@@ -28,32 +27,6 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df if df.rdd.getNumPartitions() * 2 >= want else df.repartition(want)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the folder that spark.checkpoint.dir names (one of our own only where it is unset).
-
-    A table is columnar and compressed, and unlike checkpoint() computes its input once. Our tables are
-    deleted when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        own = sc._jsc.sc().getCheckpointDir()
-        folder = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="palimpsest-")
-    path = f"{folder.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, sc, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(sc, path: str) -> None:
-    try:
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone before us
-        pass
-
-
 def present(c: str | Column = "text") -> Column:
     """Neither null nor empty: other rows are never cases."""
     col = F.col(c) if isinstance(c, str) else c
