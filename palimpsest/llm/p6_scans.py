@@ -162,6 +162,7 @@ class Lexicon:
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
+        self.common = max(20, 2e-5 * sum(counts.values()))
         self.root: dict = {}
         for w in counts:
             node = self.root
@@ -228,7 +229,7 @@ class Lexicon:
         digits = any(c.isdigit() for c in low)
         if digits and not re.search(r"[^\W\d_].*[^\W\d_]|[^\W\d_]{2}", low):
             return None
-        named = word[0].isupper() and not word.isupper()
+        named = word[0].isupper()  # a name unless the right word is a common one
         ranked = []
         for cost, w, at in self.candidates(low):
             k = self.counts[w]
@@ -237,7 +238,7 @@ class Lexicon:
             if cost == 1.0 and not self._confused(low, w):  # some other edit
                 if digits or named or len(low) < 5 or k < 30 or abs(len(w) - len(low)) > 0:
                     continue
-            elif not digits and k < (20 if named else 3):
+            elif k < (self.common if named else 3):
                 continue
             ranked.append((cost, -(used[w] > 0 if used else 0), -k, w, at))
         return min(ranked)[3:5] if ranked else None
@@ -251,7 +252,10 @@ class Lexicon:
 
 
 def number_misread(tok: str) -> bool:
-    return bool(re.fullmatch(r"\d[\dOoIlSBZ]*[OoIlSBZ]\d*|[OolI]+\d+|\d+[OolISBZ]+\d+", tok)) and not re.fullmatch(r"[A-Z]\d+|\d{1,2}[BSZ]|\d+[o]", tok)
+    """Digits with letters that look like digits among them; codes such as B2 or 5b are left alone."""
+    if re.fullmatch(r"[\dOolISBb]+", tok) is None or tok.isdigit() or not any(c.isdigit() for c in tok):
+        return False
+    return len(tok) > 2 or re.fullmatch(r"\d[OolI]|[OolI]\d", tok) is not None
 
 
 def noise(text: str, starts: list[int] | None, lex: Lexicon) -> tuple[list[tuple[int, str]], str]:
@@ -267,7 +271,7 @@ def noise(text: str, starts: list[int] | None, lex: Lexicon) -> tuple[list[tuple
 
     def fix(tok: str) -> tuple[str, int] | None:
         if number_misread(tok):
-            return tok.translate(str.maketrans("OolIiSBZ", "00111582")), 0
+            return tok.translate(str.maketrans("OolISBb", "0011586")), 0
         return lex.correct(tok, used)
 
     def cased(right: str, tok: str) -> str:
