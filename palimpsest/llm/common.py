@@ -22,7 +22,7 @@ def tokens(text: str) -> list[str]:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Enough partitions for a CPU-heavy kernel; input that is already split finely stays in place."""
+    """Enough partitions for a CPU-heavy kernel; input that is already split finely stays in place. For scans only: asking a plan with a shuffle for its partitions would run it."""
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
     return df if df.rdd.getNumPartitions() * 2 >= want else df.repartition(want)
 

@@ -110,7 +110,7 @@ def normalize_text(df: DataFrame, text: str = "text", out: str = "canonical_text
 
 def same_look(df: DataFrame, ident: str = "raw_id", text: str = "text") -> DataFrame:
     """Pairs of rows whose canonical forms are equal and whose texts are not. Only hashes are shuffled."""
-    d = df.select(F.col(ident).alias("_i"), F.col(text).alias("_t")).where(present("_t"))
+    d = df.select(F.col(ident).alias("_i"), F.col(text).alias("_t")).where(present("_t") & F.col("_i").isNotNull())
     h = materialize(normalize_text(d, "_t", "_c").select(
         "_i", F.unhex(F.md5("_c")).alias("look"), F.unhex(F.md5("_t")).alias("cls")))
     forms = h.select("look", "cls").distinct()

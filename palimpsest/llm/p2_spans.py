@@ -114,7 +114,7 @@ def _runs(batches: Iterator[pd.DataFrame], min_tokens: int) -> Iterator[pd.DataF
 
 def _shared_runs(df: DataFrame, ident: str, text: str, min_tokens: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(members(cls, _id), runs(cls, run, pos) that stand in at least two classes)."""
-    d = spread(df.select(F.col(ident).alias("_id"), F.col(text).alias("_t")).where(present("_t")))
+    d = spread(df.select(F.col(ident).alias("_id"), F.col(text).alias("_t")).where(present("_t") & F.col("_id").isNotNull()))
     kind = df.schema[ident].dataType.simpleString()
     w = materialize(d.mapInPandas(lambda it: _windows(it, min_tokens, gram), f"_id {kind}, cls bigint, key bigint, lo int, hi int"))
     members = w.select("_id", "cls").distinct()

@@ -14,7 +14,7 @@ rarest chunks, up to 1 - MIN_COVER of its size (1 - similarity for the fine ones
 reaches the cover shares one of these. Frequent chunks thus cost nothing and nothing is capped.
 
 Copies form one class. Null and empty texts are never cases; texts under five tokens match only as
-copies; rows without an accepted doc_id never stand on the earlier side.
+copies; rows without an accepted doc_id never stand on the earlier side, rows of null id or batch on neither.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, present, spread, table, tokens
+from .common import materialize, present, table, tokens
 from .p2_spans import gram_hashes, token_ids
 
 GRAM = 5
@@ -78,7 +78,7 @@ def _chunks(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.D
 
 def chunk_table(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """texts(cls, _t) -> the rows of the chunk table."""
-    return spread(texts).mapInPandas(lambda it: _chunks(it, similarity), CHUNKS)
+    return texts.mapInPandas(lambda it: _chunks(it, similarity), CHUNKS)
 
 
 def _run_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +146,7 @@ def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", simi
 
     records: ident, doc_id, text, batch_no; accepted: doc_id. Rows with null batch_no stand nowhere.
     """
-    r = records.select(F.col(ident), "doc_id", F.col("text").alias("_t"), "batch_no").where(present("_t") & F.col("batch_no").isNotNull()).withColumn("cls", F.xxhash64("_t"))
+    r = records.select(F.col(ident), "doc_id", F.col("text").alias("_t"), "batch_no").where(present("_t") & F.col("batch_no").isNotNull() & F.col(ident).isNotNull()).withColumn("cls", F.xxhash64("_t"))
     known = accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True))
     rows = materialize(r.select("cls", ident, "batch_no", "doc_id").join(known, "doc_id", "left").select("cls", ident, "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
     old, new = rows.where("ok"), rows

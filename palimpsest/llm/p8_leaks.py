@@ -77,8 +77,8 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(doc, item), distinct: the items each document gives away."""
-    d = spread(docs.select(F.col(doc).alias("_id"), F.col(text).alias("_t")).where(present("_t")))
-    e = items.select(F.col(item).alias("_id"), F.col(text).alias("_t")).where(present("_t"))
+    d = spread(docs.select(F.col(doc).alias("_id"), F.col(text).alias("_t")).where(present("_t") & F.col("_id").isNotNull()))
+    e = items.select(F.col(item).alias("_id"), F.col(text).alias("_t")).where(present("_t") & F.col("_id").isNotNull())
     # which lengths under MIN_WORDS occur: at most MIN_WORDS - 1 numbers, whatever the size of the items
     short = F.pandas_udf(lambda s: s.map(lambda t: len(words(t))), "int")
     lengths = sorted(r[0] for r in e.select(short("_t").alias("n")).where(F.col("n").between(1, MIN_WORDS - 1)).distinct().collect())
