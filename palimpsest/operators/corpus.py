@@ -61,9 +61,9 @@ class Corpus:
     @classmethod
     def build(cls, raw: DataFrame, meta: DataFrame | None = None, cfg: FingerprintConfig = FingerprintConfig(), ident: str = "doc_id", text: str = "text") -> Corpus:
         docs = fingerprints(raw, cfg, ident, text)
-        return cls(docs, _meta(docs, meta), cfg)
+        return cls(docs, _meta(docs, _own_meta(raw, ident, "corpus") if meta is None else meta), cfg)
 
-    def append(self, raw: DataFrame, meta: DataFrame | None = None, on_duplicate: str = "append", ident: str = "doc_id", text: str = "text", cfg: FingerprintConfig | None = None) -> Corpus:
+    def append(self, raw: DataFrame, meta: DataFrame | None = None, on_duplicate: str = "append", ident: str = "doc_id", text: str = "text", cfg: FingerprintConfig | None = None, kind: str = "corpus") -> Corpus:
         """With 'append' a known id gets its postings once more (its metadata are replaced); with 'ignore' it stays as it is."""
         if (cfg or self.cfg) != self.cfg:
             raise ValueError(f"fingerprints made with {cfg} cannot enter an index made with {self.cfg}")
@@ -72,7 +72,7 @@ class Corpus:
             new = new.join(self.docs.select("doc_id").distinct(), "doc_id", "left_anti")
         elif on_duplicate != "append":
             raise ValueError("on_duplicate is 'append' or 'ignore'")
-        fresh = _meta(new, meta)
+        fresh = _meta(new, _own_meta(raw, ident, kind) if meta is None else meta)
         return replace(self, docs=self.docs.unionByName(new), meta=self.meta.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh))
 
     def forget(self, ids: DataFrame) -> Corpus:
@@ -83,10 +83,11 @@ class Corpus:
     def stats(self) -> DataFrame:
         """One row: documents, distinct_fingerprints, buckets, bands, rows, lsh_knee, min_shared."""
         bands, rows = choose_bands(self.cfg.n_perm, self.cfg.threshold)
-        n = self.docs.agg(F.countDistinct("doc_id").alias("documents"))
-        v = postings(self.docs).agg(F.countDistinct("value").alias("distinct_fingerprints"))
-        b = lsh(self.docs, self.cfg).select("band", "key").distinct().agg(F.count("*").alias("buckets"))
-        return n.crossJoin(v).crossJoin(b).select(  # one row each
+        parts = {
+            "documents": self.docs.select("doc_id").distinct(), "distinct_fingerprints": postings(self.docs).select("value").distinct(),
+            "buckets": lsh(self.docs, self.cfg).select("band", F.xxhash64("key")).distinct()}
+        each = [d.agg(*[F.count("*").alias(n) if n == name else F.lit(0).cast("bigint").alias(n) for n in parts]) for name, d in parts.items()]
+        return each[0].unionByName(each[1]).unionByName(each[2]).agg(*[F.sum(n).alias(n) for n in parts]).select(
             "documents", "distinct_fingerprints", "buckets", F.lit(bands).alias("bands"), F.lit(rows).alias("rows"),
             F.lit(round((1 / bands) ** (1 / rows), 4)).alias("lsh_knee"), F.lit(self.cfg.min_shared).alias("min_shared"))
 
@@ -105,10 +106,15 @@ class Corpus:
 META = {"title": "string", "author": "string", "url": "string", "kind": "string", "year": "int"}
 
 
-def _meta(docs: DataFrame, meta: DataFrame | None) -> DataFrame:
+def _own_meta(raw: DataFrame, ident: str, kind: str) -> DataFrame:
+    """Metadata of documents that come without: their file's name as the title, if they have one."""
+    title = F.coalesce("source_name", F.lit("")) if "source_name" in raw.columns else F.lit("")
+    return raw.select(F.col(ident).alias("doc_id"), title.alias("title"), F.lit("").alias("author"), F.lit("").alias("url"), F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("year"))
+
+
+def _meta(docs: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row a document; of several rows of metadata the latest indexed."""
     sizes = docs.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    if meta is None:
-        return sizes.select("doc_id", *[F.lit("corpus" if c == "kind" else "" if t == "string" else None).cast(t).alias(c) for c, t in META.items()], "n_tokens")
     return latest(meta.select("doc_id", *META, *[c for c in ("indexed_at",) if c in meta.columns]), ["doc_id"], "indexed_at").drop("indexed_at").join(sizes, "doc_id")
 
 

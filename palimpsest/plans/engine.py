@@ -14,6 +14,7 @@ from palimpsest.functions import kernels, native
 from palimpsest.operators import align, detect, retrieve, scoring, spans
 from palimpsest.operators.corpus import Corpus, fingerprints
 from palimpsest.operators.cut import written
+from palimpsest.sources import files
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,11 @@ class Engine:
     def save(self, path: str) -> None:
         self.corpus.save(path)
 
-    def add(self, raw: DataFrame, meta: DataFrame | None = None, on_duplicate: str = "append") -> Engine:
-        return replace(self, corpus=self.corpus.append(raw, meta, on_duplicate))
+    def add(self, raw: DataFrame, meta: DataFrame | None = None, on_duplicate: str = "append", kind: str = "corpus") -> Engine:
+        return replace(self, corpus=self.corpus.append(raw, meta, on_duplicate, kind=kind))
+
+    def add_dir(self, spark: SparkSession, root: str) -> Engine:
+        return self.add(files.load_dir(spark, root))
 
     def forget(self, ids: DataFrame) -> Engine:
         return replace(self, corpus=self.corpus.forget(ids))
@@ -79,7 +83,7 @@ class Engine:
 
     def check_and_add(self, submissions: DataFrame, **kw) -> tuple[Checked, Engine]:
         """Scored against the corpus as it is, then added as student papers."""
-        return self.check(submissions, **kw), self.add(submissions, on_duplicate="ignore")
+        return self.check(submissions, **kw), self.add(submissions, on_duplicate="ignore", kind="student")
 
 
 def _stored(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -104,9 +108,20 @@ def quick_ai_check(texts: DataFrame, ident: str = "doc_id", text: str = "text",
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: fold_text, token_hash, fnv1a32, band_for."""
+    """SQL functions: fold_text, token_hash, band_for; the table function tokenize(text)."""
     from pyspark.sql import types as T
 
     spark.udf.register("fold_text", F.pandas_udf(lambda s: s.map(lambda t: kernels.fold(t)[0], na_action="ignore"), T.StringType()))
     spark.udf.register("token_hash", F.pandas_udf(lambda s: s.map(kernels.word_value), T.LongType()))
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="idx int, tok string, start int, end int")
+    class Tokenize:
+        def eval(self, text: str):
+            if text is not None:
+                n = kernels.normalize(text)
+                for i, (w, (s, e)) in enumerate(zip(n.words, n.spans)):
+                    yield i, w, s, e
+
+    spark.udtf.register("tokenize", Tokenize)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION band_for(score DOUBLE) RETURNS STRING RETURN CASE WHEN score < 0.20 THEN 'human' WHEN score < 0.75 THEN 'unclear' WHEN score < 0.90 THEN 'likely-ai' WHEN score IS NOT NULL THEN 'very-likely-ai' END")

@@ -43,7 +43,7 @@ def reports(checked: Checked, ai: DataFrame, documents: DataFrame, cfg: ScoringC
         F.struct(F.col("sub_id").cast("string").alias("id"), F.col("source_name").alias("name"), "sha256", "media_type", "pages", "total_words", "scorable_words", "excluded_words").alias("document"),
         F.struct(r("index").alias("index"), "matched_words", "scorable_words", "total_words", "excluded_words", F.coalesce("sources", F.array()).alias("sources"), F.coalesce("matches", F.array()).alias("matches")).alias("similarity"),
         F.struct(r("ai_index").alias("index"), "band", F.array(r("ci_low"), r("ci_high")).alias("confidence_interval"), "calibrated", "used_language_model", "profile",
-                 F.coalesce("segments", F.array()).alias("segments"), "features", "caveats").alias("ai_writing"),
+                 F.transform("segments", lambda s: F.struct(F.array(s["start"], s["end"]).alias("span"), s["words"].alias("words"), s["score"].alias("score"), s["band"].alias("band"))).alias("segments"), "features", "caveats").alias("ai_writing"),
         F.struct(F.lit(cfg.exclude_quotes).alias("exclude_quotes"), F.lit(cfg.exclude_citations).alias("exclude_citations"), F.lit(cfg.exclude_bibliography).alias("exclude_bibliography"),
                  F.lit(cfg.min_match_words).alias("min_match_words"), F.array(*[F.lit(x) for x in sorted(cfg.allowlist)]).cast("array<string>").alias("allowlist")).alias("settings"),
         native.review_priority("index", "ai_index", "band").alias("review_priority"), F.concat("caveats", F.array(*map(F.lit, CAVEATS))).alias("caveats"))

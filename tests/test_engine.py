@@ -132,7 +132,7 @@ def test_detector_fixed_point_segments_and_caveats(spark):
     s = [x["score"] for x in a["long"]["segments"]]
     assert min(s) - 1e-4 <= a["long"]["index"] <= max(s) + 1e-4
     assert len(a["short"]["segments"]) == 1 and any("short" in c for c in a["short"]["caveats"])
-    assert a["none"]["segments"] is None and len(a) == 4
+    assert a["none"]["segments"] == [] and len(a) == 4
     u = {r["doc_id"]: r for r in detect.analyze(docs, PROFILES["uncalibrated"]).collect()}
     assert u["long"]["ci_high"] - u["long"]["ci_low"] > a["long"]["ci_high"] - a["long"]["ci_low"]
 
@@ -208,3 +208,29 @@ def test_sql_functions(spark):
     plans.register(spark)
     r = spark.sql("SELECT fold_text('ﬁn') AS f, token_hash('decomposition') AS h, band_for(0.8D) AS b").first()
     assert (r["f"], r["h"], r["b"]) == ("fin", 712203369825161900, "likely-ai")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest import cli
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.txt").write_text(SOURCE)
+    (tmp_path / "essay.txt").write_text(PROSE + " " + COPIED)
+    idx = str(tmp_path / "idx")
+    assert cli.main(["index", "build", "--corpus", str(tmp_path / "src"), "--out", idx]) == 0
+    assert cli.main(["check", str(tmp_path / "essay.txt"), "--index", idx, "--json", str(tmp_path / "r.json"), "--html", str(tmp_path / "r.html"), "--add-to-corpus"]) == 0
+    import json
+    r = json.loads((tmp_path / "r.json").read_text())
+    assert r["similarity"]["index"] > 0.12 and r["similarity"]["sources"][0]["source_label"] == "a.txt" and (tmp_path / "r.html").exists()
+    assert list(r["ai_writing"]["segments"][0]) == ["span", "words", "score", "band"]
+    assert plans.Engine.load(spark, idx).corpus.meta.where("kind = 'student'").count() == 1
+    assert cli.main(["forget", "sha256:none", "--index", idx]) == 1
+    assert cli.main(["forget", r["document"]["id"], "--index", idx]) == 0
+    assert cli.main(["index", "stats", "--index", idx]) == 0
+    assert '"documents": 1' in capsys.readouterr().out
+
+
+def test_table_function(spark):
+    plans.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM tokenize('The bank')").collect()] == [(0, "the", 0, 3), (1, "bank", 4, 8)]
+    assert spark.sql("SELECT * FROM tokenize(NULL)").count() == 0
