@@ -135,6 +135,10 @@ def word_value(word: str) -> int:
     return functools.reduce(lambda h, c: (h * 31 + ord(c)) % PRIME, word, 0)
 
 
+def fnv1a32(word: str) -> int:
+    return functools.reduce(lambda h, c: (h ^ ord(c)) * 16777619 & 0xFFFFFFFF, word, 2166136261)
+
+
 def shingles(words: list[str], k: int) -> np.ndarray:
     """Hash of every run of k words; base 257 is 2^8 + 1, so a step is a rotation and two sums."""
     n = len(words) - k + 1

@@ -60,6 +60,12 @@ def page_of(starts: str | Column, offset: str | Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(n, F.lit(1))).cast("int")
 
 
+def locate(starts: str | Column, start: str | Column, end: str | Column) -> Column:
+    """struct<page_start, page_end, char_start, char_end> of a half-open span."""
+    s, e = col(start), col(end)
+    return F.struct(page_of(starts, s).alias("page_start"), page_of(starts, F.greatest(s, e - 1)).alias("page_end"), s.alias("char_start"), e.alias("char_end"))
+
+
 def n_pages(starts: str | Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.size(col(starts)), F.lit(1)))
 

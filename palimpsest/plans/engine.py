@@ -108,11 +108,12 @@ def quick_ai_check(texts: DataFrame, ident: str = "doc_id", text: str = "text",
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: fold_text, token_hash, band_for; the table function tokenize(text)."""
+    """SQL functions: fold_text, token_hash, fnv1a32, band_for; the table function tokenize(text)."""
     from pyspark.sql import types as T
 
     spark.udf.register("fold_text", F.pandas_udf(lambda s: s.map(lambda t: kernels.fold(t)[0], na_action="ignore"), T.StringType()))
     spark.udf.register("token_hash", F.pandas_udf(lambda s: s.map(kernels.word_value), T.LongType()))
+    spark.udf.register("fnv1a32", F.pandas_udf(lambda s: s.map(kernels.fnv1a32, na_action="ignore"), T.LongType()))
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="idx int, tok string, start int, end int")

@@ -189,6 +189,10 @@ def test_providers(spark):
     one = providers.first_by_doi(both, ["n"]).collect()
     assert len(one) == 1 and one[0]["provider"] == "openalex"
     assert providers.as_raw(o).first()["doc_id"].startswith("sha256:")
+    pay = lambda *p: spark.createDataFrame(list(enumerate(p)), "call int, payload string")
+    d = providers.discover(pay("not json", a, a), pay(c.replace("&amp;", "&#8211;"), c)).collect()
+    assert len(d) == 1 and d[0]["provider"] == "crossref" and "x \u2013 y" in d[0]["text"]
+    assert providers.discover(pay("{}"), None).count() == 0
 
 
 def test_stream(spark, tmp_path):

@@ -41,6 +41,11 @@ def test_page_of(spark, starts, offset, page):
     assert df.select(native.page_of("s", "o")).first()[0] == page
 
 
+def test_locate(spark):
+    df = spark.createDataFrame([([0, 10, 20], 5, 10), ([0, 10, 20], 5, 21), (None, 3, 3)], "p array<int>, a int, b int")
+    assert [tuple(r[0])[:2] for r in df.select(native.locate("p", "a", "b")).collect()] == [(1, 1), (1, 3), (1, 1)]
+
+
 def test_jaccards(spark):
     j = spark.createDataFrame([([1, 2, 3], [2, 3, 4]), ([], []), ([1], [1, 2])], "a array<bigint>, b array<bigint>")
     assert [r[0] for r in j.select(native.exact_jaccard("a", "b")).collect()] == [0.5, 0.0, 0.5]
