@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import ScoringConfig
@@ -32,35 +32,38 @@ def apply_exclusions(matches: DataFrame, exclusions: DataFrame, cfg: ScoringConf
 
 
 def covered(matches: DataFrame) -> DataFrame:
-    """(sub_id, src_id, pos) of matches that are not excluded, distinct."""
+    """(sub_id, src_id, pos) of matches that are not excluded, distinct: only matched positions are ever a row each."""
     return matches.where("not excluded").select("sub_id", "src_id", F.explode(F.sequence("q0", "q1")).alias("pos")).distinct()
 
 
-def similarity_index(cover: DataFrame, scorable: DataFrame, totals: DataFrame) -> DataFrame:
-    """(sub_id, index, matched_words, scorable_words, total_words, excluded_words) of each row of totals(sub_id, total_words).
+def token_mask(tokens: str | Column, exclusions: str | Column, kinds: list[str]) -> Column:
+    """array<boolean>: for each token whether it overlaps no excluded span of the kinds that count."""
+    active = F.filter(exclusions, lambda x: x["kind"].isin(*kinds)) if kinds else F.slice(exclusions, 1, 0)
+    return F.transform(tokens, lambda t: ~F.exists(active, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
 
-    scorable(sub_id, pos): the tokens that count. Without any the index is 0.
+
+def similarity_index(cover: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sub_id, index, matched_words, scorable_words, total_words, excluded_words) of each row of sizes(sub_id, total_words, scorable_words).
+
+    cover(sub_id, src_id, pos): matched positions that count. Where none counts the index is 0.
     """
-    matched = cover.select("sub_id", "pos").distinct().join(scorable, ["sub_id", "pos"], "left_semi").groupBy("sub_id").agg(F.count("*").alias("matched_words"))
-    n = scorable.groupBy("sub_id").agg(F.count("*").alias("scorable_words"))
-    t = totals.join(n, "sub_id", "left").join(matched, "sub_id", "left").na.fill(0, ["matched_words", "scorable_words"])
+    matched = cover.select("sub_id", "pos").distinct().groupBy("sub_id").agg(F.count("*").alias("matched_words"))
+    t = sizes.select("sub_id", F.col("total_words").cast("bigint").alias("total_words"), F.col("scorable_words").cast("bigint").alias("scorable_words")).join(matched, "sub_id", "left").na.fill(0, ["matched_words"])
     return t.select("sub_id", F.when(F.col("scorable_words") > 0, F.col("matched_words") / F.col("scorable_words")).otherwise(0.0).alias("index"),
                     "matched_words", "scorable_words", "total_words", (F.col("total_words") - F.col("scorable_words")).alias("excluded_words"))
 
 
-def breakdown(matches: DataFrame, cover: DataFrame, scorable: DataFrame) -> DataFrame:
+def breakdown(matches: DataFrame, cover: DataFrame, sizes: DataFrame) -> DataFrame:
     """(sub_id, src_id, words, unique_words, share, best_similarity, match_types, rank).
 
     Sources claim positions in the order of their words, then id; unique words are those claimed, so
     shares sum to the index. A source left without a position is no row.
     """
-    c = cover.join(scorable, ["sub_id", "pos"], "left_semi")
-    words = c.groupBy("sub_id", "src_id").agg(F.count("*").alias("words"))
+    words = cover.groupBy("sub_id", "src_id").agg(F.count("*").alias("words"))
     # who claims a position: the best source that holds it; a minimum, so no sort of a position's holders
-    owner = c.join(words, ["sub_id", "src_id"]).groupBy("sub_id", "pos").agg(F.min(F.struct((-F.col("words")).alias("w"), "src_id")).alias("x"))
+    owner = cover.join(words, ["sub_id", "src_id"]).groupBy("sub_id", "pos").agg(F.min(F.struct((-F.col("words")).alias("w"), "src_id")).alias("x"))
     unique = owner.groupBy("sub_id", F.col("x.src_id").alias("src_id")).agg(F.count("*").alias("unique_words"))
-    n = scorable.groupBy("sub_id").agg(F.count("*").alias("n"))
     kinds = matches.where("not excluded").groupBy("sub_id", "src_id").agg(F.max("similarity").alias("best_similarity"), F.array_sort(F.collect_set("match_type")).alias("match_types"))
-    out = words.join(unique, ["sub_id", "src_id"], "left").na.fill(0, ["unique_words"]).join(n, "sub_id").join(kinds, ["sub_id", "src_id"])
+    out = words.join(unique, ["sub_id", "src_id"], "left").na.fill(0, ["unique_words"]).join(sizes.select("sub_id", "scorable_words"), "sub_id").join(kinds, ["sub_id", "src_id"])
     w = Window.partitionBy("sub_id").orderBy(F.col("unique_words").desc(), F.col("words").desc(), "src_id")
-    return out.select("sub_id", "src_id", "words", "unique_words", (F.col("unique_words") / F.col("n")).alias("share"), "best_similarity", "match_types").withColumn("rank", F.row_number().over(w))
+    return out.select("sub_id", "src_id", "words", "unique_words", (F.col("unique_words") / F.col("scorable_words")).alias("share"), "best_similarity", "match_types").withColumn("rank", F.row_number().over(w))

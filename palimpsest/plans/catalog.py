@@ -200,7 +200,7 @@ def seeds(s, d):
 
 
 def candidates_top50(s, d):
-    c = _near(retrieve.candidates(_fp(_docs(s, d)), _fp(_far(_items(s, d))), CFG))
+    c = _near(retrieve.candidates(written(_fp(_docs(s, d))), written(_fp(_far(_items(s, d)))), CFG))
     return c.select("doc_id", "item_id", F.round("est_jaccard", 6).alias("est_jaccard"), "shared", "via", "rank")
 
 
@@ -212,32 +212,33 @@ def exact_runs(s, d):
     return _near(_runs(s, d))
 
 
-def _run_cover(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    m = scoring.admitted(_runs(s, d), ScoringConfig()).withColumns({"excluded": F.lit(False), "similarity": F.lit(1.0), "match_type": F.lit("verbatim")})
-    n = _docs(s, d).select(F.col("doc_id").alias("sub_id"), F.size(native.tokens("text")).alias("total_words"))
-    free = n.where("total_words > 0").select("sub_id", F.explode(F.sequence(F.lit(0), F.col("total_words") - 1)).alias("pos"))
-    return m, scoring.covered(m), free, n
+def _run_cover(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = written(scoring.admitted(_runs(s, d), ScoringConfig()).withColumns({"excluded": F.lit(False), "similarity": F.lit(1.0), "match_type": F.lit("verbatim")}))
+    n = F.size(native.tokens("text"))
+    return m, scoring.covered(m), _docs(s, d).select(F.col("doc_id").alias("sub_id"), n.alias("total_words"), n.alias("scorable_words"))
 
 
 def similarity_index(s, d):
-    _, cover, free, n = _run_cover(s, d)
-    return scoring.similarity_index(cover, free, n).select(F.col("sub_id").alias("doc_id"), F.round("index", 6).alias("index"), "matched_words", "scorable_words")
+    _, cover, sizes = _run_cover(s, d)
+    return scoring.similarity_index(cover, sizes).select(F.col("sub_id").alias("doc_id"), F.round("index", 6).alias("index"), "matched_words", "scorable_words")
 
 
 def source_breakdown(s, d):
-    m, cover, free, _ = _run_cover(s, d)
-    b = _near(scoring.breakdown(m, cover, free.join(cover.select("sub_id").distinct(), "sub_id", "left_semi")))
+    m, cover, sizes = _run_cover(s, d)
+    b = _near(scoring.breakdown(m, written(cover), sizes))
     return b.select("doc_id", "item_id", "words", "unique_words", F.round("share", 6).alias("share"), "rank")
 
 
 def matched_index(s, d):
     """The index of each submission in the given matches; tokens inside excluded passages do not count."""
-    m = _matches(s, d)
-    toks = _raw(s, d).select(F.col("doc_id").alias("sub_id"), F.size(native.tokens("text")).alias("total_words")).join(m.select("sub_id").distinct(), "sub_id", "left_semi")
-    pos = toks.where("total_words > 0").select("sub_id", F.explode(F.sequence(F.lit(0), F.col("total_words") - 1)).alias("pos"))
-    out = m.where("excluded").select("sub_id", F.explode(F.sequence("q0", "q1")).alias("pos")).distinct()
-    free = pos.join(out, ["sub_id", "pos"], "left_anti")
-    return scoring.similarity_index(scoring.covered(m), free, toks).select("sub_id", F.round("index", 6).alias("index"), "matched_words", "scorable_words", "total_words")
+    m = written(_matches(s, d))
+    toks = _raw(s, d).join(m.select(F.col("sub_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("sub_id"), F.size(native.tokens("text")).alias("total_words"))
+    inside = lambda p: p.join(toks, "sub_id").where(F.col("pos") < F.col("total_words")).drop("total_words")
+    out = inside(m.where("excluded").select("sub_id", F.explode(F.sequence("q0", "q1")).alias("pos")).distinct())
+    lost = out.groupBy("sub_id").agg(F.count("*").alias("_n"))
+    sizes = toks.join(lost, "sub_id", "left").select("sub_id", "total_words", (F.col("total_words") - F.coalesce("_n", F.lit(0))).alias("scorable_words"))
+    cover = inside(scoring.covered(m)).join(out, ["sub_id", "pos"], "left_anti")
+    return scoring.similarity_index(cover, sizes).select("sub_id", F.round("index", 6).alias("index"), "matched_words", "scorable_words", "total_words")
 
 
 def _segments(s, d) -> DataFrame:
@@ -481,7 +482,7 @@ def _offsets(table: str, ident: str) -> str:
     ofs AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY k) - 1)::INTEGER AS idx, lower(p) AS tok, (e - length(p))::INTEGER AS "start", e::INTEGER AS "end" FROM po WHERE regexp_matches(p, '^[A-Za-z0-9]'))"""
 
 
-MINDEX = f"""{MATCHES}, {RAW}, tk AS (SELECT doc_id AS sub_id, len({TOK})::INTEGER AS total_words FROM rw WHERE doc_id IN (SELECT sub_id FROM mm)),
+MINDEX = f"""{MATCHES}, {RAW}, tk AS (SELECT doc_id AS sub_id, len({TOK})::BIGINT AS total_words FROM rw WHERE doc_id IN (SELECT sub_id FROM mm)),
     ps AS (SELECT sub_id, unnest(range(0, total_words)) AS pos FROM tk), ex AS (SELECT DISTINCT sub_id, unnest(range(q0, q1 + 1)) AS pos FROM mm WHERE excluded),
     fr AS (SELECT * FROM ps ANTI JOIN ex USING (sub_id, pos)), co AS (SELECT DISTINCT sub_id, unnest(range(q0, q1 + 1)) AS pos FROM mm WHERE NOT excluded),
     mi AS (SELECT sub_id, CASE WHEN coalesce(s, 0) > 0 THEN round(coalesce(m, 0) / s, 6) ELSE 0.0 END::DOUBLE AS "index", coalesce(m, 0)::BIGINT AS matched_words, coalesce(s, 0)::BIGINT AS scorable_words, total_words

@@ -64,7 +64,6 @@ class Engine:
         seed = retrieve.seeds(subs, docs, cand)
         found = align.passages(cand, seed, subs, docs, cfg, self.alignment)
         norm = cut(spans.normalized(submissions, ident, text)) if cfg.normalize else _stored(submissions, ident, text)
-        toks = norm.select(F.col("doc_id").alias("sub_id"), F.posexplode("tokens").alias("pos", "t")).select("sub_id", "pos", "t.start", "t.end")
         m = scoring.admitted(found, self.scoring)
         # characters of the first and last token
         places = norm.select(F.col("doc_id").alias("sub_id"), "tokens").dropDuplicates(["sub_id"])
@@ -72,11 +71,11 @@ class Engine:
         label = self.corpus.meta.select(F.col("doc_id").alias("src_id"), native.source_label("title", "url", "doc_id").alias("source_label"))
         excl = norm.select("doc_id", F.explode("exclusions").alias("x")).select("doc_id", "x.start", "x.end", "x.kind")
         m = cut(scoring.apply_exclusions(m, excl, self.scoring).join(label, "src_id", "left"))
-        out = excl.where(F.col("kind").isin(*self.scoring.kinds)) if self.scoring.kinds else excl.limit(0)
-        free = spans.scorable(toks.withColumnRenamed("sub_id", "doc_id"), out).select(F.col("doc_id").alias("sub_id"), "pos")
-        cover = scoring.covered(m)
-        totals = norm.groupBy(F.col("doc_id").alias("sub_id")).agg(F.max(F.size("tokens")).alias("total_words"))
-        return Checked(m, scoring.similarity_index(cover, free, totals), scoring.breakdown(m, cover, free), submissions)
+        # what counts is a mask beside the tokens, so the tokens themselves are never rows of a shuffle
+        mask = norm.select(F.col("doc_id").alias("sub_id"), scoring.token_mask("tokens", "exclusions", self.scoring.kinds).alias("mask")).dropDuplicates(["sub_id"])
+        sizes = cut(mask.select("sub_id", F.size("mask").alias("total_words"), F.size(F.filter("mask", lambda x: x)).alias("scorable_words")))
+        cover = cut(scoring.covered(m).join(mask, "sub_id").where(F.get("mask", F.col("pos"))).drop("mask"))
+        return Checked(m, scoring.similarity_index(cover, sizes), scoring.breakdown(m, cover, sizes), submissions)
 
     def analyze(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
         return detect.analyze(submissions, self.profile, ident, text, self.model)
