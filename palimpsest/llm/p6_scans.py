@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import present, spread, table
+from .common import materialize, present, spread, table
 
 MIN_SHARE = 1e-6
 MIN_COUNT = 3
@@ -357,7 +357,7 @@ def _reflow(lines: list[str], body: list[int], fixed: dict[int, str], joins: dic
 
 
 def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): lower-cased words of rows that are not hard-wrapped, each at least MIN_SHARE of all."""
+    """(word, n): lower-cased words of rows that are not hard-wrapped, each at least MIN_SHARE of those that come MIN_COUNT times."""
     d = texts.select(F.col(text).alias("_t")).where(present("_t"))
     # a line of more than 90 characters: not hard-wrapped
     d = d.where(F.col("_t").rlike(r"(?m)^.{120,}$") & F.col("_t").rlike("[A-Za-z]"))
@@ -366,8 +366,9 @@ def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
     w = w.where(F.col("word").rlike("^[^\\u0370-\\uffff]+$")).groupBy("word").agg(F.count("*").alias("n"))
     parts = w.where(F.contains("word", F.lit("-"))).select(F.explode(F.split("word", "-")).alias("word"), "n")
     w = w.unionByName(parts).groupBy("word").agg(F.sum("n").alias("n"))
-    total = w.agg(F.sum("n").alias("total"))
-    return w.join(F.broadcast(total)).where((F.col("n") >= MIN_COUNT) & (F.col("n") >= MIN_SHARE * F.col("total"))).select("word", "n")
+    w = materialize(w.where(F.col("n") >= MIN_COUNT))
+    total = w.agg(F.sum("n")).first()[0] or 0
+    return w.where(F.col("n") >= MIN_SHARE * total)
 
 
 def scan_noise(docs: DataFrame, vocab: DataFrame, ident: str = "raw_id", text: str = "text", starts: str = "page_starts") -> DataFrame:

@@ -116,8 +116,8 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text: str =
     asked = spark.createDataFrame([(x["source"], x["w"], x["r"], x["size"]) for x in entries], "source string, target_share double, max_repeats int, available_tokens bigint")
     got = records.groupBy("source").agg(F.sum("n_tokens").alias("chosen_tokens"))
     s = asked.join(got, "source", "left").withColumn("chosen_tokens", F.coalesce("chosen_tokens", F.lit(0)))
-    all_ = s.agg(F.sum("chosen_tokens").alias("_all"))
-    shares = s.crossJoin(F.broadcast(all_)).select("source", "target_share", "max_repeats", "available_tokens", "chosen_tokens", F.when(F.col("_all") > 0, F.round(F.col("chosen_tokens") / F.col("_all"), 6)).otherwise(0.0).alias("actual_share"))
+    # one row a target: the whole table is as small as the list of sources
+    shares = s.withColumn("_all", F.sum("chosen_tokens").over(Window.partitionBy(F.lit(0)))).select("source", "target_share", "max_repeats", "available_tokens", "chosen_tokens", F.when(F.col("_all") > 0, F.round(F.col("chosen_tokens") / F.col("_all"), 6)).otherwise(0.0).alias("actual_share"))
     return records, shares
 
 
