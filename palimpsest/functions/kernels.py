@@ -30,6 +30,7 @@ PLAIN = {
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-",
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "æ": "ae", "œ": "oe",
 }
+# The grammars of tokens, broken words, sentence ends, quotations, citations and reference headings.
 TOKEN = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z]+)?")
 BREAK = re.compile(r"-[ \t]*\r?\n[ \t]*(?=[a-z])")
 STOP = re.compile(r"[.!?][\"')\]]*(?=\s|\Z)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import BANDS, PRIME, TOKEN_BASE, TOP_BAND
 
+# The grammars of tokens, quotations, citations and broken words.
 TOKEN = r"[A-Za-z0-9]+(?:'[A-Za-z]+)?"
 INLINE_QUOTE = r'"([^"]{8,600})"'
 CITATION = (
