@@ -33,44 +33,44 @@ from .common import present, spread, table
 NS = r"(?:jats:|mml:|ns\d?:)?"
 X = re.I | re.S
 CODE = [
-    re.compile(r"<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(?P<b>.*?)(?:</code>\s*)?</pre\s*>", X),
-    re.compile(r"<(?P<t>syntaxhighlight|source)\b[^>]*>(?P<b>.*?)</(?P=t)\s*>", X),
+    re.compile(r"<pre\b[^<>]*>(?:\s*<code\b[^<>]*>)?(?P<b>(?:(?!<pre\b).)*?)(?:</code>\s*)?</pre\s*>", X),
+    re.compile(r"<(?P<t>syntaxhighlight|source)\b[^<>]*>(?P<b>(?:(?!<(?P=t)\b).)*?)</(?P=t)\s*>", X),
     re.compile(r"^(?P<f>```+|~~~+)[^\n]*\n(?P<b>.*?)^(?P=f)[ \t]*$", re.M | re.S),
-    re.compile(r"\\begin\{(?P<t>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:\{\w+\})?(?P<b>.*?)\\end\{(?P=t)\}", re.S),
-    re.compile(r"<(?P<t>" + NS + r"code)\b[^>]*>(?P<b>[^<]*\n.*?)</(?P=t)\s*>", X),
+    re.compile(r"\\begin\{(?P<t>verbatim\*?|lstlisting|minted)\}(?:\[[^\]\n]*\])?(?:\{\w+\})?(?P<b>(?:(?!\\begin\{(?P=t)\}).)*?)\\end\{(?P=t)\}", re.S),
+    re.compile(r"<(?P<t>" + NS + r"code)\b[^<>]*>(?P<b>[^<]*\n.*?)</(?P=t)\s*>", X),
 ]
 FORMULA = [
-    re.compile(r"<span\b[^>]*class=[\"']?[^\"'>]*math[^>]*>(?P<b>.*?)</span\s*>", X),
-    re.compile(r"<(?P<t>" + NS + r"(?:disp-formula|inline-formula))\b[^>]*>(?P<b>.*?)</(?P=t)\s*>", X),
-    re.compile(r"<(?P<t>" + NS + r"(?:tex-math|math))\b[^>]*>(?P<b>.*?)</(?P=t)\s*>", X),
-    re.compile(r"\\begin\{(?P<t>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(?P<b>.*?)\\end\{(?P=t)\}", re.S),
-    re.compile(r"\\\[(?P<b>.+?)\\\]|\\\((?P<c>.+?)\\\)", re.S),
+    re.compile(r"<span\b[^>]*class=[\"']?[^\"'<>]*math[^<>]*>(?P<b>(?:(?!<span\b).)*?)</span\s*>", X),
+    re.compile(r"<(?P<t>" + NS + r"(?:disp-formula|inline-formula))\b[^<>]*>(?P<b>(?:(?!<(?P=t)\b).)*?)</(?P=t)\s*>", X),
+    re.compile(r"<(?P<t>" + NS + r"(?:tex-math|math))\b[^<>]*>(?P<b>(?:(?!<(?P=t)\b).)*?)</(?P=t)\s*>", X),
+    re.compile(r"\\begin\{(?P<t>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(?P<b>(?:(?!\\begin\{(?P=t)\}).)*?)\\end\{(?P=t)\}", re.S),
+    re.compile(r"\\\[(?P<b>(?:(?!\\\[).)+?)\\\]|\\\((?P<c>(?:(?!\\\().)+?)\\\)", re.S),
     re.compile(r"\$\$(?P<b>[^$]+?)\$\$", re.S),
     re.compile(r"(?<![\\$\w])\$(?=[^\s$])(?P<b>[^$\n]*?[\\^_={][^$\n]*?)(?<=[^\s\\])\$(?![\d$])"),
 ]
 LIST = [
-    re.compile(r"<(?P<t>" + NS + r"(?:ul|ol|dl|list|def-list))\b[^>]*>(?P<b>(?:(?!<(?P=t)\b).)*?)</(?P=t)\s*>", X),
-    re.compile(r"\\begin\{(?P<t>itemize|enumerate|description)\*?\}(?:\[[^\]\n]*\])?(?P<b>.*?)\\end\{(?P=t)\*?\}", re.S),
+    re.compile(r"<(?P<t>" + NS + r"(?:ul|ol|dl|list|def-list))\b[^<>]*>(?P<b>(?:(?!<(?P=t)\b).)*?)</(?P=t)\s*>", X),
+    re.compile(r"\\begin\{(?P<t>itemize|enumerate|description)\*?\}(?:\[[^\]\n]*\])?(?P<b>(?:(?!\\begin\{(?P=t)\*?\}).)*?)\\end\{(?P=t)\*?\}", re.S),
 ]
-ITEM = re.compile(r"<(?:" + NS + r")?(?:li|list-item|dt|dd|def-item)\b[^>]*>|\\item\b(?:\[[^\]\n]*\])?", re.I)
+ITEM = re.compile(r"<(?:" + NS + r")?(?:li|list-item|dt|dd|def-item)\b[^<>]*>|\\item\b(?:\[[^\]\n]*\])?", re.I)
 # items in the line: at least two neighbours with one kind of mark
 BULLETS = re.compile(r"(?:^[ \t]{0,6}(?P<m>[-*+•])(?P=m){0,2}[ \t]+(?!\d+[ \t]*-[ \t]*$)\S[^\n]*(?:\n[ \t]+\S[^\n]*)*(?:\n+|\Z)){1}(?:[ \t]{0,6}(?P=m)(?:(?P=m){0,2})[ \t]+(?!\d+[ \t]*-[ \t]*$)\S[^\n]*(?:\n[ \t]+\S[^\n]*)*(?:\n+|\Z))+", re.M)
 HASHES = re.compile(r"(?:^#{1,3}[ \t]+\S[^\n]*(?:\n|\Z)){2,}", re.M)
 NUMBERS = re.compile(r"(?:^[ \t]{0,6}\d{1,3}[.)][ \t]+\S[^\n]*(?:\n[ \t]+\S[^\n]*)*(?:\n+|\Z)){2,}", re.M)
 NUMBER = re.compile(r"^[ \t]{0,6}(\d{1,3})[.)][ \t]", re.M)
-HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>|<(?P<t>style|script)\b[^>]*>.*?</(?P=t)\s*>|<!doctype[^>]*>|<\?xml[^>]*\?>", X)
+HEAD = re.compile(r"<head\b[^<>]*>(?:(?!<head\b).)*?</head\s*>|<(?P<t>style|script)\b[^<>]*>(?:(?!<(?P=t)\b).)*?</(?P=t)\s*>|<!doctype[^<>]*>|<\?xml[^>]*\?>", X)
 HEADING = [
-    re.compile(r"<(?P<t>" + NS + r"(?:h[1-6]|title|article-title|subtitle))\b[^>]*>(?P<b>.*?)</(?P=t)\s*>", X),
+    re.compile(r"<(?P<t>" + NS + r"(?:h[1-6]|title|article-title|subtitle))\b[^<>]*>(?P<b>(?:(?!<(?P=t)\b).)*?)</(?P=t)\s*>", X),
     re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?\s*(?:\[[^\]\n]*\])?\{(?P<b>(?:[^{}]|\{[^{}]*\})*)\}"),
     re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(?P<b>[^\n#][^\n]*?)[ \t]*#*[ \t]*$", re.M),
     re.compile(r"^(?P<e>={1,6})[ \t]*(?P<b>[^=\n][^\n]*?[^=\n]|[^=\n])[ \t]*(?P=e)[ \t]*$", re.M),
     re.compile(r"(?:^|(?<=\n))(?P<b>[^\n=#|<>*-][^\n]*)\n(?:={3,}|-{3,})[ \t]*(?=\n|\Z)"),
 ]
-COMMENT = re.compile(r"<!--.*?-->", re.S)
+COMMENT = re.compile(r"<!--(?:(?!<!--).)*?-->", re.S)
 TABLE = re.compile(r"^\|[^\n]*\|[ \t]*\n\|[ \t:|-]*-[ \t:|-]*\|[ \t]*(?:\n\|[^\n]*\|[ \t]*)*", re.M)
 OTHER: list[tuple[re.Pattern[str], str]] = [
     (COMMENT, ""),
-    (re.compile(r"\{\|.*?^\|\}", re.S | re.M), ""),
+    (re.compile(r"\{\|(?:(?!\{\|).)*?^\|\}", re.S | re.M), ""),
     (re.compile(r"<(?P<t>ref)\b[^>]*?(?:/>|>.*?</(?P=t)\s*>)", X), ""),
     (re.compile(r"<br\s*/?>\n?|</(?:[a-z]+:)?p\s*>\n?", re.I), "\n"),
     (re.compile(r"</?[A-Za-z][\w:.-]*(?:\s+[^<>]*)?/?>"), ""),
@@ -95,7 +95,7 @@ OTHER: list[tuple[re.Pattern[str], str]] = [
 ]
 # a backslash before a letter is markup only with an argument
 COMMAND = re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{(?P<b>[^{}\n]*)\}")
-ANY = re.compile(r"[<>\\$*_#=~`'\[{&|+•-]|^\s*\d+[.)]\s", re.M)
+ANY = re.compile(r"[<>\\$*_#=~`'\[{&|+•-]|^[ \t]*\d+[.)]\s", re.M)
 HOLE = "\ue000{}\ue001"
 MARK = "\ue002"
 HOLES = re.compile("\ue000(\\d+)\ue001")

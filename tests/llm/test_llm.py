@@ -391,3 +391,19 @@ def test_classes_in_blocks(spark):
     assert len(rows(common.pairs_within(m, "id", ("x", "y"), block=1))) == 4
     p = spark.createDataFrame([("a", "b")], "ca string, cb string")
     assert len(rows(common.pairs_of_classes(m, p, "id", ("x", "y"), hot=1))) == 6
+
+
+@pytest.mark.parametrize("text", ["<pre " * 20_000, "{{" * 20_000 + "\n" * 50_000, '"a. b ' * 20_000, "( " * 40_000 + ". ", "- a\n" * 20_000, "$a_ " * 40_000, "é" * 60_000, "e" + "́" * 60_000, "aaa-\n" * 20_000, "<" * 60_000, "x" * 300_000], ids=range(11))
+def test_very_long_texts_take_no_more_than_their_length(text, restorer, lexicon):
+    import time
+
+    began = time.time()
+    p1.canonical(text)
+    list(p2._windows([__import__("pandas").DataFrame({"_id": [1], "_t": [text]})], 40, 20))
+    p3.restore(text, restorer)
+    p5.convert(text)
+    p6.noise(text, [0], lexicon)
+    p7.Tagger().units(text)
+    p8.words(text)
+    [p10.evidence(x) for x in text.split("\n")]
+    assert time.time() - began < 20
