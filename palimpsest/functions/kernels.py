@@ -38,7 +38,7 @@ QUOTES = (re.compile(r'"([^"]{8,600})"'), re.compile(r"(?:^|\n)(?:[ ]{4,}|\t)(\S
 CITED = re.compile(
     r"\((?:[A-Z][A-Za-z'-]+(?:\s+(?:et\s+al\.?|and|&)\s+[A-Z][A-Za-z'-]+)?(?:,\s*)?(?:19|20)\d{2}[a-z]?(?:,\s*(?:p{1,2}\.?\s*)?\d+(?:-\d+)?)?)\)"
     r"|\[\d{1,3}(?:\s*[,-]\s*\d{1,3})*\]")
-REFERENCES = re.compile(r"^\s*(?:references|bibliography|works\s+cited|literature\s+cited)\s*:?\s*$", re.I | re.M)
+REFERENCES = re.compile(r"(?<!\S)(?:references|bibliography|works\s+cited|literature\s+cited)\s*:?\s*$", re.I | re.M)
 
 
 @functools.cache
@@ -70,6 +70,17 @@ def _ends_no_sentence(before: str) -> bool:
     return last in ABBREVIATIONS or (len(last) == 1 and last.isalpha())
 
 
+def _references(text: str) -> int | None:
+    """Where the last reference heading begins: at the first line of white space that leads to it and nothing else."""
+    found, before = None, 0
+    for m in REFERENCES.finditer(text):
+        start = max(len(text[:m.start()].rstrip()), before)  # white space an earlier heading took is not ours
+        begin = start if not start or text[start - 1] == "\n" else text.find("\n", start, m.start()) + 1
+        if begin or not start:
+            found, before = begin, m.end()
+    return found
+
+
 def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Overlapping or touching spans of one kind become one."""
     out: dict[str, list[list[int]]] = {}
@@ -106,9 +117,8 @@ def normalize(raw: str) -> Normalized:
     sentences.append((begun, len(text)))
     excluded = [(*raw_span(*m.span(1)), "quote") for p in QUOTES for m in p.finditer(text)]
     excluded += [(*raw_span(*m.span()), "citation") for m in CITED.finditer(text)]
-    heads = [m.start() for m in REFERENCES.finditer(text)]
-    if heads:
-        excluded.append((*raw_span(heads[-1], len(text)), "bibliography"))
+    if (head := _references(text)) is not None:
+        excluded.append((*raw_span(head, len(text)), "bibliography"))
     return Normalized(text, at, words, spans, [raw_span(s, e) for s, e in sentences if text[s:e].strip()], merged(excluded))
 
 
