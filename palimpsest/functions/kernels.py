@@ -241,7 +241,10 @@ def local_alignments(regions: list[tuple[np.ndarray, np.ndarray]], cfg: AlignCon
     out. What fills up a smaller region equals nothing, so scores only fall there.
     """
     out: list[tuple[int, int, int, int, float]] = [(0, -1, 0, -1, 0.0)] * len(regions)
-    order = sorted((k for k, (a, b) in enumerate(regions) if len(a) and len(b)), key=lambda k: (len(regions[k][0]), len(regions[k][1])))
+    cells = [(len(a) + 1) * (len(b) + 1) if len(a) and len(b) else 0 for a, b in regions]
+    for k in (k for k, c in enumerate(cells) if c > CELLS):
+        out[k] = _score_long(*regions[k], cfg)
+    order = sorted((k for k, c in enumerate(cells) if 0 < c <= CELLS), key=lambda k: (len(regions[k][0]), len(regions[k][1])))
     while order:
         n = m = size = 0
         while size < len(order):
@@ -293,6 +296,52 @@ def _score(x: np.ndarray, y: np.ndarray, cfg: AlignConfig) -> list[tuple[int, in
     return [(int(i[k]), int(ends[0][k]), int(j[k]), int(ends[1][k]), hits[k] / places[k]) if best[k] else (0, -1, 0, -1, 0.0) for k in r]
 
 
+def _score_long(a: np.ndarray, b: np.ndarray, cfg: AlignConfig) -> tuple[int, int, int, int, float]:
+    """As _score() for one region whose matrix would be too large: every so many rows one is kept, and those between are made again on the way back."""
+    n, m = len(a), len(b)
+    match, mismatch, gap = (round(2 * v) for v in (cfg.match, cfg.mismatch, cfg.gap))
+    slope = (gap * np.arange(m + 1)).astype(np.int32)
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        new = np.zeros(m + 1, np.int32)
+        np.maximum(row[:-1] + np.where(b == a[i - 1], match, mismatch), row[1:] + gap, out=new[1:])
+        np.maximum(new, 0, out=new)
+        return np.maximum.accumulate(new - slope) + slope
+
+    step = int(n**0.5) + 1
+    kept = {0: np.zeros(m + 1, np.int32)}
+    row, best, i, j = kept[0], 0, 0, 0
+    for r in range(1, n + 1):
+        row = after(row, r).astype(np.int32)
+        if (top := int(row.max())) > best:
+            best, i, j = top, r, int(row.argmax())
+        if r % step == 0:
+            kept[r] = row
+    if not best:
+        return 0, -1, 0, -1, 0.0
+    ends = i - 1, j - 1
+    places = hits = 0
+    while i and j:
+        base = (i - 1) // step * step
+        block = [kept[base]]
+        for r in range(base + 1, i + 1):
+            block.append(after(block[-1], r).astype(np.int32))
+        while i > base and j and block[i - base][j]:
+            now, above = block[i - base][j], block[i - base - 1]
+            places += 1
+            same = a[i - 1] == b[j - 1]
+            if now == above[j - 1] + (match if same else mismatch):
+                hits += int(same)
+                i, j = i - 1, j - 1
+            elif now == above[j] + gap:
+                i -= 1
+            else:
+                j -= 1
+        if not j or not block[i - base][j]:
+            break
+    return i, ends[0], j, ends[1], hits / places
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray, cfg: AlignConfig) -> tuple[int, int, int, int, float]:
     return local_alignments([(a, b)], cfg)[0]
 

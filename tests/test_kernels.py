@@ -60,6 +60,33 @@ def test_alignment_equals_the_cell_by_cell_one(a, b):
     assert got[:4] == want[:4] and got[4] == pytest.approx(want[4])
 
 
+@given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_long_regions_are_aligned_alike(a, b):
+    x, y = np.array(a, np.int64), np.array(b, np.int64)
+    if len(a) and len(b):
+        assert k._score_long(x, y, AlignConfig()) == pytest.approx(brute.local_alignment(a, b))
+
+
+def test_regions_of_all_sizes_together(monkeypatch):
+    rng = random.Random(5)
+    regions = [(np.array([rng.randrange(3) for _ in range(rng.randrange(12))]), np.array([rng.randrange(3) for _ in range(rng.randrange(12))])) for _ in range(60)]
+    want = [pytest.approx(brute.local_alignment(a.tolist(), b.tolist())) for a, b in regions]
+    for cells in (20, 60, 10_000):
+        monkeypatch.setattr(k, "CELLS", cells)
+        assert k.local_alignments(regions, AlignConfig()) == want
+
+
+@given(st.lists(st.sampled_from(["References", "\n", "\n", "  ", "x", ":", " works cited", "bibliography", ". "]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_reference_heading_is_the_last_line_of_its_kind(parts):
+    import re
+
+    text = "".join(parts)
+    slow = [m.start() for m in re.finditer(r"^\s*(?:references|bibliography|works\s+cited|literature\s+cited)\s*:?\s*$", text, re.I | re.M)]
+    assert k._references(text) == (slow[-1] if slow else None)
+
+
 def test_chains_drift_and_break():
     assert k.chains([(0, 10), (4, 14), (9, 20), (40, 50)], 12) == [[0, 9, 10, 20, 3], [40, 40, 50, 50, 1]]
     assert k.chains([], 12) == []
