@@ -7,8 +7,8 @@ the texts of the history are read again only for records that pass. A pair passe
 shares cover at least MIN_COVER of either text; it is then decided exactly, by equality or by the
 Jaccard similarity of the two sets of five-token runs.
 
-Texts of at most FINE tokens have too few chunks for that, so every five-token run counts as a chunk
-there (also in texts up to FINE / similarity tokens, which may meet them); with the prefix rule below
+Texts of at most FINE distinct runs have too few chunks for that, so every five-token run counts as a chunk
+there (also in texts up to FINE / similarity distinct runs, which may meet them); with the prefix rule below
 that is exact. Chunks are ordered by how many records hold them, and a text is looked up only by its
 rarest chunks, up to 1 - MIN_COVER of its size (1 - similarity for the fine ones): a pair that
 reaches the cover shares one of these. Frequent chunks thus cost nothing and nothing is capped.
@@ -61,14 +61,13 @@ def _chunks(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.D
                 c.append(x)
 
         for cls, text in zip(b["cls"], b["_t"]):
-            toks = tokens(text)
-            g = gram_hashes(token_ids(toks, memo), GRAM)
+            g = gram_hashes(token_ids(tokens(text), memo), GRAM)
             if not len(g):
                 continue
-            if len(toks) <= FINE / similarity:
-                grams = np.unique(g)
+            grams = np.unique(g)
+            if len(grams) <= FINE / similarity:
                 put(cls, grams, np.full(len(grams), -1), len(grams))
-            if len(toks) > FINE:
+            if len(grams) > FINE:
                 h, size = chunk_hashes(g)
                 h, first = np.unique(h, return_index=True)
                 put(cls, h, size[first], int(size[first].sum()))

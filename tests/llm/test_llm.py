@@ -176,6 +176,22 @@ def test_p4_equals_brute_force_and_batches_add_up(spark, tmp_path):
     assert p4.repeats(d.limit(0), acc).count() == 0
 
 
+def p4_rows(spark, texts):
+    """(records, accepted, expected pairs) of texts with their batches, all accepted."""
+    rs = [(i, f"d{i}", t, b) for i, (t, b) in enumerate(texts)]
+    d = spark.createDataFrame(rs, "raw_id bigint, doc_id string, text string, batch_no int")
+    return d, spark.createDataFrame([(r[1],) for r in rs], "doc_id string"), brute_repeats(rs, {r[1] for r in rs})
+
+
+def test_p4_short_text_meets_itself_pasted_twice(spark):
+    texts = []
+    for n in (20, 40, 60, 64, 70, 91):
+        w = [f"w{n}x{i}" for i in range(n)]
+        texts += [(" ".join(w), 0), (" ".join(w + w), 1), (" ".join(w * 3), 2)]
+    d, acc, want = p4_rows(spark, texts)
+    assert (6, 7) in want and rows(p4.repeats(d, acc)) == want
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
