@@ -1,17 +1,13 @@
 """Problem 4: new batches held against everything accepted before.
 
-Every text is cut into content-defined chunks: a hash rolls over five tokens at a time and a chunk
-ends where it falls into a fixed residue, so an edit moves only the boundaries beside it. A
-chunk-to-record table (chunk, record, chunk size, record size) is all a new batch is joined with;
-the texts of the history are read again only for records that pass. A pair passes if the chunks it
-shares cover at least MIN_COVER of either text; it is then decided exactly, by equality or by the
-Jaccard similarity of the two sets of five-token runs.
-
-Texts of at most FINE distinct runs have too few chunks for that, so every five-token run counts as a chunk
-there (also in texts up to FINE / similarity distinct runs, which may meet them); with the prefix rule below
-that is exact. Chunks are ordered by how many records hold them, and a text is looked up only by its
-rarest chunks, up to 1 - MIN_COVER of its size (1 - similarity for the fine ones): a pair that
-reaches the cover shares one of these. Frequent chunks thus cost nothing and nothing is capped.
+A text is the set of its five-token runs. Two texts of Jaccard similarity s share at least s of the runs
+of either, so whatever one order all runs are put in, the two have a run in common among the first
+1 - s of each (the prefix rule). Only these are joined, with bounds on length and place that XX exactly, by equality or by the Jaccard similarity. No
+length or repetition of a text makes an exception, and nothing is capped.
+
+The order puts runs that many texts hold last. Which these are is counted over the runs of one text in
+SAMPLE; what stands in fewer than one in RARE of those counts as rare. The order decides only how many
+pairs are looked at, never which are found.
 
 Copies form one class. Null and empty texts are never cases; texts under five tokens match only as
 copies; rows without an accepted doc_id never stand on the earlier side, rows of null id or batch on neither.
@@ -23,67 +19,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, present, table, tokens
 from .p2_spans import gram_hashes, token_ids
 
 GRAM = 5
-MEAN_CHUNK = 6
-FINE = 64
 SIMILARITY = 0.7
-MIN_COVER = 0.2
-CHUNKS = "cls bigint, chunk bigint, size int, total int"  # size -1: a single run of a short text
-
+SAMPLE = 16
+RARE = 20_000
+RUNS = "cls bigint, runs binary"
 
-def chunk_hashes(g: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, size) of each content-defined chunk of a sequence of run hashes."""
-    ends = np.flatnonzero(g % mean == 0) + 1
-    ends = np.unique(np.append(ends, len(g)))
-    starts = np.append(0, ends[:-1])
-    with np.errstate(over="ignore"):
-        m = np.uint64(0x9E3779B97F4A7C15)
-        mixed = (g.view(np.uint64) ^ (g.view(np.uint64) >> np.uint64(33))) * m
-        # position inside the chunk counts, so equal sets in another order differ
-        at = (np.arange(len(g)) - np.repeat(starts, ends - starts)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        h = np.add.reduceat(mixed * at, starts)
-    return (h ^ (h >> np.uint64(29))).view(np.int64), (ends - starts).astype(np.int32)
 
-
-def _chunks(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+def _run_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo: dict[str, int] = {}
     for b in batches:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
+        yield pd.DataFrame({"cls": b["cls"], "runs": [np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM)).tobytes() for t in b["_t"]]})
+
+
+def run_table(texts: DataFrame) -> DataFrame:
+    """texts(cls, _t) -> (cls, runs): the sorted hashes of the distinct runs of each."""
+    return texts.mapInPandas(_run_sets, RUNS)
+
 
-        def put(cls: int, chunk: np.ndarray, size: np.ndarray, total: int, cols=cols) -> None:
-            for c, x in zip(cols, (np.full(len(chunk), cls), chunk, size, np.full(len(chunk), total))):
-                c.append(x)
+def parity(g: np.ndarray) -> bytes:
+    """As many bits as there are runs, to the next power of two; each run flips one. Two of them differ in no more places than the sets do."""
+    size = 1 << max(6, (len(g) - 1).bit_length())
+    return np.packbits((np.bincount(g & (size - 1), minlength=size) & 1).astype(bool)).tobytes()
 
-        for cls, text in zip(b["cls"], b["_t"]):
-            g = gram_hashes(token_ids(tokens(text), memo), GRAM)
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    a, b = sorted((x, y), key=len)
+    while len(b) > len(a):  # the longer one folded is what the shorter size would have given
+        h = len(b) // 2
+        b = (int.from_bytes(b[:h]) ^ int.from_bytes(b[h:])).to_bytes(h)
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
+def _prefixes(batches: Iterator[pd.DataFrame], hot: Broadcast, similarity: float) -> Iterator[pd.DataFrame]:
+    known, count = hot.value
+    for b in batches:
+        rows = []
+        for c, g in zip(b["cls"], b["runs"]):
+            g = np.frombuffer(g, np.int64)
             if not len(g):
                 continue
-            grams = np.unique(g)
-            if len(grams) <= FINE / similarity:
-                put(cls, grams, np.full(len(grams), -1), len(grams))
-            if len(grams) > FINE:
-                h, size = chunk_hashes(g)
-                h, first = np.unique(h, return_index=True)
-                put(cls, h, size[first], int(size[first].sum()))
-        if cols[0]:
-            yield pd.DataFrame(dict(zip(("cls", "chunk", "size", "total"), map(np.concatenate, cols))))
+            often = np.zeros(len(g), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                often = np.where(known[at] == g, count[at], 0)
+            n = len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1
+            rows.append((c, len(g), parity(g), g[np.lexsort((g, often))[:n]]))
+        yield pd.DataFrame(rows, columns=["cls", "total", "bits", "prefix"])
 
 
-def chunk_table(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """texts(cls, _t) -> the rows of the chunk table."""
-    return texts.mapInPandas(lambda it: _chunks(it, similarity), CHUNKS)
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            run, n = np.unique(np.concatenate([np.frombuffer(g, np.int64) for g in b["runs"]]), return_counts=True)
+            yield pd.DataFrame({"run": run, "n": n})
 
 
-def _run_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo: dict[str, int] = {}
-    for b in batches:
-        yield pd.DataFrame({"cls": b["cls"], "runs": [np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM)).tobytes() for t in b["_t"]]})
+def frequent_runs(sample: DataFrame) -> Broadcast:
+    """Sorted hashes and counts of the runs that at least one in RARE texts of sample(cls, runs) holds, two at least: a number that does not grow with the texts."""
+    spark = sample.sparkSession
+    sample = materialize(sample)
+    least = max(2, -(-sample.count() // RARE))
+    hot = sample.mapInPandas(_counted, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("run").toPandas()
+    return spark.sparkContext.broadcast((hot["run"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
+
+
+def sampled(df: DataFrame) -> DataFrame:
+    return df.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0)
+
+
+def prefix_table(runs: DataFrame, hot: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
+    """(cls, total, bits, prefix): how many runs each text has, their parity, and those it is looked up by, in order."""
+    return runs.mapInPandas(lambda it: _prefixes(it, hot, similarity), "cls bigint, total int, bits binary, prefix array<bigint>")
 
 
 def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
@@ -96,34 +110,40 @@ def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.
         yield b.loc[keep, ["ca", "cb"]]
 
 
-def candidate_classes(chunks: DataFrame, old: DataFrame, new: DataFrame, similarity: float = SIMILARITY, min_cover: float = MIN_COVER) -> DataFrame:
-    """(ca, cb), distinct, ca <> cb: classes of `old` and `new` (each: cls) that share one of their rare chunks."""
-    fine = F.col("size") < 0
-    df = chunks.groupBy("chunk").agg(F.count("*").alias("df")).where("df > 1")
-    c = chunks.join(df, "chunk")  # chunks of one record can join nothing
-    # rarest first; what cannot be met any more counts too, as it comes first of all
-    c = c.select("cls", "chunk", F.abs("size").alias("size"), "total", "df", fine.alias("fine"))
-    of = Window.partitionBy("cls", "fine")
-    held = F.sum("size").over(of)
-    before = F.coalesce(F.sum("size").over(of.orderBy("df", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("total") - held
-    share = F.when(F.col("fine"), F.lit(1 - similarity)).otherwise(F.lit(1 - min_cover))
-    c = c.withColumn("before", before).where(F.col("before") <= share * F.col("total") + 1e-6).select("cls", "fine", "chunk", "total")
-    a = c.join(old, "cls", "left_semi").select(F.col("cls").alias("ca"), "fine", "chunk", F.col("total").alias("ta"))
-    b = c.join(new, "cls", "left_semi").select(F.col("cls").alias("cb"), "fine", "chunk", F.col("total").alias("tb"))
-    near: Column = F.least("ta", "tb") >= F.when(F.col("fine"), F.lit(similarity)).otherwise(F.lit(0.5 * similarity)) * F.greatest("ta", "tb") - 1e-6
-    return a.join(b, ["fine", "chunk"]).where((F.col("ca") != F.col("cb")) & near).select("ca", "cb").distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (ca, cb) whose sets of five-token runs are that similar. texts(cls, _t) is read for their classes only."""
-    pairs = materialize(pairs)
-    need = pairs.select(F.col("ca").alias("cls")).unionByName(pairs.select(F.col("cb").alias("cls"))).distinct()
-    runs = materialize(texts.join(need, "cls", "left_semi").mapInPandas(_run_sets, "cls bigint, runs binary"))
+def candidate_classes(left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(ca, cb), distinct, ca <> cb: classes of two prefix tables that may be that similar. Of one table with itself each pair once, ca < cb."""
+    a = left.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.posexplode("prefix").alias("pa", "run"))
+    b = right.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.posexplode("prefix").alias("pb", "run"))
+    # from the first run they share on, the rest of either text must still hold the overlap
+    near = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("ta") + F.col("tb")) - 1e-6
+    other = F.col("ca") < F.col("cb") if left is right else F.col("ca") != F.col("cb")
+    return a.join(b, "run").where(other & near).select("ca", "cb").distinct()
+
+
+def _close(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        most = (1 - similarity) / (1 + similarity) * (b["ta"] + b["tb"]) + 1e-6
+        yield b.loc[[parity_distance(x, y) <= m for x, y, m in zip(b["sa"], b["sb"], most)], ["ca", "cb"]]
+
+
+def close(pairs: DataFrame, left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (ca, cb) whose parities (left, right: cls, total, bits) do not rule that similarity out."""
+    return (pairs.join(left.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("bits").alias("sa")), "ca")
+            .join(right.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("bits").alias("sb")), "cb")
+            .mapInPandas(lambda it: _close(it, similarity), "ca bigint, cb bigint"))
+
+
+def confirmed(pairs: DataFrame, runs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (ca, cb) whose sets of runs are that similar. runs(cls, runs) need hold no more than their classes."""
     return (pairs.join(runs.select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
             .join(runs.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb")
             .mapInPandas(lambda it: _jaccard(it, similarity), "ca bigint, cb bigint"))
 
 
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("ca").alias("cls")).unionByName(pairs.select(F.col("cb").alias("cls"))).distinct()
+
+
 def _expand(pairs: DataFrame, old: DataFrame, new: DataFrame, ident: str, block: int = 20_000) -> DataFrame:
     """Class pairs (ca, cb), the two may be one class -> row pairs with an earlier batch on side a."""
     def blocks(d: DataFrame, cls: str, i: str, n: str, b: str, batch: str) -> tuple[DataFrame, DataFrame]:
@@ -148,20 +168,26 @@ def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", simi
     r = records.select(F.col(ident), "doc_id", F.col("text").alias("_t"), "batch_no").where(present("_t") & F.col("batch_no").isNotNull() & F.col(ident).isNotNull()).withColumn("cls", F.xxhash64("_t"))
     known = accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True))
     rows = materialize(r.select("cls", ident, "batch_no", "doc_id").join(known, "doc_id", "left").select("cls", ident, "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
-    old, new = rows.where("ok"), rows
-    chosen = rows.groupBy("cls").agg(F.min(ident).alias(ident))
-    texts = r.select(ident, "cls", "_t").join(chosen.select(ident), ident, "left_semi").select("cls", "_t")
-    chunks = materialize(chunk_table(texts, similarity))
-    first, last = old.groupBy("cls").agg(F.min("batch_no").alias("x")), new.groupBy("cls").agg(F.max("batch_no").alias("y"))
-    pairs = candidate_classes(chunks, first.select("cls"), last.select("cls"), similarity)
-    # only pairs in which some row of b is later than some accepted row of a
-    pairs = pairs.join(first.select(F.col("cls").alias("ca"), "x"), "ca").join(last.select(F.col("cls").alias("cb"), "y"), "cb").where("x < y").select("ca", "cb")
-    same = first.join(last, "cls").where("x < y").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-    return _expand(confirmed(pairs, texts, similarity).unionByName(same), old, new, ident)
+    classes = materialize(rows.groupBy("cls").agg(F.min(ident).alias(ident), F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("x"), F.max("batch_no").alias("y")))
+    # inside, a class goes by the id of one of its rows
+    chosen = classes.select(F.col(ident).alias("cls"), "x", "y")
+    stored = r.select(F.col(ident).alias("cls"), "_t")
+    texts, some = stored.join(chosen.select("cls"), "cls", "left_semi"), sampled(stored).join(sampled(chosen).select("cls"), "cls", "left_semi")
+    prefixes = materialize(prefix_table(run_table(texts), frequent_runs(run_table(some)), similarity))
+    # only pairs in which some row of one is later than some accepted row of the other
+    a, b = chosen.select(F.col("cls").alias("ca"), F.col("x").alias("xa"), F.col("y").alias("ya")), chosen.select(F.col("cls").alias("cb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    pairs = candidate_classes(prefixes, prefixes, similarity).join(a, "ca").join(b, "cb").where("xa < yb or xb < ya").select("ca", "cb")
+    pairs = materialize(close(pairs, prefixes, prefixes, similarity))
+    runs = materialize(run_table(stored.join(_of_pairs(pairs), "cls", "left_semi")))
+    found = confirmed(pairs, runs, similarity)
+    name = lambda c: classes.select(F.col("cls").alias(f"h{c[1]}"), F.col(ident).alias(c))
+    found = materialize(found.join(name("ca"), "ca").join(name("cb"), "cb").select(F.col("ha").alias("ca"), F.col("hb").alias("cb")))
+    same = classes.where("x < y").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
+    return _expand(found.unionByName(found.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).unionByName(same), rows.where("ok"), rows, ident)
 
 
 class History:
-    """The chunk table and the rows behind it, kept in a folder that all executors share.
+    """The runs of every accepted text and the rows behind them, kept in a folder that all executors share.
 
     check(batch) compares one batch with what earlier calls appended; append(batch) adds accepted rows.
     A batch that was appended before is not added twice (rows are identified by `ident`).
@@ -178,29 +204,30 @@ class History:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return self._read("chunks", CHUNKS), self._read("texts", "cls bigint, _t string"), self._read("rows", f"cls bigint, {self.ident} bigint, batch_no int")
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        return self._read("runs", RUNS), self._read("rows", f"cls bigint, {self.ident} bigint, batch_no int")
 
     def _rows(self, batch: DataFrame) -> DataFrame:
         return batch.where(present("text")).select(F.xxhash64("text").alias("cls"), F.col(self.ident).cast("bigint").alias(self.ident), F.col("batch_no").cast("int").alias("batch_no"), F.col("text").alias("_t"))
 
     def check(self, batch: DataFrame) -> DataFrame:
-        """(ident_a, ident_b): accepted rows of earlier batches that rows of this one repeat. Only chunks and the texts of candidates are read."""
-        chunks, texts, rows = self._tables()
+        """(ident_a, ident_b): accepted rows of earlier batches that rows of this one repeat. No text of the history is read again."""
+        kept, rows = self._tables()
         new = materialize(self._rows(batch))
-        fresh = new.groupBy("cls").agg(F.first("_t").alias("_t")).join(texts.select("cls"), "cls", "left_anti")
-        own = materialize(chunk_table(fresh, self.similarity))
-        pairs = candidate_classes(chunks.unionByName(own), rows.select("cls").distinct(), new.select("cls").distinct(), self.similarity)
-        found = confirmed(pairs, texts.unionByName(fresh.select("cls", "_t")), self.similarity)
+        own = materialize(run_table(new.groupBy("cls").agg(F.first("_t").alias("_t"))))
+        hot = frequent_runs(sampled(kept.unionByName(own)))
+        a, b = materialize(prefix_table(kept, hot, self.similarity)), materialize(prefix_table(own, hot, self.similarity))
+        pairs = materialize(close(candidate_classes(a, b, self.similarity), a, b, self.similarity))
+        runs = kept.join(pairs.select(F.col("ca").alias("cls")).distinct(), "cls", "left_semi").unionByName(own).dropDuplicates(["cls"])
+        found = confirmed(pairs, runs, self.similarity)
         same = new.select("cls").distinct().join(rows.select("cls").distinct(), "cls").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
         return _expand(found.unionByName(same), rows, new.drop("_t"), self.ident)
 
     def append(self, accepted: DataFrame) -> None:
-        chunks, texts, rows = self._tables()
+        kept, rows = self._tables()
         new = materialize(self._rows(accepted).join(rows.select(self.ident), self.ident, "left_anti"))
-        fresh = materialize(new.groupBy("cls").agg(F.first("_t").alias("_t")).join(texts.select("cls"), "cls", "left_anti"))
-        chunk_table(fresh, self.similarity).write.mode("append").parquet(f"{self.path}/chunks")
-        fresh.write.mode("append").parquet(f"{self.path}/texts")
+        fresh = new.groupBy("cls").agg(F.first("_t").alias("_t")).join(kept.select("cls"), "cls", "left_anti")
+        run_table(fresh).write.mode("append").parquet(f"{self.path}/runs")
         new.drop("_t").write.mode("append").parquet(f"{self.path}/rows")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,29 @@ def test_p4_short_text_meets_itself_pasted_twice(spark):
     assert (6, 7) in want and rows(p4.repeats(d, acc)) == want
 
 
+def test_p4_finds_pairs_that_share_few_whole_chunks(spark):
+    texts = []
+    for i in (936, 1260, 1383, 3688, 5400, 5738, 7394, 8637, 9044):  # evenly spaced edits; content-defined chunks in common cover under 17 %
+        n, edits = ((95, 3), (100, 3), (120, 4), (150, 5))[i % 4]
+        w = [f"w{i}x{k}" for k in range(n)]
+        v = list(w)
+        for k in range(edits):
+            v[(k + 1) * n // (edits + 1)] = f"e{k}"
+        texts += [(" ".join(w), 0), (" ".join(v), 1)]
+    texts += [("same " * 70, 0), ("same " * 80, 1)]
+    d, acc, want = p4_rows(spark, texts)
+    assert len(want) == 10 and rows(p4.repeats(d, acc)) == want
+
+
+def test_p4_parity_never_exceeds_the_difference():
+    r = np.random.default_rng(1)
+    for n, m in ((1, 1), (50, 65), (64, 90), (200, 257), (1000, 1400)):
+        x = r.integers(-2**63, 2**63 - 1, n)
+        y = np.concatenate([x[: n * 3 // 4], r.integers(-2**63, 2**63 - 1, m - n * 3 // 4)])
+        d = len(set(x.tolist()) ^ set(y.tolist()))
+        assert p4.parity_distance(p4.parity(x), p4.parity(y)) <= d and p4.parity_distance(p4.parity(x), p4.parity(x)) == 0
+
+
 # --- 5 ---------------------------------------------------------------------------------------------
 
 
