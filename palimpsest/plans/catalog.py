@@ -175,6 +175,74 @@ def pair_jaccard(s, d):
     return p.select(F.col("sub_id").alias("a_id"), F.col("src_id").alias("b_id"), F.round(native.estimate_jaccard("sa", "sb"), 6).alias("estimated"), F.round(native.exact_jaccard("va", "vb"), 6).alias("exact"))
 
 
+# The same operators over documents, which grow. Pairs are given between classes of equal fingerprint sets
+# (`lsh_classes_docs` says which document is in which), so copies cost a row each and not one a pair.
+
+
+def token_offsets_docs(s, d):
+    return spans.token_offsets(_docs(s, d))
+
+
+def token_hash_docs(s, d):
+    toks = _docs(s, d).select(F.explode(native.tokens("text")).alias("tok")).distinct()
+    return toks.select("tok", native.token_hash("tok").alias("value"))
+
+
+def shingle_hash_docs(s, d):
+    toks = _docs(s, d).select("doc_id", F.posexplode(native.tokens("text")).alias("pos", "tok"))
+    v = toks.join(toks.select("tok").distinct().withColumn("tv", native.token_hash("tok")), "tok")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return v.select("doc_id", "pos", native.horner257([F.lead("tv", i).over(w) if i else F.col("tv") for i in range(CFG.k)]).alias("value")).where("value is not null")
+
+
+def minhash_signature_docs(s, d):
+    return _fp(_docs(s, d)).select("doc_id", F.posexplode("sig").alias("slot", "value"))
+
+
+def lsh_band_keys_docs(s, d):
+    return lsh(_fp(_docs(s, d)), CFG).select("doc_id", "band", F.get("key", F.lit(0)).alias("k0"), F.get("key", F.lit(1)).alias("k1"))
+
+
+def _classes(f: DataFrame) -> DataFrame:
+    """(doc_id, class_id): class_id is the smallest doc_id with the same set of fingerprints."""
+    m = f.select("doc_id", F.xxhash64(F.array_sort(F.array_distinct("value"))).alias("_k"))
+    return m.join(m.groupBy("_k").agg(F.min("doc_id").alias("class_id")), "_k").select("doc_id", "class_id")
+
+
+def lsh_classes_docs(s, d):
+    return _classes(_fp(_docs(s, d)))
+
+
+def _class_pairs(s, d) -> tuple[DataFrame, DataFrame]:
+    f = written(_fp(_docs(s, d)))
+    f = written(f.join(_classes(f).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"))
+    return f, retrieve.lsh_pairs(f, f, CFG).where("sub_id < src_id")
+
+
+def lsh_candidate_pairs_docs(s, d):
+    return _class_pairs(s, d)[1].select(F.col("sub_id").alias("a_id"), F.col("src_id").alias("b_id"))
+
+
+def pair_jaccard_docs(s, d):
+    f, p = _class_pairs(s, d)
+    p = p.join(f.select(F.col("doc_id").alias("sub_id"), F.col("sig").alias("sa"), F.col("value").alias("va")), "sub_id").join(f.select(F.col("doc_id").alias("src_id"), F.col("sig").alias("sb"), F.col("value").alias("vb")), "src_id")
+    return p.select(F.col("sub_id").alias("a_id"), F.col("src_id").alias("b_id"), F.round(native.estimate_jaccard("sa", "sb"), 6).alias("estimated"), F.round(native.exact_jaccard("va", "vb"), 6).alias("exact"))
+
+
+def index_stats_docs(s, d):
+    return Corpus.build(_docs(s, d), cfg=CFG).stats()
+
+
+def lexical_embedding_docs(s, d):
+    return paraphrase.lexical_embedding(_docs(s, d)).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def mask_and_refill_docs(s, d):
+    m = _docs(s, d).select("doc_id", lm.mask_spans("text").alias("m")).select("doc_id", "m.masked", "m.n")
+    answer = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.concat(F.lit("<extra_id_"), i.cast("string"), F.lit("> word"))), " ")
+    return m.select("doc_id", "masked", "n", lm.refill("masked", answer).alias("refilled"))
+
+
 def _pair(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"sub_id": "doc_id", "src_id": "item_id"})
 
@@ -420,7 +488,8 @@ def queries() -> dict[str, Query]:
         shared_counts, seeds, candidates_top50, exact_runs, similarity_index, source_breakdown, matched_index, ai_bands, ai_document_index, review_priority, isotonic_apply, isotonic_fit,
         word_ratios, punct_entropy, lexical_embedding, paraphrase_topk, embedding_topk, log_softmax_rank, lm_triples, reconstruct_abstract, query_phrases, mask_and_refill, index_stats,
         forget_document, drift, fold_text, sentence_spans, exclusion_spans, chain_seeds, stylometry_doc, ai_segments, ai_analysis, originality_check, align_matches,
-        originality_report_json, originality_report_html)}
+        originality_report_json, originality_report_html, token_offsets_docs, token_hash_docs, shingle_hash_docs, minhash_signature_docs, lsh_band_keys_docs, lsh_classes_docs,
+        lsh_candidate_pairs_docs, pair_jaccard_docs, index_stats_docs, lexical_embedding_docs, mask_and_refill_docs)}
 
 
 # --- SQL twins ----------------------------------------------------------------------------------------
