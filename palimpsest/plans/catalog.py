@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -367,6 +369,32 @@ def paraphrase_topk(s, d):
     return c.select((F.col("b_id") - SHIFT).alias("item_id"), F.col("a_id").alias("doc_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def paraphrase_topk_all(s, d):
+    """All items against all documents. Items do not grow, so each task holds their vectors."""
+    q = paraphrase.lexical_embedding(_t(s, d, "eval_items"), "item_id").toPandas()
+    ids = np.unique(q["doc_id"].to_numpy(np.int64))
+    m = np.zeros((paraphrase.EMBEDDING_DIM, len(ids)))
+    m[q["bucket"], np.searchsorted(ids, q["doc_id"])] = q["weight"]
+    held = s.sparkContext.broadcast((ids, m))
+
+    def best(batches):
+        ids, m = held.value
+        for b in batches:
+            v = np.zeros((len(b), len(m)))
+            for i, (k, w) in enumerate(zip(b["k"], b["w"])):
+                v[i, k] = w
+            c, docs = np.round(v @ m, 6), b["doc_id"].to_numpy(np.int64)
+            for j, item in enumerate(ids):
+                o = np.lexsort((docs, -c[:, j]))[:10]
+                o = o[v[o] @ m[:, j] > 0]
+                yield pd.DataFrame({"item_id": item, "doc_id": docs[o], "cosine": c[o, j]})
+
+    e = paraphrase.lexical_embedding(_docs(s, d)).groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("x"))
+    c = e.select("doc_id", F.col("x.bucket").alias("k"), F.col("x.weight").alias("w")).mapInPandas(best, "item_id bigint, doc_id bigint, cosine double")
+    w = Window.partitionBy("item_id").orderBy(F.col("cosine").desc(), "doc_id")
+    return c.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
 def embedding_topk(s, d):
     """Queries: vectors whose id is divisible by 100, against all."""
     e = _t(s, d, "embeddings").where("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
@@ -489,7 +517,7 @@ def queries() -> dict[str, Query]:
         word_ratios, punct_entropy, lexical_embedding, paraphrase_topk, embedding_topk, log_softmax_rank, lm_triples, reconstruct_abstract, query_phrases, mask_and_refill, index_stats,
         forget_document, drift, fold_text, sentence_spans, exclusion_spans, chain_seeds, stylometry_doc, ai_segments, ai_analysis, originality_check, align_matches,
         originality_report_json, originality_report_html, token_offsets_docs, token_hash_docs, shingle_hash_docs, minhash_signature_docs, lsh_band_keys_docs, lsh_classes_docs,
-        lsh_candidate_pairs_docs, pair_jaccard_docs, index_stats_docs, lexical_embedding_docs, mask_and_refill_docs)}
+        lsh_candidate_pairs_docs, pair_jaccard_docs, index_stats_docs, lexical_embedding_docs, mask_and_refill_docs, paraphrase_topk_all)}
 
 
 # --- SQL twins ----------------------------------------------------------------------------------------

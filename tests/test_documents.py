@@ -25,3 +25,12 @@ def test_operators_run_over_all_documents(spark, tmp_path):
     assert {(a, b) for a in cls for b in cls if a < b and (cls[a] == cls[b] or tuple(sorted((cls[a], cls[b]))) in pairs)} == meet and (1, 2) in pairs
     assert {(a, b): x for a, b, _, x in got["pair_jaccard_docs"]} == {(a, b): round(len(values[a] & values[b]) / len(values[a] | values[b]), 6) for a, b in pairs}
     assert got["index_stats_docs"][0][:2] == (8, len(set.union(*values.values())))
+
+
+def test_paraphrase_search_takes_all_items(spark, sf):
+    got = [tuple(r) for r in catalog.paraphrase_topk_all(spark, sf).collect()]
+    items = {r.item_id for r in spark.read.parquet(f"{sf}/eval_items.parquet").where("text rlike '\\\\S'").select("item_id").collect()}
+    assert {r[0] for r in got} == items and len(items) == 240
+    some = {(r[0], r[1], r[3]): r[2] for r in got if r[0] % 100 == 0}
+    want = {(r[0], r[1], r[3]): r[2] for r in map(tuple, catalog.paraphrase_topk(spark, sf).collect())}
+    assert some.keys() == want.keys() and all(abs(some[k] - want[k]) < 2e-6 for k in want)
