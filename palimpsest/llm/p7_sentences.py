@@ -1,103 +1,258 @@
 """Problem 7: sentences with offsets, in any script.
 
-Every place where a sentence could end (after an end mark and what closes with it, at a blank in
-scripts without marks, at an empty line) is tagged boundary or inside by a linear chain over two
-states, decoded with Viterbi. The score of a place adds up
-
-* what the word before a full stop says: log odds counted over all records (full stops inside a
-  line that run on in lower case, digits or a comma, against those that end a paragraph), over a
-  prior for known abbreviations;
-* what follows: a capital, a quotation, a bracket or a figure, or lower case;
-* the state before: two boundaries with hardly a letter between them are unlikely.
-
-Text that runs on in lower case, decimals, marks inside brackets and quotations with their frame
-are held together by infinite scores. For scripts written without marks (Thai) the chain is
-trained on text stripped of punctuation: blanks score by the letters around them, counted at the
-edges of paragraphs, over the prior that a blank ends a unit there.
-
-Units cover everything but white space. Null and empty texts have none.
+Every place where a sentence could end (behind an end mark and what closes with it; at a blank in
+scripts that use no marks) is tagged boundary or inside by a linear chain over these two states,
+decoded with Viterbi. All scores are log odds counted over all records; no list of words goes in.
+The labels are those the text itself gives: where a paragraph ends and the next begins is a boundary.
+
+* left: how often the word before a full stop ends a paragraph, of all times it stands before one
+  (an abbreviation never does). A word little is known of goes by its shape: one letter, letters
+  between stops, a figure, short, long;
+* mark: the same of the mark with what closes behind it (`!"` goes on where `."` ends);
+* right: how often the next word begins a paragraph, of all times it follows a blank, else its kind
+  (capital, small letter, figure, sign); behind figures and single letters also how often it follows these
+  with a stop (months and further initials do);
+* transition: how many words lie between two boundaries, in paragraphs of one unit against all
+  stretches between marks.
+
+All counts are kept by script. Only the structure is fixed, not learned: nothing ends inside an open quotation or bracket,
+nor at a mark with no blank behind it (decimals, addresses) in scripts that write blanks. A script whose paragraphs mostly
+end without a mark (Thai) is tagged at its blanks; for it the chain is trained on text stripped of punctuation: letters at
+paragraph edges against letters anywhere.
+
+Units cover everything but white space. Null and empty texts have none. Untrained, the tagger ends a unit at each mark.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, present, table
+from .common import materialize, present, spread, table
+from .p3_encoding import script
 
 MIN_SHARE = 1e-6
-# Words that do not end a sentence with their full stop.
-TITLES = frozenset(
-    "mr mrs ms mx dr prof st sr sra srta dra d dña don m mm mme mlle mgr me pr hr fr frl ing dipl ks inż mgr hab abp bp gen płk kpt lt col capt sgt cpl gov sen rep rev hon pres "
-    "проф акад г-н г-жа д-р им ул κ κα κος δρ डॉ श्री प्रो د أ م آ gov mt ft".split())
-NUMBERED = frozenset(
-    "no nos nr n° nº vol vols fig figs sec secs eq eqs ch chap p pp pg pág págs pag art abs bd bde kap s str rys tab tabl poz rozdz ust стр с рис табл гл п пп ст см ср τομ σελ σσ βλ εικ κεφ αρ παρ "
-    "approx ca circa etwa ungef ok около прибл c ed eds cap núm num aprox env av bzgl vgl siehe zob por cf cfr см напр πρβλ π.χ e.g i.e z.b d.h u.a m.in tzn tj np т.е т.к т.н и.о p.ej ej vs v al et".split())
-MAYBE = frozenset("etc usw u.a a.m ff f r w jh jhdt hrsg g г гг в вв др пр т.д т.п co inc ltd corp jr sr a.m p.m am pm bc ad m km cm mm kg ft in min max h s κτλ κλπ itd itp вkm".split())
-MONTHS = re.compile(r"(?:januar|jänner|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember|jahrhundert|stock|klasse|kapitel|auflage|stycznia|lutego|marca|kwietnia|maja|czerwca|lipca|sierpnia|września|października|listopada|grudnia)", re.I)
-SAYS = re.compile(
-    "说|說|道|写|寫|问|問|喊|答|表示|称|叫|कहा|पूछा|लिखा|बोल|बताया|चिल्ला|قال|قالت|كتب|كتبت|سأل|أضاف|صاح|هتف|أجاب|گفت|نوشت|پرسید|افزود|فریاد|أعلن")
-END = ".!?…。！？｡؟।॥;;՞۔።"
+PRIOR = 2.0  # how many sightings the kind of a word counts as much as
+BIAS = 1.6  # log odds of a boundary where nothing else is known
+END = ".!?…。！？｡؟।॥;;՞۔"
 CLOSE = "\"'”’»›)]}」』】）〉》“‘"
-MARK = re.compile(r"[.!?…。！？｡؟।॥;;۔።]+(?:[\"'”’»›)\]}」』】）〉》“‘]|[   ]»(?![^\W\d_]))*")
+MARK = re.compile(r"[.!?…。！？｡؟।॥;;۔]+(?:[\"'”’»›)\]}」』】）〉》“‘]|[   ]»(?![^\W\d_]))*")
 PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-OPEN = "\"'“‘«‹([{「『【（〈《„‚¿¡—–-"
-LAST = re.compile(r"\S*\Z")
+LEFT = re.compile(r"(?:(\d)\s)?(\S*)\Z")
+NEXT = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\S")
+FOLLOWS = re.compile(r"(?:(?<=\s)|\A)(?:[^\W\d_]+(?:['’-][^\W\d_]+)*|\d|[^\s\w])")
+OPENS = "«»„“”\"'([¿¡‚‘{（「『《"
+SPACELESS = ("cjk", "thai")
+PAIRED = ("figure", "capital", "letter", "sign")
+QUOTES = re.compile("[\"“”«»„「」『』‹›]")
+PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›"}
+STRETCH = re.compile(rf"[^\s{re.escape(END)}]+")
+PUNCTUATION = re.compile(r"[^\w\s]|_")
+FOREIGN = re.compile(r"[\u0370-\u1dff\u1f00-\u1fff\u2e80-\uffef]")
 INF = 1e9
 
 
-def _cased(c: str) -> bool:
-    return c.lower() != c.upper()
+def left_key(part: str, at: int, script_: str) -> str:
+    """The word before a stop: small letters unless it is one letter; "0" for figures; "0 x" behind a figure."""
+    if script_ in SPACELESS:
+        return ""
+    lo = at
+    while lo > 0 and not part[lo - 1].isspace():
+        lo -= 1
+    m = LEFT.search(part, max(0, lo - 2), at)
+    w = m[2].lstrip(OPENS)
+    if w[-1:].isdigit():
+        return "0"
+    return ("0 " if m[1] else "") + (w if len(w) == 1 else w.lower())
+
+
+def left_kind(key: str) -> str:
+    u, w = ("0 ", key[2:]) if key.startswith("0 ") else ("", key)
+    if w in ("", "0"):
+        return u + "figure" if w else u + "none"
+    if "." in w:
+        return u + "dotted"
+    if len(w) == 1:
+        return u + ("capital" if w.isupper() else "letter" if w.islower() else "sign")
+    return u + ("short" if len(w) <= 3 else "long")
+
+
+def right_key(part: str, at: int, script_: str) -> str:
+    """The word at `at`, behind blanks; initials are all one key, and scripts without blanks go by their first sign."""
+    m = NEXT.match(part, at)
+    if not m:
+        return ""
+    w = m[0]
+    if script_ in SPACELESS:
+        return "letter" if w[0].isalpha() else w[0]
+    return "A." if len(w) == 1 and w.isupper() and part[m.end():m.end() + 1] == "." else w
+
+
+def right_kind(key: str) -> str:
+    c = key[:1]
+    if key in ("A.", "letter"):
+        return key
+    return "capital" if c.isupper() else "small" if c.islower() else "figure" if c.isdigit() else "letter" if c.isalpha() else c
+
+
+def gap_kind(words: int) -> str:
+    return str(min(words, 4)) if words < 8 else "8"
+
+
+def skip(part: str, at: int) -> int:
+    n = len(part)
+    while at < n and part[at].isspace():
+        at += 1
+    return at
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    pos = 0
+    for m in PARAGRAPH.finditer(text):
+        yield pos, m.start()
+        pos = m.end()
+    yield pos, len(text)
+
+
+def script_of(part: str) -> str:
+    if not FOREIGN.search(part):
+        return "latin"
+    n: Counter[str] = Counter()
+    for c, k in Counter(part).items():
+        if c.isalpha():
+            n[script(c)] += k
+    return n.most_common(1)[0][0] if n else "latin"
+
+
+def marks(part: str, script_: str, begins: set[int]) -> Iterator[tuple[int, int, int]]:
+    """(start of the mark, end of the mark, end of what closes with it) where a unit could end."""
+    for m in MARK.finditer(part):
+        s, e = m.span()
+        own = s + len(m[0].rstrip(CLOSE + " \u00a0\u202f"))
+        while e > own and e - 1 in begins:
+            e -= 1  # it opens the next quotation
+        if e == len(part) or part[e].isspace() or script_ in SPACELESS:
+            yield s, own, e
+
+
+class Counts:
+    """(table, script) -> key -> how often: at a boundary, and at all."""
+
+    def __init__(self):
+        self.at: dict[tuple[str, str], Counter[str]] = defaultdict(Counter)
+        self.n: dict[tuple[str, str], Counter[str]] = defaultdict(Counter)
+
+    def add(self, text: str) -> None:
+        for lo, hi in paragraphs(text):
+            if part := text[lo:hi].strip():
+                self._paragraph(part, script_of(part))
+
+    def _paragraph(self, part: str, sc: str) -> None:
+        ms = list(marks(part, sc, {a for a, _ in _quotes(part)}))
+        marked = bool(ms) and ms[-1][2] == len(part)
+        if len(part) >= 20:
+            self.n["marked", sc][""] += 1
+            self.at["marked", sc][""] += marked
+        mark, left, after, gap = (self.n[t, sc] for t in ("mark", "left", "after", "gap"))
+        prev = 0
+        for s, own, e in ms:
+            mark[part[s:e]] += 1
+            if e == len(part):
+                self.at["mark", sc][part[s:e]] += 1
+            if own == s + 1 and part[s] == ".":
+                left[key := left_key(part, s, sc)] += 1
+                if e == len(part):
+                    self.at["left", sc][key] += 1
+                elif (kind := left_kind(key)) in PAIRED:
+                    after[kind + " " + right_key(part, skip(part, e), sc)] += 1
+            if sc not in SPACELESS:
+                gap[gap_kind(part.count(" ", prev, s) + (prev == 0))] += 1
+            prev = e
+        if marked:
+            self.at["right", sc][right_key(part, 0, sc)] += 1
+            if len(ms) == 1 and sc not in SPACELESS:
+                self.at["gap", sc][gap_kind(part.count(" ", 0, ms[0][0]) + 1)] += 1
+        if sc not in SPACELESS:
+            self.n["right", sc].update(FOLLOWS.findall(part))
+            return
+        self.n["right", sc].update("letter" if x[0].isalpha() else x[0] for x in STRETCH.findall(part))
+        bare = PUNCTUATION.sub("", part).strip()
+        if len(bare) > 1:
+            self.at["edge", sc].update((bare[0], bare[-1]))
+            self.n["edge", sc].update(bare)
+
+    def rows(self) -> Iterator[tuple[str, str, str, int, int]]:
+        """Keys, the kinds of keys ("left/", "right/") and the totals of tables ("left*")."""
+        for (t, sc), n in list(self.n.items()):
+            at = self.at[t, sc]
+            kind = {"left": left_kind, "right": right_kind, "after": lambda k: k.rsplit(" ", 1)[0]}.get(t)
+            kinds: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            for k in n.keys() | at.keys():
+                yield t, sc, k, at[k], n[k]
+                if kind:
+                    kinds[kind(k)][0] += at[k]
+                    kinds[kind(k)][1] += n[k]
+            for k, (x, y) in kinds.items():
+                yield t + "/", sc, k, x, y
+            yield t + "*", sc, "", at.total(), n.total()
 
 
 class Tagger:
-    """counts: word -> (runs on, ends a paragraph); edges: letter -> (at an edge of a unit, anywhere), for scripts without marks."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]] | None = None, edges: dict[str, tuple[int, int]] | None = None):
-        self.counts, self.edges = counts or {}, edges or {}
-
-    def left(self, word: str) -> float:
-        w = word.lower().strip("«»„“”\"'([¿¡‚‘{").rstrip(".")
-        if not w:
-            return 1.0
-        prior = -6.0 if w in TITLES else -4.0 if w in NUMBERED else -0.5 if w in MAYBE else 2.0
-        if prior > 0 and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", w):
-            prior = -1.0  # letters between stops
-        if len(w) == 1 and w.isalpha() and (prior > 0 or word.rstrip(".")[-1:].isupper()):
-            prior = -5.0 if word.rstrip(".")[-1:].isupper() or not _cased(w) else -1.0
-        on, end = self.counts.get(w, (0, 0))
-        return prior + max(-3.0, min(3.0, math.log((end + 2.0) / (on + 2.0)))) * (on + end >= 5)
+    """model: (table, script, key) -> (at a boundary, all), as counted by train(); totals and kinds are summed here."""
+
+    def __init__(self, model: dict[tuple[str, str, str], tuple[int, int]] | None = None):
+        self.model = model or {}
+        self.memo: dict[tuple[str, str, str], float] = {}
+        self.unmarked = {s for (t, s, _), (a, n) in self.model.items() if t == "marked" and n >= 5 and a < 0.5 * n}
+
+    def rate(self, table_: str, sc: str) -> float:
+        a, n = self.model.get((table_ + "*", sc, ""), (0, 0))
+        return (a + 0.1) / (n + 1.0)
+
+    def odds(self, table_: str, sc: str, key: str, kind: str | None) -> float:
+        """log of how much more often than on average `key` is seen at a boundary; by its kind as far as little is known of it."""
+        got = self.memo.get((table_, sc, key))
+        if got is None:
+            base = self.rate(table_, sc)
+            a, n = self.model.get((table_ + "/", sc, kind), (0, 0)) if kind is not None else (0, 0)
+            prior = (a + PRIOR * base) / (n + PRIOR)
+            a, n = self.model.get((table_, sc, key), (0, 0))
+            got = self.memo[table_, sc, key] = max(-8.0, math.log((a + PRIOR * prior) / (n + PRIOR) / base)) if self.model else 0.0
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+        return got
+
+    def after(self, sc: str, kind: str, key: str) -> float:
+        """The share of `key` among the beginnings of paragraphs against its share among what follows a stop behind this kind of word."""
+        a, _ = self.model.get(("right", sc, key), (0, 0))
+        _, n = self.model.get(("after", sc, f"{kind} {key}"), (0, 0))
+        starts, _ = self.model.get(("right*", sc, ""), (0, 0))
+        _, all_ = self.model.get(("after/", sc, kind), (0, 0))
+        e = (n + 1.0) / (all_ + 50.0)
+        return min(0.0, math.log((a + 50.0 * e) / (starts + 50.0) / e)) if n else 0.0
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """[(start, end)] in code points."""
         if not text or not text.strip():
             return []
-        out: list[tuple[int, int]] = []
-        pos = 0
-        for m in [*PARAGRAPH.finditer(text), None]:
-            end = m.start() if m else len(text)
-            out += self._paragraph(text, pos, end)
-            pos = m.end() if m else end
-        return out
+        return [u for lo, hi in paragraphs(text) for u in self._paragraph(text, lo, hi)]
 
     def _paragraph(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
         part = text[lo:hi]
         if not part.strip():
             return []
-        thai = sum("\u0e00" <= c <= "\u0eff" or "ក" <= c <= "\u17ff" or "က" <= c <= "႟" for c in part)
-        letters = sum(c.isalpha() for c in part) or 1
-        greek = sum("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "\u1fff" for c in part) > 0.3 * letters
-        hindi = sum("ऀ" <= c <= "ॿ" for c in part) > 0.3 * letters
-        places = self._blanks(part) if thai > 0.3 * letters else self._marks(part, greek, hindi)
-        cuts = viterbi(places)
+        sc = script_of(part)
+        places = self._blanks(part, sc) if sc in self.unmarked else self._marks(part, sc)
         out, s = [], 0
-        for c in [*cuts, len(part)]:
+        for c in [*viterbi(places), len(part)]:
             a, b = s, c
             while a < b and part[a].isspace():
                 a += 1
@@ -105,197 +260,125 @@ class Tagger:
                 b -= 1
             if b > a:
                 out.append((lo + a, lo + b))
-            s = c
+                s = c
         return out
 
-    def _blanks(self, part: str) -> list[tuple[int, float, int]]:
+    def _blanks(self, part: str, sc: str) -> list[tuple[int, float, float]]:
+        a, n = self.model[("marked", sc, "")]
+        prior = math.log((n - a + 0.5) / (a + 0.5))
+        begins, ends = map(list, zip(*q)) if (q := _quotes(part)) else ([], [])
         places = []
-        held = _quotes(part)
         for m in re.finditer(r"\s+", part):
-            a, b = part[m.start() - 1:m.start()], part[m.end():m.end() + 1]
-            if not a or not b:
-                continue
-            score = 3.0
-            for c in (a, b):
-                edge, n = self.edges.get(c, (0, 0))
-                if n >= 20:
-                    score += max(-1.0, min(1.0, math.log((edge + 1.0) / (n + 1.0) * 20)))
-            if m[0].strip(" ") == "\n" and not m[0].strip("\n"):
-                score -= 5.0  # a line break by itself ends nothing
-            if any(s < m.start() < e for s, e in held):
-                score = -INF
-            places.append((m.end(), score, m.start()))
+            x, y = part[m.start() - 1:m.start()], part[m.end():m.end() + 1]
+            k = bisect.bisect_left(begins, m.start()) - 1
+            if not x or not y or "\n" in m[0] or k >= 0 and m.start() < ends[k]:
+                continue  # a line break by itself ends nothing
+            score = prior + sum(max(-1.5, min(1.5, self.odds("edge", sc, c, None))) for c in (x, y) if c.isalnum())
+            places.append((m.end(), score, 0.0))
         return places
 
-    def _marks(self, part: str, greek: bool, hindi: bool) -> list[tuple[int, float, int]]:
+    def _marks(self, part: str, sc: str) -> list[tuple[int, float, float]]:
         quotes = _quotes(part)  # in order, none inside another
         begins, ends = [a for a, _ in quotes], [b for _, b in quotes]
-        closing = set(ends)
         depth = _brackets(part)
         places = []
-        for m in MARK.finditer(part):
-            mark = m[0]
-            s, e = m.span()
-            own = mark.rstrip(CLOSE + "   ")
-            last = own[-1:]
-            if last in ";;" and not (greek or last == ";"):
+        prev = 0
+        for s, own, e in marks(part, sc, set(begins)):
+            nxt = skip(part, e)
+            if nxt == len(part):
                 continue
-            while e > s + len(own) and part[e - 1] in "“‘\"'" and e < len(part) and not part[e].isspace() and part[e] not in ",.;:—–-)" and mark[-1] in "\"'“‘" and e not in closing:
-                e -= 1  # what looks like a closing mark opens the next quotation
-            after = part[e:e + 300]
-            if after.isspace():
-                after = part[e:]
-            nxt = after.lstrip()
-            cjk = last in "。！？｡"
-            if not nxt:
-                continue
-            spaced = after[0].isspace()
-            if not spaced and not cjk:
-                continue  # decimals, addresses, marks with a comma behind them
             k = bisect.bisect_left(begins, s) - 1  # the last quotation that begins before the mark
-            if k >= 0 and e < ends[k] and e not in closing:
-                continue  # inside a quotation that goes on
-            if depth[min(e, len(part)) - 1 if e <= s + len(own) else e - 1] > 0 and not (e > s + len(own) and depth[e - 1] == 0):
-                continue  # inside brackets
-            q = bisect.bisect_right(ends, s)  # the first quotation that ends behind the mark's beginning
-            closed = q < len(quotes) and ends[q] <= e and (e in closing or part[ends[q] - 1:e].strip(CLOSE + " ") == "")
-            c = nxt[0]
-            word = LAST.search(part, max(0, s - 80), s)[0]
-            score = 2.0
-            if closed:
-                lead = part[max(0, begins[q] - 50):begins[q]].rstrip()
-                if cjk or not _cased(c) or c in OPEN:
-                    nx = MARK.search(nxt)
-                    clause = nxt[:nx.start()] if nx else nxt
-                    introduced = lead.endswith((":", "：", "،", ",", "，"))
-                    if nxt.startswith(("と", "って", "라고", "고 ", "하고", "이라고", "라며", "하며", ",", "，", "、", "،", "—", "–")):
-                        score = -INF
-                    elif not introduced and c not in "\"“«「『„" and len(clause) < 60 and SAYS.search(clause):
-                        score = -INF
-            if score == -INF:
-                pass
-            elif _cased(c) and c.islower():
-                score = -INF
-            elif c in ",;:)]}" or nxt[:2] in ("— ", "– ", "- ") and closed:
-                score = -INF
-            elif last == "." and not own.startswith("..") and len(own) == 1 and not closed:
-                if hindi and word and "ऀ" <= word[-1] <= "ॿ":
-                    score = -INF
-                else:
-                    score = self.left(word)
-                    w = word.lower().strip("«»„“”\"'([¿¡")
-                    if re.search(r"\d$", word):
-                        score = -5.0 if MONTHS.match(nxt) else 3.0
-                    elif w in ("m", "km", "cm", "mm", "kg", "min", "h", "s", "r", "г", "a.m", "p.m", "am", "pm", "etc", "al") and re.search(r"\d\s*$", part[max(0, s - len(word) - 20):s - len(word)]) and w != "al":
-                        score = 3.0  # a unit after a figure
-                    if c.isdigit():
-                        score -= 1.0
-                    elif c in "([" and w in ("al", "etc"):
-                        score = -3.0
-                    elif c in "([":
-                        score += 0.0
-                    elif c.isupper() or not _cased(c):
-                        score += 1.0
-            elif last == "…" or own.startswith(".."):
-                score = 1.0 if c.isupper() or c in OPEN else -1.0
-            else:
-                score = 4.0
-            places.append((e, score, s))
+            if k >= 0 and e < ends[k]:
+                continue
+            if depth[e - 1] > 0:
+                continue
+            right = right_key(part, nxt, sc)
+            score = BIAS + self.odds("mark", sc, part[s:e], None) + self.odds("right", sc, right, right_kind(right))
+            if part[s:own] == ".":
+                left = left_key(part, s, sc)
+                kind = left_kind(left)
+                score += self.odds("left", sc, left, kind)
+                if kind in PAIRED:
+                    score += self.after(sc, kind, right)
+            near = self.odds("gap", sc, gap_kind(part.count(" ", prev, s) + (prev == 0)), None) if sc not in SPACELESS else 0.0
+            places.append((e, score, min(0.0, near)))
+            prev = e
         return places
 
 
 def _quotes(part: str) -> list[tuple[int, int]]:
-    """(start, end) of quotations, the end behind the closing mark."""
+    """(start, end) of quotations, the end behind the closing mark; one pass, whatever their length."""
+    signs = QUOTES.finditer(part)
     out: list[tuple[int, int]] = []
-    pairs = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "‹": "›"}
-    i, n = 0, len(part)
-    while i < n:
-        c = part[i]
-        if c in pairs:
-            j = next((k for k in range(i + 1, min(n, i + 700)) if part[k] in pairs[c]), -1)
-            if j > 0:
-                out.append((i, j + 1))
-                i = j
+    start, want = -1, ""
+    for m in signs:
+        i, c = m.start(), m[0]
+        if start >= 0:
+            if c in want and (c != '"' or not part[i - 1].isspace()):
+                out.append((start, i + 1))
+                start = -1
+        elif c in PAIRS:
+            if any(part.find(x, i + 1) >= 0 for x in PAIRS[c]):
+                start, want = i, PAIRS[c]
         elif c == '"' and (i == 0 or part[i - 1].isspace() or part[i - 1] in "([{—–-\"。！？：，"):
-            j = next((k for k in range(i + 1, min(n, i + 700)) if part[k] == '"' and not part[k - 1].isspace()), -1)
-            if j > 0:
-                out.append((i, j + 1))
-                i = j
-        i += 1
+            start, want = i, c
     return out
 
 
 def _brackets(part: str) -> list[int]:
     """Depth of brackets after each character; an opening one without its partner counts nothing."""
     stack: list[int] = []
-    pair: dict[int, int] = {}
+    step = [0] * len(part)
     for i, c in enumerate(part):
         if c in "([（":
             stack.append(i)
         elif c in ")]）" and stack:
-            o = stack.pop()
-            if i - o < 600:
-                pair[o] = i
-    depth, d = [], 0
-    ends = set(pair.values())
-    for i in range(len(part)):
-        d += (i in pair) - (i in ends)
-        depth.append(d)
-    return depth
-
-
-def viterbi(places: list[tuple[int, float, int]]) -> list[int]:
-    """The best sequence of boundary / inside for the scored places; positions of the boundaries."""
-    if not places:
-        return []
-    best = [(0.0, -INF)]  # (inside, boundary) scores of the place before
-    back: list[tuple[int, int]] = []
-    prev = None
-    for pos, score, start in places:
-        inside, bound = best[-1]
-        close = prev is not None and start - prev < 2
-        from_b = 0 if inside >= bound - (4.0 if close else 0.0) else 1
-        i_prev = 0 if inside >= bound else 1
-        best.append((max(inside, bound), max(inside, bound - (4.0 if close else 0.0)) + score))
-        back.append((i_prev, from_b))
-        prev = pos
-    state = 0 if best[-1][0] >= best[-1][1] else 1
-    out = []
+            step[stack.pop()] += 1
+            step[i] -= 1
+    return list(itertools.accumulate(step))
+
+
+def viterbi(places: list[tuple[int, float, float]]) -> list[int]:
+    """places: (position, score as a boundary, score of the step from a boundary just before) -> positions of the boundaries in the best sequence."""
+    inside, bound = -INF, 0.0  # what comes before the first place is a boundary
+    back: list[tuple[bool, bool]] = []
+    for _, score, near in places:
+        back.append((bound > inside, bound + near > inside))
+        inside, bound = max(inside, bound), max(inside, bound + near) + score
+    state, out = bound > inside, []
     for k in range(len(places) - 1, -1, -1):
-        if state == 1:
+        if state:
             out.append(places[k][0])
         state = back[k][state]
     return out[::-1]
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Counts over all rows: (word, runs_on, ends) and (letter, edge, n). Words need MIN_SHARE of all counted stops: at most 1 / MIN_SHARE rows."""
-    d = docs.select(F.col(text).alias("_t")).where(present("_t"))
-    low = d.select(F.lower("_t").alias("_t"))
-    word = r"([\p{L}\p{M}][\p{L}\p{M}.\-]{0,11})"
-    on = low.select(F.explode(F.regexp_extract_all("_t", F.lit(r"(?<![\p{L}\p{M}.\-])" + word + r"\.(?=[,;:)]|\s+[0-9(\[])"), F.lit(1))).alias("word")).withColumn("runs_on", F.lit(1)).withColumn("ends", F.lit(0))
-    end = low.select(F.explode(F.regexp_extract_all("_t", F.lit(r"(?<![\p{L}\p{M}.\-])" + word + r"\.[\"'”»)]*\s*(?:\n\s*\n|\z)"), F.lit(1))).alias("word")).withColumn("runs_on", F.lit(0)).withColumn("ends", F.lit(1))
-    c = on.unionByName(end).groupBy("word").agg(F.sum("runs_on").alias("runs_on"), F.sum("ends").alias("ends"))
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        c = Counts()
+        for text in b["_t"]:
+            c.add(text)
+        yield pd.DataFrame(c.rows(), columns=["tbl", "script", "key", "at", "n"])
+
+
+def train(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(tbl, script, key, at, n) over all rows. A key is kept from MIN_SHARE of its table's sightings on, so there are at most 1 / MIN_SHARE of a table."""
+    d = spread(docs.select(F.col(text).alias("_t")).where(present("_t")))
+    c = d.mapInPandas(_count, "tbl string, script string, key string, at bigint, n bigint").groupBy("tbl", "script", "key").agg(F.sum("at").alias("at"), F.sum("n").alias("n"))
     c = materialize(c)
-    total = c.agg(F.sum(F.col("runs_on") + F.col("ends"))).first()[0] or 0
-    words = c.where((F.col("runs_on") > 0) & (F.col("runs_on") + F.col("ends") >= max(5.0, MIN_SHARE * total)))
-    bare = d.where(F.col("_t").rlike("[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff]")).select(F.regexp_replace("_t", r"[\p{P}]", "").alias("_t"))
-    paras = bare.select(F.explode(F.split("_t", r"\s*\n\s*\n\s*")).alias("p")).select(F.trim("p").alias("p")).where("length(p) > 1")
-    edge = paras.select(F.explode(F.array(F.substring("p", 1, 1), F.substring("p", -1, 1))).alias("letter")).withColumn("edge", F.lit(1)).withColumn("n", F.lit(0))
-    anywhere = paras.select(F.explode(F.split("p", "")).alias("letter")).withColumn("edge", F.lit(0)).withColumn("n", F.lit(1))
-    letters = edge.unionByName(anywhere).where("letter <> ''").groupBy("letter").agg(F.sum("edge").alias("edge"), F.sum("n").alias("n"))
-    return words, letters
+    total = c.where("tbl like '%*'").groupBy(F.regexp_replace("tbl", r"\*", "").alias("tbl")).agg(F.sum("n").alias("total"))
+    kept = c.join(F.broadcast(total), "tbl", "left").where((F.col("n") >= MIN_SHARE * F.col("total")) | F.col("total").isNull())
+    return kept.where((F.col("n") >= 2) | F.col("tbl").rlike("[*/]")).select("tbl", "script", "key", "at", "n")
 
 
-def sentences(docs: DataFrame, trained: tuple[DataFrame, DataFrame], ident: str = "doc_id", text: str = "text") -> DataFrame:
+def sentences(docs: DataFrame, model: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(ident, sent_start, sent_end) of every row's units."""
     spark = docs.sparkSession
-    words = {r[0]: (r[1], r[2]) for r in trained[0].collect()}  # at most 1 / MIN_SHARE rows
-    letters = {r[0]: (r[1], r[2]) for r in trained[1].collect()}  # at most one row a character
-    shared = spark.sparkContext.broadcast((words, letters))
+    rows = {(r["tbl"], r["script"], r["key"]): (r["at"], r["n"]) for r in model.collect()}  # bounded, see train()
+    shared = spark.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = Tagger(*shared.value)
+        t = Tagger(shared.value)
         for b in batches:
             rows = [(i, a, e) for i, x in zip(b["_id"], b["_t"]) for a, e in t.units(x)]
             yield pd.DataFrame(rows, columns=[ident, "sent_start", "sent_end"])
@@ -305,9 +388,11 @@ def sentences(docs: DataFrame, trained: tuple[DataFrame, DataFrame], ident: str
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """One row of each scored content: chosen by id before any text moves, so a content that many rows repeat is no hot key."""
     ids = table(spark, sf, "segments").select("doc_id").where("doc_id is not null").distinct()
-    d = table(spark, sf, "raw_docs").select("doc_id", "text").where(present("text")).join(ids, "doc_id", "left_semi")
-    return d.groupBy("doc_id").agg(F.min("text").alias("text"))  # one content, one doc_id
+    r = table(spark, sf, "raw_docs").where(present("text"))
+    one = r.select("doc_id", "raw_id").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("raw_id").alias("raw_id")).select("raw_id")
+    return r.select("raw_id", "doc_id", "text").join(one, "raw_id", "left_semi").select("doc_id", "text")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
