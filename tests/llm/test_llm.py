@@ -98,15 +98,17 @@ FR = "L'équipe de terrain a confirmé l'étude des archives après une brève v
 RU = "Новый обзор объяснил порядок чтения несмотря на сомнения. Местный архив опроверг состав почвы в конце лета. "
 
 
+EN = "Plain English text about clay and silt. " * 2
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
-    docs = spark.createDataFrame([(FR * 3, "fr"), (FR, "FR"), (RU * 3, "ru"), (RU, None), ("Plain English text about clay and silt. " * 30, "en"), (None, "en"), ("", "de")], "text string, lang string")
-    known = {r[0] for r in p3.known_contexts(docs).select("context").collect()}
-    return p3.Restorer(p3.dictionaries(docs), known)
+    docs = spark.createDataFrame([(FR * 8, "fr"), (FR, "FR"), (RU * 8, "ru"), (RU, None), ("Plain English text about clay and silt. " * 30, "en"), (None, "en"), ("", "de")], "text string, lang string")
+    return p3.Restorer(p3.dictionaries(docs))
 
 
 @pytest.mark.parametrize("text,garble", [(FR, lambda t: t.encode().decode("latin-1")), (FR, lambda t: t.encode().decode("cp437")), (FR, lambda t: t.encode().decode("latin-1").encode().decode("latin-1")),
-                                         (RU, lambda t: t.encode("koi8_r").decode("cp1251")), (RU, lambda t: t.encode("cp1251").decode("latin-1"))])
+                                         (RU, lambda t: t.encode("koi8_r").decode("cp1251")), (RU, lambda t: t.encode("cp1251").decode("latin-1")), (EN, lambda t: t.encode().decode("utf-16-le"))])
 def test_p3_round_trip(restorer, text, garble):
     assert p3.restore(garble(text), restorer) == (True, True, text)
     assert p3.restore(text, restorer)[0] is False
@@ -121,9 +123,29 @@ def test_p3_lost_characters_quotes_and_local_damage(restorer):
     assert p3.restore(mixed, restorer) == (True, True, FR)
 
 
+def test_p3_compressed_lengths_decide(restorer):
+    """With lengths of nothing, more than half of the garbled records are no longer found or are restored wrongly."""
+    class Nothing:
+        def compress(self, data):
+            return b""
+
+    flat = p3.Restorer.__new__(p3.Restorer)
+    flat.__dict__.update(restorer.__dict__, memo={}, by_script={k: [Nothing()] * len(v) for k, v in restorer.by_script.items()})
+    garbled = [(FR, FR.encode().decode("cp437")), (FR, FR.encode("mac_roman").decode("latin-1")), (RU, RU.encode("koi8_r").decode("cp1251")), (RU, RU.encode("cp1251").decode("koi8_r")), (RU, RU.encode("cp866").decode("cp1251"))]
+    assert all(p3.restore(g, restorer)[2] == t for t, g in garbled)
+    assert sum(p3.restore(g, flat)[2] == t for t, g in garbled) <= 2
+
+
+def test_p3_the_same_piece_is_read_alike_whatever_came_before(restorer):
+    texts = [FR.encode().decode("latin-1"), RU.encode("koi8_r").decode("cp1251"), FR, RU.encode("cp1251").decode("latin-1")]
+    a = [p3.restore(t, restorer) for t in texts]
+    restorer.memo.clear()
+    assert [p3.restore(t, restorer) for t in texts[::-1]][::-1] == a
+
+
 def test_p3_table(spark):
     d = spark.createDataFrame([(1, FR.encode().decode("latin-1")), (2, FR), (3, None), (4, ""), (5, "ascii")], "raw_id bigint, text string")
-    clean = spark.createDataFrame([(FR * 5, "fr")], "text string, lang string")
+    clean = spark.createDataFrame([(FR * 8, "fr")], "text string, lang string")
     r = {x["raw_id"]: x for x in p3.repaired(d, clean).collect()}
     assert [i for i in r if r[i]["affected"]] == [1] and r[1]["restored"] == FR and r[3]["restored"] is None and r[4]["restored"] == ""
     assert p3.repaired(d.limit(0), clean).count() == 0
