@@ -3,28 +3,43 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table as written into the folder that spark.checkpoint.dir names (one of our own only where it is unset).
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, deleted when the driver's Python ends.
 
-    A table is columnar and compressed, survives the loss of executors, and unlike checkpoint()
-    computes its input once. Our tables are deleted when the driver's Python ends.
+    On a cluster that folder must be set: a folder of the driver's machine would be another one on each executor. Only a
+    session that runs wholly on one machine gets one of its own where it is unset.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         own = sc._jsc.sc().getCheckpointDir()
-        folder = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="palimpsest-")
-    path = f"{folder.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+        if own.isDefined():
+            folder = own.get()
+        elif sc.master.startswith("local"):
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="palimpsest-")
+        else:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    path = f"{folder.rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, sc, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table as written into a shared folder.
+
+    A table is columnar and compressed, survives the loss of executors, and unlike checkpoint()
+    computes its input once.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _delete(sc, path: str) -> None:
