@@ -1,12 +1,19 @@
-"""Problem 4: new batches held against everything accepted before.
-
-A text is the set of its five-token runs. Two texts of Jaccard similarity s share at least s of the runs
-of either, so whatever one order all runs are put in, the two have a run in common among the first
-1 - s of each (the prefix rule). Only these are joined, with bounds on length and place that XX exactly, by equality or by the Jaccard similarity. No
-length or repetition of a text makes an exception, and nothing is capped.
-
-The order puts runs that many texts hold last. Which these are is counted over the runs of one text in
-SAMPLE; what stands in fewer than one in RARE of those counts as rare. The order decides only how many
+"""Problem 4: new batches held against everything accepted before, without reprocessing the history.
+
+A text is cut into chunks at content-defined boundaries: five-token runs, chosen by their rolling hash. A chunk begins at
+a boundary and reaches to the next; its key is the run at which it begins. The table of chunks to records grows
+with each accepted batch. A new batch is cut likewise, its chunks are looked up, and the pairs that meet are decided by
+coverage: the share of all runs of the two that they have in common, at least SIMILARITY of them (the Jaccard similarity
+asked for). Then the accepted chunks are appended. Neither texts nor chunks of the history are computed again, and a
+batch that is small beside the history is sent to it, not the other way round.
+
+Boundaries at a fixed rate, with hashes of whole chunks, would lose pairs: two texts that are 0.7 similar need have no whole
+chunk in common. So the rate follows the text: the runs that come first in one fixed order are boundaries, as many
+as 1 - SIMILARITY of its distinct runs and one more. Two texts that are that similar then share a boundary, whatever their
+length, repetition or edits. Bounds on length, place and parity of hashed runs thin the candidates without loss.
+
+The order puts last the runs that many texts of the first batch hold (counted over one text in SAMPLE; common is what
+at least one in RARE of them holds), then goes by hash. It is stored with the history and never changes. It decides only how many
 pairs are looked at, never which are found.
 
 Copies form one class. Null and empty texts are never cases; texts under five tokens match only as
@@ -15,6 +22,7 @@ copies; rows without an accepted doc_id never stand on the earlier side, rows of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +31,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.cut import shared_folder
+
 from .common import materialize, present, table, tokens
 from .p2_spans import gram_hashes, token_ids
 
 GRAM = 5
 SIMILARITY = 0.7
 SAMPLE = 16
-RARE = 20_000
-RUNS = "cls bigint, runs binary"
-
-
-def _run_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo: dict[str, int] = {}
-    for b in batches:
-        yield pd.DataFrame({"cls": b["cls"], "runs": [np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM)).tobytes() for t in b["_t"]]})
-
-
-def run_table(texts: DataFrame) -> DataFrame:
-    """texts(cls, _t) -> (cls, runs): the sorted hashes of the distinct runs of each."""
-    return texts.mapInPandas(_run_sets, RUNS)
+RARE = 2_000
 
 
 def parity(g: np.ndarray) -> bytes:
@@ -58,21 +56,26 @@ def parity_distance(x: bytes, y: bytes) -> int:
     return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
 
 
-def _prefixes(batches: Iterator[pd.DataFrame], hot: Broadcast, similarity: float) -> Iterator[pd.DataFrame]:
-    known, count = hot.value
+def _signed(batches: Iterator[pd.DataFrame], order: Broadcast, similarity: float) -> Iterator[pd.DataFrame]:
+    memo: dict[str, int] = {}
+    common, count = order.value
     for b in batches:
-        rows = []
-        for c, g in zip(b["cls"], b["runs"]):
-            g = np.frombuffer(g, np.int64)
-            if not len(g):
-                continue
+        runs, bits, chunks = [], [], []
+        for t in b["_t"]:
+            g = np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM))
             often = np.zeros(len(g), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                often = np.where(known[at] == g, count[at], 0)
-            n = len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1
-            rows.append((c, len(g), parity(g), g[np.lexsort((g, often))[:n]]))
-        yield pd.DataFrame(rows, columns=["cls", "total", "bits", "prefix"])
+            if len(common) and len(g):
+                at = np.minimum(np.searchsorted(common, g), len(common) - 1)
+                often = np.where(common[at] == g, count[at], 0)
+            n = len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1 if len(g) else 0
+            runs.append(g.tobytes()); bits.append(parity(g) if len(g) else b""); chunks.append(g[np.lexsort((g, often))[:n]])
+        yield pd.DataFrame({"_id": b["_id"], "batch_no": b["batch_no"], "ok": b["ok"], "cls": b["cls"], "total": [len(r) // 8 for r in runs], "bits": bits, "chunks": chunks, "runs": runs})
+
+
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    memo: dict[str, int] = {}
+    for b in batches:
+        yield pd.DataFrame({"runs": [np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM)).tobytes() for t in b["_t"]]})
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,44 +85,6 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"run": run, "n": n})
 
 
-def frequent_runs(sample: DataFrame) -> Broadcast:
-    """Sorted hashes and counts of the runs that at least one in RARE texts of sample(cls, runs) holds, two at least: a number that does not grow with the texts."""
-    spark = sample.sparkSession
-    sample = materialize(sample)
-    least = max(2, -(-sample.count() // RARE))
-    hot = sample.mapInPandas(_counted, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("run").toPandas()
-    return spark.sparkContext.broadcast((hot["run"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)))
-
-
-def sampled(df: DataFrame) -> DataFrame:
-    return df.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0)
-
-
-def prefix_table(runs: DataFrame, hot: Broadcast, similarity: float = SIMILARITY) -> DataFrame:
-    """(cls, total, bits, prefix): how many runs each text has, their parity, and those it is looked up by, in order."""
-    return runs.mapInPandas(lambda it: _prefixes(it, hot, similarity), "cls bigint, total int, bits binary, prefix array<bigint>")
-
-
-def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b["ra"], b["rb"]):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            n = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
-        yield b.loc[keep, ["ca", "cb"]]
-
-
-def candidate_classes(left: DataFrame, right: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(ca, cb), distinct, ca <> cb: classes of two prefix tables that may be that similar. Of one table with itself each pair once, ca < cb."""
-    a = left.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.posexplode("prefix").alias("pa", "run"))
-    b = right.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.posexplode("prefix").alias("pb", "run"))
-    # from the first run they share on, the rest of either text must still hold the overlap
-    near = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("ta") + F.col("tb")) - 1e-6
-    other = F.col("ca") < F.col("cb") if left is right else F.col("ca") != F.col("cb")
-    return a.join(b, "run").where(other & near).select("ca", "cb").distinct()
-
-
 def _close(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
     for b in batches:
         most = (1 - similarity) / (1 + similarity) * (b["ta"] + b["tb"]) + 1e-6
@@ -140,95 +105,157 @@ def confirmed(pairs: DataFrame, runs: DataFrame, similarity: float = SIMILARITY)
             .mapInPandas(lambda it: _jaccard(it, similarity), "ca bigint, cb bigint"))
 
 
-def _of_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("ca").alias("cls")).unionByName(pairs.select(F.col("cb").alias("cls"))).distinct()
+def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b["ra"], b["rb"]):
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
+        yield b.loc[keep, ["ca", "cb"]]
 
 
 def _expand(pairs: DataFrame, old: DataFrame, new: DataFrame, ident: str, block: int = 20_000) -> DataFrame:
-    """Class pairs (ca, cb), the two may be one class -> row pairs with an earlier batch on side a."""
-    def blocks(d: DataFrame, cls: str, i: str, n: str, b: str, batch: str) -> tuple[DataFrame, DataFrame]:
-        size = d.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias(n)).where(F.col(n) > 1)
-        rows = d.join(size, "cls", "left").select(F.col("cls").alias(cls), F.col(ident).alias(i), F.col("batch_no").alias(batch),
-                                                  F.pmod(F.xxhash64(ident), F.coalesce(n, F.lit(1)).cast("bigint")).cast("int").alias(b))
-        return rows, size.select(F.col("cls").alias(cls), n)
-
-    left, na = blocks(old, "ca", "ia", "na", "ba", "bta")
-    right, nb = blocks(new, "cb", "ib", "nb", "bb", "btb")
-    p = (pairs.join(na, "ca", "left").join(nb, "cb", "left")
+    """Pairs (ca, cb, batch_no) of classes, the two may be one -> pairs of accepted rows of ca in earlier batches and rows of cb in that batch."""
+    old, new = old.withColumn("k", F.lit(0)), new.withColumn("k", F.col("batch_no"))
+
+    def blocks(d: DataFrame, cls: str, i: str, n: str, b: str, k: str, batch: str) -> tuple[DataFrame, DataFrame]:
+        size = d.groupBy("cls", "k").agg(F.ceil(F.count("*") / block).cast("int").alias(n)).where(F.col(n) > 1)
+        rows = d.join(size, ["cls", "k"], "left").select(F.col("cls").alias(cls), F.col("k").alias(k), F.col("_id").alias(i), F.col("batch_no").alias(batch),
+                                                         F.pmod(F.xxhash64("_id"), F.coalesce(n, F.lit(1)).cast("bigint")).cast("int").alias(b))
+        return rows, size.select(F.col("cls").alias(cls), F.col("k").alias(k), n)
+
+    left, na = blocks(old, "ca", "ia", "na", "ba", "ka", "bta")
+    right, nb = blocks(new, "cb", "ib", "nb", "bb", "batch_no", "btb")
+    p = (pairs.join(na.drop("ka"), "ca", "left").join(nb, ["cb", "batch_no"], "left")
          .withColumn("ba", F.explode(F.sequence(F.lit(0), F.coalesce("na", F.lit(1)) - 1)))
-         .withColumn("bb", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))).select("ca", "cb", "ba", "bb"))
-    return p.join(left, ["ca", "ba"]).join(right, ["cb", "bb"]).where("bta < btb").select(F.col("ia").alias(f"{ident}_a"), F.col("ib").alias(f"{ident}_b"))
-
-
-def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", similarity: float = SIMILARITY) -> DataFrame:
-    """All batches at once: (ident_a, ident_b), a accepted and of an earlier batch, b equal or that similar.
-
-    records: ident, doc_id, text, batch_no; accepted: doc_id. Rows with null batch_no stand nowhere.
-    """
-    r = records.select(F.col(ident), "doc_id", F.col("text").alias("_t"), "batch_no").where(present("_t") & F.col("batch_no").isNotNull() & F.col(ident).isNotNull()).withColumn("cls", F.xxhash64("_t"))
-    known = accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True))
-    rows = materialize(r.select("cls", ident, "batch_no", "doc_id").join(known, "doc_id", "left").select("cls", ident, "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
-    classes = materialize(rows.groupBy("cls").agg(F.min(ident).alias(ident), F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("x"), F.max("batch_no").alias("y")))
-    # inside, a class goes by the id of one of its rows
-    chosen = classes.select(F.col(ident).alias("cls"), "x", "y")
-    stored = r.select(F.col(ident).alias("cls"), "_t")
-    texts, some = stored.join(chosen.select("cls"), "cls", "left_semi"), sampled(stored).join(sampled(chosen).select("cls"), "cls", "left_semi")
-    prefixes = materialize(prefix_table(run_table(texts), frequent_runs(run_table(some)), similarity))
-    # only pairs in which some row of one is later than some accepted row of the other
-    a, b = chosen.select(F.col("cls").alias("ca"), F.col("x").alias("xa"), F.col("y").alias("ya")), chosen.select(F.col("cls").alias("cb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    pairs = candidate_classes(prefixes, prefixes, similarity).join(a, "ca").join(b, "cb").where("xa < yb or xb < ya").select("ca", "cb")
-    pairs = materialize(close(pairs, prefixes, prefixes, similarity))
-    runs = materialize(run_table(stored.join(_of_pairs(pairs), "cls", "left_semi")))
-    found = confirmed(pairs, runs, similarity)
-    name = lambda c: classes.select(F.col("cls").alias(f"h{c[1]}"), F.col(ident).alias(c))
-    found = materialize(found.join(name("ca"), "ca").join(name("cb"), "cb").select(F.col("ha").alias("ca"), F.col("hb").alias("cb")))
-    same = classes.where("x < y").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-    return _expand(found.unionByName(found.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).unionByName(same), rows.where("ok"), rows, ident)
+         .withColumn("bb", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))).select("ca", "cb", "batch_no", "ba", "bb"))
+    return p.join(left, ["ca", "ba"]).where("bta < batch_no").join(right, ["cb", "batch_no", "bb"]).select(F.col("ia").alias(f"{ident}_a"), F.col("ib").alias(f"{ident}_b"))
 
 
 class History:
-    """The runs of every accepted text and the rows behind them, kept in a folder that all executors share.
+    """Chunks, signatures and rows of everything accepted, in a folder that all executors share.
 
-    check(batch) compares one batch with what earlier calls appended; append(batch) adds accepted rows.
-    A batch that was appended before is not added twice (rows are identified by `ident`).
+    check(batch) compares one batch with what earlier calls appended; append(batch) adds accepted rows. Each
+    append is a part of its own, which counts only once the last of its tables is written and its name is listed:
+    what a failed call leaves behind is never read. A row that was appended before is not added twice (rows are identified by `ident`).
     """
 
-    def __init__(self, spark: SparkSession, path: str, ident: str = "raw_id", similarity: float = SIMILARITY):
+    def __init__(self, spark: SparkSession, path: str, ident: str = "raw_id", similarity: float = SIMILARITY, kind: str = "bigint"):
         self.spark, self.path, self.ident, self.similarity = spark, path, ident, similarity
-
-    def _read(self, name: str, schema: str) -> DataFrame:
+        self.schemas = {
+            "rows": f"cls bigint, _id {kind}, batch_no int", "chunks": "chunk bigint, cls bigint, total int, place int",
+            "texts": "cls bigint, total int, bits binary, runs binary", "order": "run bigint, n bigint", "parts": "part string",
+        }
+        self.signed = f"_id {kind}, batch_no int, ok boolean, cls bigint, total int, bits binary, chunks array<bigint>, runs binary"
+        self._order: Broadcast | None = None
+
+    def _load(self, name: str, paths: list[str]) -> DataFrame:
+        schema = self.schemas[name]
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+            return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _tables(self) -> tuple[DataFrame, DataFrame]:
-        return self._read("runs", RUNS), self._read("rows", f"cls bigint, {self.ident} bigint, batch_no int")
-
-    def _rows(self, batch: DataFrame) -> DataFrame:
-        return batch.where(present("text")).select(F.xxhash64("text").alias("cls"), F.col(self.ident).cast("bigint").alias(self.ident), F.col("batch_no").cast("int").alias("batch_no"), F.col("text").alias("_t"))
+    def _read(self, name: str) -> DataFrame:
+        parts = [r["part"] for r in self._load("parts", [f"{self.path}/parts"]).collect()]  # one a batch
+        return self._load(name, [f"{self.path}/{p}/{name}" for p in sorted(parts)])
+
+    def order(self, batch: DataFrame) -> Broadcast:
+        """The stored order of runs, fixed by the first batch: at most RARE entries for each run of a text of mean length."""
+        if self._order is None:
+            path = f"{self.path}/order"
+            stored = self._load("order", [path]).orderBy("run").toPandas()
+            if not len(stored) and not self._read("rows").limit(1).count():
+                some = batch.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).dropDuplicates(["cls"])
+                runs = materialize(some.select("_t").mapInPandas(_runs, "runs binary"))
+                least = max(2, -(-runs.count() // RARE))
+                runs.mapInPandas(_counted, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).write.mode("overwrite").parquet(path)
+                stored = self._load("order", [path]).orderBy("run").toPandas()
+            self._order = self.spark.sparkContext.broadcast((stored["run"].to_numpy(np.int64), stored["n"].to_numpy(np.int64)))
+        return self._order
+
+    def sign(self, batch: DataFrame) -> DataFrame:
+        """One written row a record of the batch (ident, text, batch_no, and ok: whether it is accepted): its class, chunks, parity and runs."""
+        ok = F.coalesce("ok", F.lit(False)) if "ok" in batch.columns else F.lit(True)
+        d = batch.where(present("text") & F.col(self.ident).isNotNull() & F.col("batch_no").isNotNull()).select(
+            F.col(self.ident).alias("_id"), F.col("batch_no").cast("int").alias("batch_no"), ok.alias("ok"), F.xxhash64("text").alias("cls"), F.col("text").alias("_t"))
+        order, similarity = self.order(d), self.similarity
+        return materialize(d.mapInPandas(lambda it: _signed(it, order, similarity), self.signed))
+
+    def _classes(self, signed: DataFrame) -> DataFrame:
+        """One row of each class, without the copies; only ids are compared."""
+        one = signed.groupBy("cls").agg(F.min("_id").alias("_id"))
+        return signed.join(one, ["cls", "_id"], "left_semi").dropDuplicates(["cls", "_id"])
+
+    @staticmethod
+    def _exploded(classes: DataFrame) -> DataFrame:
+        return classes.select("cls", "total", F.posexplode("chunks").alias("place", "chunk")).select("chunk", "cls", "total", "place")
+
+    def similar(self, signed: DataFrame) -> DataFrame:
+        """(ca, cb): accepted classes and classes of the batch that are equal or similar; written."""
+        texts, chunks = self._read("texts"), self._read("chunks")
+        own = self._classes(signed)
+        s = self.similarity
+        a = chunks.select("chunk", F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("place").alias("pa"))
+        b = self._exploded(own).select("chunk", F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("place").alias("pb"))
+        # from the first boundary they share on, the rest of either text must still hold what they have in common
+        near = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) >= s / (1 + s) * (F.col("ta") + F.col("tb")) - 1e-6
+        met = a.join(b, "chunk").where((F.col("ca") != F.col("cb")) & near).select("ca", "cb").distinct()
+        left = met.join(texts.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("bits").alias("sa")), "ca")
+        pairs = materialize(left.join(own.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("bits").alias("sb")), "cb")
+                            .mapInPandas(lambda it: _close(it, s), "ca bigint, cb bigint"))
+        found = (pairs.join(texts.select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
+                 .join(own.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
+        same = own.select("cls").join(self._read("rows").select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
+        return materialize(found.unionByName(same))
 
     def check(self, batch: DataFrame) -> DataFrame:
-        """(ident_a, ident_b): accepted rows of earlier batches that rows of this one repeat. No text of the history is read again."""
-        kept, rows = self._tables()
-        new = materialize(self._rows(batch))
-        own = materialize(run_table(new.groupBy("cls").agg(F.first("_t").alias("_t"))))
-        hot = frequent_runs(sampled(kept.unionByName(own)))
-        a, b = materialize(prefix_table(kept, hot, self.similarity)), materialize(prefix_table(own, hot, self.similarity))
-        pairs = materialize(close(candidate_classes(a, b, self.similarity), a, b, self.similarity))
-        runs = kept.join(pairs.select(F.col("ca").alias("cls")).distinct(), "cls", "left_semi").unionByName(own).dropDuplicates(["cls"])
-        found = confirmed(pairs, runs, self.similarity)
-        same = new.select("cls").distinct().join(rows.select("cls").distinct(), "cls").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-        return _expand(found.unionByName(same), rows, new.drop("_t"), self.ident)
+        """(ident_a, ident_b): accepted rows of earlier batches that rows of this batch repeat."""
+        signed = self.sign(batch)
+        pairs = self.similar(signed).join(signed.select(F.col("cls").alias("cb"), "batch_no").distinct(), "cb")
+        return _expand(pairs, self._read("rows"), signed.select("cls", "_id", "batch_no"), self.ident)
 
     def append(self, accepted: DataFrame) -> None:
-        kept, rows = self._tables()
-        new = materialize(self._rows(accepted).join(rows.select(self.ident), self.ident, "left_anti"))
-        fresh = new.groupBy("cls").agg(F.first("_t").alias("_t")).join(kept.select("cls"), "cls", "left_anti")
-        run_table(fresh).write.mode("append").parquet(f"{self.path}/runs")
-        new.drop("_t").write.mode("append").parquet(f"{self.path}/rows")
+        self.add(self.sign(accepted))
+
+    def add(self, signed: DataFrame) -> None:
+        """Appends the accepted ones of the signed rows; of copies the chunks are stored once."""
+        rows = self._read("rows")
+        new = signed.where("ok").join(rows.select("_id"), "_id", "left_anti")
+        fresh = self._classes(new).join(rows.select("cls").distinct(), "cls", "left_anti")
+        part = uuid.uuid4().hex
+        self._exploded(fresh).write.parquet(f"{self.path}/{part}/chunks")
+        fresh.select("cls", "total", "bits", "runs").write.parquet(f"{self.path}/{part}/texts")
+        new.select("cls", "_id", "batch_no").dropDuplicates(["_id"]).write.parquet(f"{self.path}/{part}/rows")
+        self.spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("append").parquet(f"{self.path}/parts")
+
+
+def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", similarity: float = SIMILARITY) -> DataFrame:
+    """(ident_a, ident_b), a accepted and of an earlier batch, b equal or that similar: batch after batch is held against the history, then appended to it.
+
+    records: ident, doc_id, text, batch_no; accepted: doc_id. Rows with null batch_no stand nowhere.
+    """
+    spark = records.sparkSession
+    known = accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True))
+    r = records.select(ident, "doc_id", "text", "batch_no")
+    history = History(spark, shared_folder(spark, "history"), ident, similarity, records.schema[ident].dataType.simpleString())
+    numbers = sorted(x[0] for x in r.select("batch_no").where("batch_no is not null").distinct().collect())  # as many as there were deliveries
+    pairs, signed = [], []
+    for n in numbers:
+        batch = history.sign(r.where(F.col("batch_no") == n).join(known, "doc_id", "left"))
+        if n != numbers[0]:
+            pairs.append(history.similar(batch).withColumn("batch_no", F.lit(n)))
+        if n != numbers[-1]:
+            history.add(batch)
+        signed.append(batch.select("cls", "_id", "batch_no"))
+    if not pairs:
+        kind = records.schema[ident].dataType.simpleString()
+        return spark.createDataFrame([], f"{ident}_a {kind}, {ident}_b {kind}")
+    union = lambda ds: ds[0] if len(ds) == 1 else union([ds[0].unionByName(ds[1]), *ds[2:]])
+    return _expand(union(pairs), history._read("rows"), union(signed), ident)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -229,6 +229,37 @@ def test_p4_finds_pairs_that_share_few_whole_chunks(spark):
     assert len(want) == 10 and rows(p4.repeats(d, acc)) == want
 
 
+def test_p4_scattered_edits_of_any_length_equal_brute_force(spark):
+    """Edits spread evenly, at random and in heaps, from 60 to 2,000 tokens, on both sides of the similarity asked for."""
+    texts, r = [], random.Random(11)
+    for k, n in enumerate((60, 70, 95, 120, 200, 400, 800, 2000)):
+        for edits in (max(1, n // 34), max(1, n // 29), n // 24):
+            for how in range(3):
+                w = [f"w{k}x{edits}x{how}x{i}" for i in range(n)]
+                v = list(w)
+                at = [(j + 1) * n // (edits + 1) for j in range(edits)] if how == 0 else r.sample(range(n), edits) if how == 1 else range(n // 3, n // 3 + edits)
+                for i in at:
+                    v[i] = r.choice(["", f"e{i}", f"e{i} f{i}"])
+                texts += [(" ".join(w), 0), (" ".join(x for x in v if x), 1)]
+    d, acc, want = p4_rows(spark, texts)
+    assert len(want) > 40 and any((i, i + 1) not in want for i in range(0, len(texts), 2)) and rows(p4.repeats(d, acc)) == want
+
+
+def test_p4_without_shared_chunks_only_copies_are_found(spark, monkeypatch):
+    monkeypatch.setattr(p4.History, "_exploded", staticmethod(lambda c: c.select(F.lit(0).cast("bigint").alias("chunk"), "cls", "total", F.lit(0).alias("place")).where("false")))
+    a = " ".join(f"w{i}" for i in range(200))
+    d, acc, want = p4_rows(spark, [(a, 0), (a + " more", 1), (a, 2)])
+    assert want == {(0, 1), (0, 2), (1, 2)} and rows(p4.repeats(d, acc)) == {(0, 2)}
+
+
+def test_p4_a_part_that_was_not_finished_is_never_read(spark, tmp_path):
+    h = p4.History(spark, str(tmp_path / "h"))
+    d, _, _ = p4_rows(spark, [("a b c d e f g", 0), ("a b c d e f g", 1)])
+    h.append(d.where("batch_no = 0"))
+    h._exploded(h._classes(h.sign(d))).write.parquet(str(tmp_path / "h" / "torn" / "chunks"))
+    assert h._read("rows").count() == 1 and h._read("chunks").count() == 1 and rows(h.check(d.where("batch_no = 1"))) == {(0, 1)}
+
+
 def test_p4_parity_never_exceeds_the_difference():
     r = np.random.default_rng(1)
     for n, m in ((1, 1), (50, 65), (64, 90), (200, 257), (1000, 1400)):
