@@ -19,7 +19,7 @@ from palimpsest.functions import kernels, native
 from palimpsest.operators import align, detect, lm, paraphrase, retrieve, scoring, spans
 from palimpsest.operators.corpus import Corpus, choose_bands, fingerprints, latest, lsh, postings
 from palimpsest.operators.cut import written
-from palimpsest.plans import report
+from palimpsest.plans import report, twins
 from palimpsest.plans.engine import Engine
 from palimpsest.sources import providers
 from palimpsest.streaming.watch import score_drift
@@ -613,7 +613,30 @@ def oracle_sql() -> dict[str, str]:
         ej AS (SELECT ck.doc_id, ck.item_id, sum((x.value = y.value)::INT) / {CFG.n_perm} AS est FROM ck JOIN ds x ON x.id = ck.doc_id JOIN si y ON y.id = ck.item_id AND x.slot = y.slot GROUP BY ALL)
         SELECT doc_id, item_id, round(est, 6)::DOUBLE AS est_jaccard, shared, CASE WHEN l AND shared >= {CFG.min_shared} THEN 'both' WHEN l THEN 'lsh' ELSE 'postings' END AS via,
         (row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, est DESC, item_id))::INTEGER AS rank FROM ck JOIN ej USING (doc_id, item_id) QUALIFY rank <= {CFG.limit}"""
+    sigs = f"WITH {DOCS}, {_sig('ds', 'df')}, {twins.with_sentinel('ds', 'dz', 'documents', 'doc_id', 'df')}"
+    classes = """kc AS (SELECT id, list(DISTINCT value ORDER BY value)::VARCHAR AS k FROM df GROUP BY id),
+        cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(k, '')) AS class_id FROM documents LEFT JOIN kc ON id = doc_id)"""
+    pairs = f"{sigs}, {_bands('db', 'dz')}, {classes}, rb AS (SELECT * FROM db WHERE id IN (SELECT class_id FROM cl)), cp AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM rb a JOIN rb b ON a.band = b.band AND a.key = b.key AND a.id < b.id)"
     return {
+        "token_offsets_docs": f'WITH {_offsets("documents", "doc_id")} SELECT id AS doc_id, idx, tok, "start", "end" FROM ofs',
+        "token_hash_docs": f"SELECT tok, {HASH} AS value FROM (SELECT DISTINCT unnest({TOK}) AS tok FROM documents WHERE text IS NOT NULL)",
+        "shingle_hash_docs": f"WITH {DOCS} SELECT id AS doc_id, pos, value FROM df_s",
+        "minhash_signature_docs": f"{sigs} SELECT id AS doc_id, slot, value FROM dz",
+        "lsh_band_keys_docs": f"{sigs}, {_bands('db', 'dz')} SELECT id AS doc_id, band, key[1] AS k0, key[2] AS k1 FROM db",
+        "lsh_classes_docs": f"WITH {DOCS}, {classes} SELECT doc_id, class_id FROM cl",
+        "lsh_candidate_pairs_docs": f"{pairs} SELECT a_id, b_id FROM cp",
+        "pair_jaccard_docs": f"""{pairs}, v AS (SELECT id, list(DISTINCT value) AS vs FROM df GROUP BY id), e AS (SELECT a_id, b_id, sum((x.value = y.value)::INT) / {CFG.n_perm} AS est FROM cp JOIN dz x ON x.id = a_id JOIN dz y ON y.id = b_id AND x.slot = y.slot GROUP BY ALL)
+            SELECT a_id, b_id, round(est, 6)::DOUBLE AS estimated, round(len(list_intersect(x.vs, y.vs)) / len(list_distinct(list_concat(x.vs, y.vs))), 6)::DOUBLE AS exact FROM e JOIN v x ON x.id = a_id JOIN v y ON y.id = b_id""",
+        "index_stats_docs": f"""{sigs}, {_bands('db', 'dz')} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT value) FROM df) AS distinct_fingerprints, (SELECT count(*) FROM (SELECT DISTINCT band, key FROM db)) AS buckets,
+            {bands}::INTEGER AS bands, {rows}::INTEGER AS rows, {round((1 / bands) ** (1 / rows), 4)}::DOUBLE AS lsh_knee, {CFG.min_shared}::INTEGER AS min_shared""",
+        "lexical_embedding_docs": f"WITH {_embed('e', 'documents', 'doc_id')} SELECT id AS doc_id, bucket, round(weight, 6) AS weight FROM e",
+        "paraphrase_topk_all": f"""WITH {_embed('e', 'eval_items', 'item_id')}, {_embed('d', 'documents', 'doc_id')}, c AS (SELECT e.id AS item_id, d.id AS doc_id, round(sum(e.weight * d.weight), 6) AS cosine FROM e JOIN d USING (bucket) GROUP BY ALL)
+            SELECT item_id, doc_id, cosine, (row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id))::INTEGER AS rank FROM c QUALIFY rank <= 10""",
+        "fold_text": twins.fold_text(),
+        "query_phrases": twins.query_phrases(),
+        "chain_seeds": twins.chain_seeds(DOCS, ITEMS, SEEDS),
+        "isotonic_fit": twins.ISOTONIC_FIT,
+        "lm_triples": twins.LM_TRIPLES,
         "tidy_text": rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '\A{SPACE}+|{SPACE}+\z', '', 'g') AS tidy FROM documents",
         "doc_content_id": "SELECT doc_id, 'sha256:' || substr(sha256(text), 1, 24) AS content_id, sha256(text) AS sha256 FROM documents",
         "content_dedupe": "SELECT 'sha256:' || substr(sha256(text), 1, 24) AS content_id, min(doc_id) AS first_doc, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
