@@ -1,4 +1,4 @@
-"""The queries of this subpackage, for the driver. None has an SQL twin: each needs a kernel."""
+"""The queries of this subpackage, for the driver, and the SQL twins of those whose rules SQL can say."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import twins
 from . import p1_canonical, p2_spans, p3_encoding, p4_history, p5_markup, p6_scans, p7_sentences, p8_leaks, p9_mix, p10_residue
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.oracle_sql()
