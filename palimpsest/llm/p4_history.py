@@ -40,6 +40,7 @@ GRAM = 5
 SIMILARITY = 0.7
 SAMPLE = 16
 RARE = 2_000
+SENT = 1_000_000  # rows of two or three numbers each: what is broadcast at most
 
 
 def parity(g: np.ndarray) -> bytes:
@@ -69,7 +70,7 @@ def _signed(batches: Iterator[pd.DataFrame], order: Broadcast, similarity: float
                 often = np.where(common[at] == g, count[at], 0)
             n = len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1 if len(g) else 0
             runs.append(g.tobytes()); bits.append(parity(g) if len(g) else b""); chunks.append(g[np.lexsort((g, often))[:n]])
-        yield pd.DataFrame({"_id": b["_id"], "batch_no": b["batch_no"], "ok": b["ok"], "cls": b["cls"], "total": [len(r) // 8 for r in runs], "bits": bits, "chunks": chunks, "runs": runs})
+        yield pd.DataFrame({"_id": b["_id"], "batch_no": b["batch_no"], "cls": b["cls"], "total": [len(r) // 8 for r in runs], "bits": bits, "chunks": chunks, "runs": runs})
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,21 +117,19 @@ def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.
 
 
 def _expand(pairs: DataFrame, old: DataFrame, new: DataFrame, ident: str, block: int = 20_000) -> DataFrame:
-    """Pairs (ca, cb, batch_no) of classes, the two may be one -> pairs of accepted rows of ca in earlier batches and rows of cb in that batch."""
-    old, new = old.withColumn("k", F.lit(0)), new.withColumn("k", F.col("batch_no"))
-
-    def blocks(d: DataFrame, cls: str, i: str, n: str, b: str, k: str, batch: str) -> tuple[DataFrame, DataFrame]:
-        size = d.groupBy("cls", "k").agg(F.ceil(F.count("*") / block).cast("int").alias(n)).where(F.col(n) > 1)
-        rows = d.join(size, ["cls", "k"], "left").select(F.col("cls").alias(cls), F.col("k").alias(k), F.col("_id").alias(i), F.col("batch_no").alias(batch),
-                                                         F.pmod(F.xxhash64("_id"), F.coalesce(n, F.lit(1)).cast("bigint")).cast("int").alias(b))
-        return rows, size.select(F.col("cls").alias(cls), F.col("k").alias(k), n)
-
-    left, na = blocks(old, "ca", "ia", "na", "ba", "ka", "bta")
-    right, nb = blocks(new, "cb", "ib", "nb", "bb", "batch_no", "btb")
-    p = (pairs.join(na.drop("ka"), "ca", "left").join(nb, ["cb", "batch_no"], "left")
+    """Class pairs (ca, cb), the two may be one class -> row pairs with an earlier batch on side a."""
+    def blocks(d: DataFrame, cls: str, i: str, n: str, b: str, batch: str) -> tuple[DataFrame, DataFrame]:
+        size = d.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias(n)).where(F.col(n) > 1)
+        rows = d.join(size, "cls", "left").select(F.col("cls").alias(cls), F.col("_id").alias(i), F.col("batch_no").alias(batch),
+                                                  F.pmod(F.xxhash64("_id"), F.coalesce(n, F.lit(1)).cast("bigint")).cast("int").alias(b))
+        return rows, size.select(F.col("cls").alias(cls), n)
+
+    left, na = blocks(old, "ca", "ia", "na", "ba", "bta")
+    right, nb = blocks(new, "cb", "ib", "nb", "bb", "btb")
+    p = (pairs.join(na, "ca", "left").join(nb, "cb", "left")
          .withColumn("ba", F.explode(F.sequence(F.lit(0), F.coalesce("na", F.lit(1)) - 1)))
-         .withColumn("bb", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))).select("ca", "cb", "batch_no", "ba", "bb"))
-    return p.join(left, ["ca", "ba"]).where("bta < batch_no").join(right, ["cb", "batch_no", "bb"]).select(F.col("ia").alias(f"{ident}_a"), F.col("ib").alias(f"{ident}_b"))
+         .withColumn("bb", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1))).select("ca", "cb", "ba", "bb"))
+    return p.join(left, ["ca", "ba"]).join(right, ["cb", "bb"]).where("bta < btb").select(F.col("ia").alias(f"{ident}_a"), F.col("ib").alias(f"{ident}_b"))
 
 
 class History:
@@ -147,7 +146,7 @@ class History:
             "rows": f"cls bigint, _id {kind}, batch_no int", "chunks": "chunk bigint, cls bigint, total int, place int",
             "texts": "cls bigint, total int, bits binary, runs binary", "order": "run bigint, n bigint", "parts": "part string",
         }
-        self.signed = f"_id {kind}, batch_no int, ok boolean, cls bigint, total int, bits binary, chunks array<bigint>, runs binary"
+        self.signed = f"_id {kind}, batch_no int, cls bigint, total int, bits binary, chunks array<bigint>, runs binary"
         self._order: Broadcast | None = None
 
     def _load(self, name: str, paths: list[str]) -> DataFrame:
@@ -178,84 +177,133 @@ class History:
         return self._order
 
     def sign(self, batch: DataFrame) -> DataFrame:
-        """One written row a record of the batch (ident, text, batch_no, and ok: whether it is accepted): its class, chunks, parity and runs."""
-        ok = F.coalesce("ok", F.lit(False)) if "ok" in batch.columns else F.lit(True)
+        """One written row a record of the batch (ident, text, batch_no): its class, chunks, parity and runs. Texts are read once and not moved."""
         d = batch.where(present("text") & F.col(self.ident).isNotNull() & F.col("batch_no").isNotNull()).select(
-            F.col(self.ident).alias("_id"), F.col("batch_no").cast("int").alias("batch_no"), ok.alias("ok"), F.xxhash64("text").alias("cls"), F.col("text").alias("_t"))
+            F.col(self.ident).alias("_id"), F.col("batch_no").cast("int").alias("batch_no"), F.xxhash64("text").alias("cls"), F.col("text").alias("_t"))
         order, similarity = self.order(d), self.similarity
         return materialize(d.mapInPandas(lambda it: _signed(it, order, similarity), self.signed))
 
+    def rows(self, signed: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+        """(cls, ident, batch_no, ok) of the signed rows; accepted: ids, all of them if not given."""
+        r = signed.select("cls", "_id", "batch_no")
+        if accepted is None:
+            return r.withColumn("ok", F.lit(True))
+        ok = accepted.select(F.col(self.ident).alias("_id")).distinct().withColumn("ok", F.lit(True))
+        return materialize(r.join(ok, "_id", "left").select("cls", "_id", "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
+
     def _classes(self, signed: DataFrame) -> DataFrame:
         """One row of each class, without the copies; only ids are compared."""
         one = signed.groupBy("cls").agg(F.min("_id").alias("_id"))
         return signed.join(one, ["cls", "_id"], "left_semi").dropDuplicates(["cls", "_id"])
 
     @staticmethod
-    def _exploded(classes: DataFrame) -> DataFrame:
-        return classes.select("cls", "total", F.posexplode("chunks").alias("place", "chunk")).select("chunk", "cls", "total", "place")
-
-    def similar(self, signed: DataFrame) -> DataFrame:
-        """(ca, cb): accepted classes and classes of the batch that are equal or similar; written."""
-        texts, chunks = self._read("texts"), self._read("chunks")
-        own = self._classes(signed)
+    def _exploded(classes: DataFrame, *more: str) -> DataFrame:
+        return classes.select("cls", "total", *more, F.posexplode("chunks").alias("place", "chunk")).select("chunk", "cls", "total", "place", *more)
+
+    def similar(self, signed: DataFrame, rows: DataFrame) -> DataFrame:
+        """(ca, cb): accepted classes, of the history or of a batch signed along, and classes of the signed rows that are equal or similar; written.
+
+        A set of rows with few chunks (SENT at most, counted) is sent to the history; a larger one is joined by shuffle.
+        """
+        old = self._read("rows")
+        spread_ = rows.groupBy("cls").agg(F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("first"), F.max("batch_no").alias("last"))
+        own = self._classes(signed).join(spread_, "cls")
+        small = signed.agg(F.sum(F.size("chunks"))).first()[0] or 0
+        sent = F.broadcast if small <= SENT else lambda d: d
         s = self.similarity
-        a = chunks.select("chunk", F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("place").alias("pa"))
-        b = self._exploded(own).select("chunk", F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("place").alias("pb"))
+        side = lambda d, x, t, p, w: d.select("chunk", F.col("cls").alias(x), F.col("total").alias(t), F.col("place").alias(p), w)
+        exploded = self._exploded(own, "first", "last")
+        b = side(exploded, "cb", "tb", "pb", "last")
         # from the first boundary they share on, the rest of either text must still hold what they have in common
         near = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) >= s / (1 + s) * (F.col("ta") + F.col("tb")) - 1e-6
-        met = a.join(b, "chunk").where((F.col("ca") != F.col("cb")) & near).select("ca", "cb").distinct()
-        left = met.join(texts.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("bits").alias("sa")), "ca")
+        meet = lambda a, b: a.join(b, "chunk").where((F.col("ca") != F.col("cb")) & near & (F.col("first") < F.col("last"))).select("ca", "cb")
+        met = meet(side(self._read("chunks"), "ca", "ta", "pa", F.lit(-2**31).alias("first")), sent(b))
+        fresh = spread_.where("first is not null").select("cls")
+        several = rows.agg(F.min("batch_no") < F.max("batch_no")).first()[0]
+        if several:  # batches signed together: the later ones are held against the accepted rows of the earlier ones too
+            met = met.unionByName(meet(side(exploded.where("first is not null"), "ca", "ta", "pa", "first"), b))
+        met = met.distinct()
+        # signatures and runs of the classes that met, and of no others
+        needed = materialize(met)
+        ids = needed.select(F.col("ca").alias("cls")).distinct()
+        few = ids.count() <= SENT
+        texts = self._read("texts").join(F.broadcast(ids) if few else ids, "cls", "left_semi")
+        if several:
+            texts = texts.unionByName(own.join(fresh, "cls", "left_semi").join(F.broadcast(ids) if few else ids, "cls", "left_semi").select("cls", "total", "bits", "runs"))
+        left = needed.join(texts.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("bits").alias("sa")), "ca")
         pairs = materialize(left.join(own.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("bits").alias("sb")), "cb")
-                            .mapInPandas(lambda it: _close(it, s), "ca bigint, cb bigint"))
+                            .mapInPandas(lambda it: _close(it, s), "ca bigint, cb bigint").distinct())
         found = (pairs.join(texts.select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
                  .join(own.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
-        same = own.select("cls").join(self._read("rows").select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-        return materialize(found.unionByName(same))
+        known = old.select("cls").unionByName(fresh) if several else old.select("cls")
+        same = own.select("cls").join(known.distinct(), "cls", "left_semi").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
+        return materialize(found.distinct().unionByName(same))
+
+    def pairs(self, signed: DataFrame, rows: DataFrame) -> DataFrame:
+        """(ident_a, ident_b) of signed rows."""
+        old = self._read("rows").unionByName(rows.where("ok").drop("ok"))
+        return _expand(self.similar(signed, rows), old, rows.drop("ok"), self.ident)
 
     def check(self, batch: DataFrame) -> DataFrame:
-        """(ident_a, ident_b): accepted rows of earlier batches that rows of this batch repeat."""
+        """(ident_a, ident_b): accepted rows of earlier batches that rows of this batch (or of these batches) repeat."""
         signed = self.sign(batch)
-        pairs = self.similar(signed).join(signed.select(F.col("cls").alias("cb"), "batch_no").distinct(), "cb")
-        return _expand(pairs, self._read("rows"), signed.select("cls", "_id", "batch_no"), self.ident)
+        return self.pairs(signed, self.rows(signed))
 
     def append(self, accepted: DataFrame) -> None:
-        self.add(self.sign(accepted))
+        signed = self.sign(accepted)
+        self.add(signed, self.rows(signed))
 
-    def add(self, signed: DataFrame) -> None:
+    def add(self, signed: DataFrame, rows: DataFrame) -> None:
         """Appends the accepted ones of the signed rows; of copies the chunks are stored once."""
-        rows = self._read("rows")
-        new = signed.where("ok").join(rows.select("_id"), "_id", "left_anti")
-        fresh = self._classes(new).join(rows.select("cls").distinct(), "cls", "left_anti")
+        old = self._read("rows")
+        new = rows.where("ok").drop("ok").join(old.select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
+        fresh = materialize(new.join(old.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.min("_id").alias("_id")))
+        fresh = signed.join(fresh, ["cls", "_id"], "left_semi").dropDuplicates(["cls"])
         part = uuid.uuid4().hex
         self._exploded(fresh).write.parquet(f"{self.path}/{part}/chunks")
         fresh.select("cls", "total", "bits", "runs").write.parquet(f"{self.path}/{part}/texts")
-        new.select("cls", "_id", "batch_no").dropDuplicates(["_id"]).write.parquet(f"{self.path}/{part}/rows")
+        new.select("cls", "_id", "batch_no").write.parquet(f"{self.path}/{part}/rows")
         self.spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("append").parquet(f"{self.path}/parts")
 
 
+def deliveries(sizes: dict[int, int]) -> list[list[int]]:
+    """Batches in order; those that follow are taken together as long as they are no more than what came before, so the history is looked through a logarithmic number of times."""
+    out: list[list[int]] = []
+    before = now = 0
+    for n in sorted(sizes):
+        if out and now + sizes[n] <= before:
+            out[-1].append(n)
+            now += sizes[n]
+        else:
+            before, now = before + now, sizes[n]
+            out.append([n])
+    return out
+
+
 def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", similarity: float = SIMILARITY) -> DataFrame:
-    """(ident_a, ident_b), a accepted and of an earlier batch, b equal or that similar: batch after batch is held against the history, then appended to it.
+    """(ident_a, ident_b), a accepted and of an earlier batch, b equal or that similar: delivery after delivery is held against the history, then appended to it.
 
     records: ident, doc_id, text, batch_no; accepted: doc_id. Rows with null batch_no stand nowhere.
     """
     spark = records.sparkSession
-    known = accepted.select("doc_id").where("doc_id is not null").distinct().withColumn("ok", F.lit(True))
+    known = accepted.select("doc_id").where("doc_id is not null").distinct()
     r = records.select(ident, "doc_id", "text", "batch_no")
-    history = History(spark, shared_folder(spark, "history"), ident, similarity, records.schema[ident].dataType.simpleString())
-    numbers = sorted(x[0] for x in r.select("batch_no").where("batch_no is not null").distinct().collect())  # as many as there were deliveries
-    pairs, signed = [], []
-    for n in numbers:
-        batch = history.sign(r.where(F.col("batch_no") == n).join(known, "doc_id", "left"))
-        if n != numbers[0]:
-            pairs.append(history.similar(batch).withColumn("batch_no", F.lit(n)))
-        if n != numbers[-1]:
-            history.add(batch)
-        signed.append(batch.select("cls", "_id", "batch_no"))
-    if not pairs:
-        kind = records.schema[ident].dataType.simpleString()
+    kind = records.schema[ident].dataType.simpleString()
+    history = History(spark, shared_folder(spark, "history"), ident, similarity, kind)
+    sizes = {x[0]: x[1] for x in r.where("batch_no is not null").groupBy("batch_no").count().collect()}  # as many as there were batches
+    ok = r.where(F.col(ident).isNotNull()).select(ident, "doc_id").join(known, "doc_id", "left_semi")
+    out, groups = [], deliveries(sizes)
+    for k, group in enumerate(groups):
+        signed = history.sign(r.where(F.col("batch_no").between(group[0], group[-1])))
+        rows = history.rows(signed, ok)
+        out.append(history.pairs(signed, rows))
+        if k + 1 < len(groups):
+            history.add(signed, rows)
+    if not out:
         return spark.createDataFrame([], f"{ident}_a {kind}, {ident}_b {kind}")
-    union = lambda ds: ds[0] if len(ds) == 1 else union([ds[0].unionByName(ds[1]), *ds[2:]])
-    return _expand(union(pairs), history._read("rows"), union(signed), ident)
+    while len(out) > 1:
+        out = [out[0].unionByName(out[1]), *out[2:]]
+    return out[0]
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -246,7 +246,7 @@ def test_p4_scattered_edits_of_any_length_equal_brute_force(spark):
 
 
 def test_p4_without_shared_chunks_only_copies_are_found(spark, monkeypatch):
-    monkeypatch.setattr(p4.History, "_exploded", staticmethod(lambda c: c.select(F.lit(0).cast("bigint").alias("chunk"), "cls", "total", F.lit(0).alias("place")).where("false")))
+    monkeypatch.setattr(p4.History, "_exploded", staticmethod(lambda c, *more: c.select(F.lit(0).cast("bigint").alias("chunk"), "cls", "total", F.lit(0).alias("place"), *more).where("false")))
     a = " ".join(f"w{i}" for i in range(200))
     d, acc, want = p4_rows(spark, [(a, 0), (a + " more", 1), (a, 2)])
     assert want == {(0, 1), (0, 2), (1, 2)} and rows(p4.repeats(d, acc)) == {(0, 2)}
