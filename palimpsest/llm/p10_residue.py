@@ -1,12 +1,14 @@
 """Problem 10: what a template, a server or a page without its scripts left instead of content.
 
-Lines are normalised (case, digits, spaces) and counted by host. A line that stands in at least
-BOILERPLATE_SHARE of a host's records (and in MIN_RECORDS of them) is that host's boilerplate and is
-subtracted, unless nothing else is left of the record. A record is found if a line of its residual
-holds evidence: an unfilled placeholder, filler text, an error page, or a notice that scripts or
-cookies are needed. A line in which an author talks about such things, or quotes them, is none.
-
-Null and empty texts are never found; a null host is one host of its own.
+Lines are normalised (case, digits, spaces) and counted by host over all records. A line is recurrent boilerplate of its
+host if the share of the host's records that hold it is BOILERPLATE_SHARE or more beyond chance (the lower end of a 95 %
+interval, so a host of two records can have boilerplate and a single record cannot). Boilerplate is subtracted. What
+is left, the residual, decides: a record is excluded if a line of it holds an unfilled placeholder, filler text, an error
+message or a notice that scripts or cookies are needed, or if boilerplate is all the record has and that holds it. A line
+in which an author talks about such things, or quotes them, is no evidence.
+So a banner that every page of a host carries excludes none of them, while the page that is nothing but the banner goes.
+
+Null and empty texts are never found; records of a null host have no pages beside them, so nothing is subtracted from them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize, present, spread, table
 
 BOILERPLATE_SHARE = 0.3
-MIN_RECORDS = 8
+Z = 1.645
 
 # What unfilled slots look like in common template languages and forms.
 PLACEHOLDER = re.compile(
@@ -134,8 +136,10 @@ def residue(docs: DataFrame, ident: str = "doc_id", text: str = "text", host: st
     lines = materialize(d.mapInPandas(_lines, f"_id {kind}, host string, line bigint, kind string"))
     # hosts and lines are counted before any shuffle; a host that holds a third of all rows is a few sums
     records = d.groupBy("host").agg(F.count("*").alias("records"))
-    often = (lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_RECORDS)
-             .join(records, "host").where(F.col("n") >= BOILERPLATE_SHARE * F.col("records")).select("host", "line"))
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1").join(records, "host")
+    n, p = F.col("records").cast("double"), F.col("n") / F.col("records")
+    lower = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    often = often.where(lower >= BOILERPLATE_SHARE).select("host", "line")
     often = often.select(F.col("host").alias("h"), F.col("line").alias("l"))
     marked = lines.where("kind is not null")
     on = (F.col("host") == F.col("h")) & (F.col("line") == F.col("l"))

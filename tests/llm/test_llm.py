@@ -511,6 +511,15 @@ def test_p10_boilerplate_is_subtracted_unless_nothing_else_is_left(spark):
     assert p10.residue(d.limit(0)).count() == 0
 
 
+def test_p10_without_the_counts_by_host_other_records_are_found(spark, monkeypatch):
+    note, error = "Please enable cookies to use this site.", "Warning: menu() expects parameter 1 to be resource, null given on line 3"
+    docs = [(i, f"{note}\n{error}\nReal text number {prose(9, i)}.", "two") for i in (1, 2)] + [(i, f"{error}\nReal text {prose(9, i)}.", "many") for i in range(10, 16)] + [(20, f"{note}\nReal text.", "one"), (21, f"{note}\n{error}\nReal.", "two")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, collection string")
+    with_counts = rows(p10.residue(d))
+    monkeypatch.setattr(p10, "BOILERPLATE_SHARE", 2.0)
+    assert {i for i, _ in with_counts} == {20} and len(rows(p10.residue(d))) == len(docs)
+
+
 # --- all -------------------------------------------------------------------------------------------
 
 
