@@ -33,29 +33,26 @@ def present(c: str | Column = "text") -> Column:
     return col.isNotNull() & (col != "")
 
 
-def pairs_of_classes(members: DataFrame, pairs: DataFrame, ident: str, out: tuple[str, str], hot: int = 20_000) -> DataFrame:
+def pairs_of_classes(members: DataFrame, pairs: DataFrame, ident: str, out: tuple[str, str], block: int = 2_000) -> DataFrame:
     """Expand pairs of classes (ca, cb; ca <> cb, each once) into pairs of member rows, smaller id first.
 
-    members: (cls, ident). A class with more than `hot` members is cut into blocks of that size, and
-    pairs are first expanded to pairs of blocks, so no task ever holds more than one block a side.
+    members: (cls, ident). A class of more than `block` members is cut into blocks of about that size, and
+    pairs are first expanded to pairs of blocks, so no key ever holds more than one block a side.
     """
-    blocks = members.select("cls", F.col(ident).alias("_id"), F.pmod(F.xxhash64(ident), F.lit(4096)).alias("_b"))
-    sizes = members.groupBy("cls").count().where(F.col("count") > hot).select("cls", F.least(F.lit(4096), F.ceil(F.col("count") / hot)).alias("_n"))
-    blocks = blocks.join(sizes, "cls", "left").select(
-        "cls", "_id", F.pmod(F.col("_b"), F.coalesce("_n", F.lit(1))).alias("_b"), F.coalesce("_n", F.lit(1)).alias("_n"))
-    left = blocks.select(F.col("cls").alias("ca"), F.col("_b").alias("ba"), F.col("_id").alias("ia"))
-    right = blocks.select(F.col("cls").alias("cb"), F.col("_b").alias("bb"), F.col("_id").alias("ib"))
-    n = sizes.select("cls", "_n")
+    sizes = members.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).where("_n > 1")
+    rows = members.join(sizes, "cls", "left").select("cls", F.col(ident).alias("_id"), F.pmod(F.xxhash64(ident), F.coalesce("_n", F.lit(1)).cast("bigint")).cast("int").alias("_b"))
+    left = rows.select(F.col("cls").alias("ca"), F.col("_b").alias("ba"), F.col("_id").alias("ia"))
+    right = rows.select(F.col("cls").alias("cb"), F.col("_b").alias("bb"), F.col("_id").alias("ib"))
     p = (pairs.select("ca", "cb")
-         .join(n.select(F.col("cls").alias("ca"), F.col("_n").alias("na")), "ca", "left")
-         .join(n.select(F.col("cls").alias("cb"), F.col("_n").alias("nb")), "cb", "left")
-         .select("ca", "cb", F.explode(F.sequence(F.lit(0), F.coalesce("na", F.lit(1)).cast("int") - 1)).alias("ba"), F.coalesce("nb", F.lit(1)).alias("nb"))
-         .select("ca", "cb", "ba", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)).alias("bb")))
+         .join(sizes.select(F.col("cls").alias("ca"), F.col("_n").alias("na")), "ca", "left")
+         .join(sizes.select(F.col("cls").alias("cb"), F.col("_n").alias("nb")), "cb", "left")
+         .select("ca", "cb", F.explode(F.sequence(F.lit(0), F.coalesce("na", F.lit(1)) - 1)).alias("ba"), F.coalesce("nb", F.lit(1)).alias("nb"))
+         .select("ca", "cb", "ba", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb")))
     return (p.join(left, ["ca", "ba"]).join(right, ["cb", "bb"])
             .select(F.least("ia", "ib").alias(out[0]), F.greatest("ia", "ib").alias(out[1])))
 
 
-def pairs_within(members: DataFrame, ident: str, out: tuple[str, str], block: int = 20_000) -> DataFrame:
+def pairs_within(members: DataFrame, ident: str, out: tuple[str, str], block: int = 2_000) -> DataFrame:
     """All pairs of members (cls, ident) inside one class, smaller id first, block against block."""
     sizes = members.groupBy("cls").agg(F.count("*").alias("_c")).where(F.col("_c") > 1).select("cls", F.ceil(F.col("_c") / block).cast("int").alias("_n"))
     rows = members.join(sizes, "cls").select("cls", F.col(ident).alias("_id"), "_n", F.pmod(F.xxhash64(ident), F.col("_n").cast("bigint")).cast("int").alias("_b"))

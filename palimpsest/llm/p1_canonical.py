@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pairs_of_classes, present, spread, table
+from .common import materialize, pairs_of_classes, pairs_within, present, spread, table
 
 # Letters that share a shape with a Latin letter.
 LOOK_ALIKES = {
@@ -116,9 +116,8 @@ def same_look(df: DataFrame, ident: str = "raw_id", text: str = "text") -> DataF
     forms = h.select("look", "cls").distinct()
     many = forms.groupBy("look").count().where("count > 1").select("look")
     forms = forms.join(many, "look")
-    a = forms.select("look", F.col("cls").alias("ca"))
-    b = forms.select("look", F.col("cls").alias("cb"))
-    pairs = a.join(b, "look").where("ca < cb")
+    # forms of one look meet block against block, however many there are
+    pairs = pairs_within(forms.select(F.col("look").alias("cls"), F.col("cls").alias("form")), "form", ("ca", "cb"))
     members = h.join(many, "look", "left_semi").select("cls", "_i")
     return pairs_of_classes(members, pairs, "_i", (f"{ident}_a", f"{ident}_b"))
 

@@ -40,7 +40,7 @@ GRAM = 5
 SIMILARITY = 0.7
 SAMPLE = 16
 RARE = 2_000
-SENT = 1_000_000  # rows of two or three numbers each: what is broadcast at most
+SENT = 100_000  # rows of two or three numbers each: what is broadcast at most
 
 
 def parity(g: np.ndarray) -> bytes:
@@ -116,7 +116,7 @@ def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.
         yield b.loc[keep, ["ca", "cb"]]
 
 
-def _expand(pairs: DataFrame, old: DataFrame, new: DataFrame, ident: str, block: int = 20_000) -> DataFrame:
+def _expand(pairs: DataFrame, old: DataFrame, new: DataFrame, ident: str, block: int = 2_000) -> DataFrame:
     """Class pairs (ca, cb), the two may be one class -> row pairs with an earlier batch on side a."""
     def blocks(d: DataFrame, cls: str, i: str, n: str, b: str, batch: str) -> tuple[DataFrame, DataFrame]:
         size = d.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias(n)).where(F.col(n) > 1)
@@ -266,22 +266,11 @@ class History:
         self.spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("append").parquet(f"{self.path}/parts")
 
 
-def deliveries(sizes: dict[int, int]) -> list[list[int]]:
-    """Batches in order; those that follow are taken together as long as they are no more than what came before, so the history is looked through a logarithmic number of times."""
-    out: list[list[int]] = []
-    before = now = 0
-    for n in sorted(sizes):
-        if out and now + sizes[n] <= before:
-            out[-1].append(n)
-            now += sizes[n]
-        else:
-            before, now = before + now, sizes[n]
-            out.append([n])
-    return out
-
-
 def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", similarity: float = SIMILARITY) -> DataFrame:
-    """(ident_a, ident_b), a accepted and of an earlier batch, b equal or that similar: delivery after delivery is held against the history, then appended to it.
+    """(ident_a, ident_b), a accepted and of an earlier batch, b equal or that similar.
+
+    Two deliveries: the first batch starts the history; all later ones are held against it, and against the accepted rows
+    of each other's earlier batches, in one go. (Batch by batch, `History.check` and `append` give the same rows.)
 
     records: ident, doc_id, text, batch_no; accepted: doc_id. Rows with null batch_no stand nowhere.
     """
@@ -290,20 +279,14 @@ def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", simi
     r = records.select(ident, "doc_id", "text", "batch_no")
     kind = records.schema[ident].dataType.simpleString()
     history = History(spark, shared_folder(spark, "history"), ident, similarity, kind)
-    sizes = {x[0]: x[1] for x in r.where("batch_no is not null").groupBy("batch_no").count().collect()}  # as many as there were batches
-    ok = r.where(F.col(ident).isNotNull()).select(ident, "doc_id").join(known, "doc_id", "left_semi")
-    out, groups = [], deliveries(sizes)
-    for k, group in enumerate(groups):
-        signed = history.sign(r.where(F.col("batch_no").between(group[0], group[-1])))
-        rows = history.rows(signed, ok)
-        out.append(history.pairs(signed, rows))
-        if k + 1 < len(groups):
-            history.add(signed, rows)
-    if not out:
+    first = r.agg(F.min("batch_no")).first()[0]
+    if first is None:
         return spark.createDataFrame([], f"{ident}_a {kind}, {ident}_b {kind}")
-    while len(out) > 1:
-        out = [out[0].unionByName(out[1]), *out[2:]]
-    return out[0]
+    ok = r.where(F.col(ident).isNotNull()).select(ident, "doc_id").join(known, "doc_id", "left_semi")
+    base = history.sign(r.where(F.col("batch_no") == first))
+    history.add(base, history.rows(base, ok))
+    later = history.sign(r.where(F.col("batch_no") > first))
+    return history.pairs(later, history.rows(later, ok))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -255,20 +255,27 @@ def align(a: list[str], b: list[str]) -> list[str]:
     return out
 
 
+BUCKET = 200
+
+
 def wrappers(df: DataFrame, host: str = "host", text: str = "text") -> DataFrame:
     """(host, records, wrapper): equal folded streams are counted before hosts are gathered, so a hot host is a few rows."""
     folded = F.pandas_udf(lambda s: s.map(lambda t: "\t".join(fold(stream(t)))), T.StringType())
-    shapes = spread(df.select(F.col(host).alias("host"), F.col(text).alias("_t")).where(present("_t") & F.col("host").isNotNull() & F.col("_t").rlike("</?[A-Za-z]"))
-                    ).select("host", folded("_t").alias("shape")).groupBy("host", "shape").agg(F.count("*").alias("n"))
+    shapes = (df.select(F.col(host).alias("host"), F.col(text).alias("_t")).where(present("_t") & F.col("host").isNotNull() & F.col("_t").rlike("</?[A-Za-z]"))
+              ).select("host", folded("_t").alias("shape")).groupBy("host", "shape").agg(F.count("*").alias("n"))
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "shape"], ascending=[False, True])
         w: list[str] | None = None
         for s in pdf["shape"]:
             w = s.split("\t") if w is None else align(w, s.split("\t"))
-        return pd.DataFrame({"host": [key[0]], "records": [int(pdf["n"].sum())], "wrapper": [" ".join(w or [])]})
+        return pd.DataFrame({"host": [key[0]], "shape": ["\t".join(w or [])], "n": [int(pdf["n"].sum())]})
 
-    return shapes.groupBy("host").applyInPandas(merge, "host string, records bigint, wrapper string")
+    # shapes of one host are merged in buckets, then the buckets' wrappers, so a hot host's alignments run side by side
+    size = shapes.groupBy("host").agg(F.ceil(F.count("*") / BUCKET).alias("_n"))
+    parts = shapes.join(size, "host").withColumn("_b", F.pmod(F.xxhash64("shape"), F.col("_n"))).groupBy("host", "_b").applyInPandas(merge, "host string, shape string, n bigint")
+    whole = parts.groupBy("host").applyInPandas(merge, "host string, shape string, n bigint")
+    return whole.select("host", F.col("n").alias("records"), F.replace("shape", F.lit("\t"), F.lit(" ")).alias("wrapper"))
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,5 +294,9 @@ def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_wrappers(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "discovered").select(F.expr("parse_url(url, 'HOST')").alias("host"), "text")
-    return wrappers(d)
+    """Of the hosts of both tables; a raw_docs record's is that of the address its accepted content was found at."""
+    host = F.expr("try_parse_url(url, 'HOST')").alias("host")
+    d = table(spark, sf, "discovered").select(host, "text")
+    urls = table(spark, sf, "source_meta").where("doc_id is not null and url <> ''").groupBy("doc_id").agg(F.max("url").alias("url"))
+    r = table(spark, sf, "raw_docs").select("doc_id", "text").join(urls, "doc_id").select(host, "text")
+    return wrappers(d.unionByName(r))

@@ -65,16 +65,22 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo: dict[str, int] = {}
     for b in batches:
         keep = []
-        cached: dict[str, np.ndarray] = {}
+        cached: dict[str, tuple[list[str], np.ndarray]] = {}
         for d, i in zip(b["dt"], b["it"]):
-            v = token_ids(words(i), memo)
-            k = min(MIN_WORDS, len(v))
+            w = words(i)
+            k = min(MIN_WORDS, len(w))
             if d not in cached:
-                cached = {d: token_ids(words(d), memo)}
-            keep.append(bool(k) and bool(np.isin(gram_hashes(v, k), gram_hashes(cached[d], k)).any()))
+                cached = {d: ((x := words(d)), token_ids(x, memo))}
+            keep.append(bool(k) and _shares(w, gram_hashes(token_ids(w, memo), k), cached[d][0], gram_hashes(cached[d][1], k), k))
         yield b.loc[keep, ["doc", "item"]]
 
 
+def _shares(a: list[str], ga: np.ndarray, b: list[str], gb: np.ndarray, k: int) -> bool:
+    """Whether k consecutive words stand in both; equal hashes only say where to compare the words."""
+    _, at, to = np.intersect1d(ga, gb, return_indices=True)
+    return any(a[i:i + k] == b[j:j + k] for i, j in zip(at.tolist(), to.tolist()))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
     """(doc, item), distinct: the items each document gives away."""
     d = spread(docs.select(F.col(doc).alias("_id"), F.col(text).alias("_t")).where(present("_t") & F.col("_id").isNotNull()))

@@ -534,7 +534,7 @@ def test_classes_in_blocks(spark):
     m = spark.createDataFrame([(c, i) for i, c in enumerate("aaabbc")], "cls string, id bigint")
     assert len(rows(common.pairs_within(m, "id", ("x", "y"), block=1))) == 4
     p = spark.createDataFrame([("a", "b")], "ca string, cb string")
-    assert len(rows(common.pairs_of_classes(m, p, "id", ("x", "y"), hot=1))) == 6
+    assert len(rows(common.pairs_of_classes(m, p, "id", ("x", "y"), block=1))) == 6
 
 
 @pytest.mark.parametrize("text", ["<pre " * 20_000, "{{" * 20_000 + "\n" * 50_000, '"a. b ' * 20_000, "( " * 40_000 + ". ", "- a\n" * 20_000, "$a_ " * 40_000, "é" * 60_000, "e" + "́" * 60_000, "aaa-\n" * 20_000, "<" * 60_000, "x" * 300_000], ids=range(11))
