@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from palimpsest.config import PROFILES, FingerprintConfig, ScoringConfig
+from palimpsest.operators.cut import written
 from palimpsest.operators.lm import TransformersLM
 from palimpsest.plans import report
 from palimpsest.plans.engine import Engine
@@ -34,11 +35,11 @@ def _check(spark, a) -> int:
     cfg = ScoringConfig(not a.include_quotes, not a.include_citations, not a.include_bibliography, a.min_words, allowlist=frozenset(a.allow or ()))
     model = (lambda name=a.lm: TransformersLM(name)) if a.lm else None
     e = Engine.load(spark, a.index, scoring=cfg, profile=PROFILES[a.profile], model=model)
-    docs = files.load_path(spark, a.path).where("error is null").cache()
+    docs = written(files.load_path(spark, a.path).where("error is null"))
     if docs.isEmpty():
         print(f"cannot read {a.path}", file=sys.stderr)
         return 1
-    rows = report.reports(e.check(docs), e.analyze(docs), docs, cfg).cache()
+    rows = written(report.reports(e.check(docs), e.analyze(docs), docs, cfg))
     text = report.to_json(rows).first()["json"]
     r = json.loads(text)
     if a.json:

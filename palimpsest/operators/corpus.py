@@ -43,6 +43,11 @@ def postings(fp: DataFrame) -> DataFrame:
     return fp.select("doc_id", F.explode(F.arrays_zip("pos", "value")).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.value").alias("value"))
 
 
+def counted(fp: DataFrame) -> DataFrame:
+    """(value, doc_id, n): the inverted index, how often each document has each value."""
+    return postings(fp).groupBy("value", "doc_id").agg(F.count("*").alias("n"))
+
+
 def lsh(sig: DataFrame, cfg: FingerprintConfig) -> DataFrame:
     """(doc_id, band, key): the bands of each signature, keys as arrays."""
     bands, rows = choose_bands(cfg.n_perm, cfg.threshold)
@@ -52,11 +57,12 @@ def lsh(sig: DataFrame, cfg: FingerprintConfig) -> DataFrame:
 
 @dataclass(frozen=True)
 class Corpus:
-    """docs(doc_id, n_tokens, tokens, pos, value, sig) and meta(doc_id, title, author, url, kind, year, n_tokens)."""
+    """docs(doc_id, n_tokens, tokens, pos, value, sig), meta(doc_id, title, author, url, kind, year, n_tokens) and, once saved, inverted(value, doc_id, n)."""
 
     docs: DataFrame
     meta: DataFrame
     cfg: FingerprintConfig
+    inverted: DataFrame | None = None
 
     @classmethod
     def build(cls, raw: DataFrame, meta: DataFrame | None = None, cfg: FingerprintConfig = FingerprintConfig(), ident: str = "doc_id", text: str = "text") -> Corpus:
@@ -73,12 +79,14 @@ class Corpus:
         elif on_duplicate != "append":
             raise ValueError("on_duplicate is 'append' or 'ignore'")
         fresh = _meta(new, _own_meta(raw, ident, kind) if meta is None else meta)
-        return replace(self, docs=self.docs.unionByName(new), meta=self.meta.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh))
+        inv = None if self.inverted is None else self.inverted.unionByName(counted(new)).groupBy("value", "doc_id").agg(F.sum("n").alias("n"))
+        return replace(self, inverted=inv, docs=self.docs.unionByName(new), meta=self.meta.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh))
 
     def forget(self, ids: DataFrame) -> Corpus:
         """Without the documents of ids(doc_id)."""
         gone = ids.select("doc_id").distinct()
-        return replace(self, docs=self.docs.join(gone, "doc_id", "left_anti"), meta=self.meta.join(gone, "doc_id", "left_anti"))
+        inv = None if self.inverted is None else self.inverted.join(gone, "doc_id", "left_anti")
+        return replace(self, inverted=inv, docs=self.docs.join(gone, "doc_id", "left_anti"), meta=self.meta.join(gone, "doc_id", "left_anti"))
 
     def stats(self) -> DataFrame:
         """One row: documents, distinct_fingerprints, buckets, bands, rows, lsh_knee, min_shared."""
@@ -93,6 +101,9 @@ class Corpus:
 
     def save(self, path: str) -> None:
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        # in order of the values, so a check of few of them reads few row groups
+        inv = counted(self.docs.sparkSession.read.parquet(f"{path}/docs")) if self.inverted is None else self.inverted
+        inv.repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").parquet(f"{path}/inverted")
         self.meta.write.mode("overwrite").parquet(f"{path}/meta")
         spark = self.docs.sparkSession
         spark.createDataFrame([(json.dumps(asdict(self.cfg)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
@@ -100,7 +111,7 @@ class Corpus:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
         cfg = FingerprintConfig(**json.loads(spark.read.text(f"{path}/config").first()[0]))
-        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/meta"), cfg)
+        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/meta"), cfg, spark.read.schema("value bigint, doc_id " + spark.read.parquet(f"{path}/docs").schema["doc_id"].dataType.simpleString() + ", n bigint").parquet(f"{path}/inverted"))
 
 
 META = {"title": "string", "author": "string", "url": "string", "kind": "string", "year": "int"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ def refill(masked: str | Column, generated: str | Column) -> Column:
 class TransformersLM:
     """Causal model from the optional `transformers` package, loaded on first use in the worker."""
 
-    def __init__(self, name: str = "gpt2-medium", max_tokens: int = 1024):
-        self.name, self.max_tokens, self._parts = name, max_tokens, None
+    def __init__(self, name: str = "gpt2-medium", max_tokens: int = 1024, infill: str | None = None):
+        """infill: a span-filling model; variants of a text are then its refilled spans, not the text with words left out."""
+        self.name, self.max_tokens, self.infill, self._parts, self._filler = name, max_tokens, infill, None, None
 
     def _load(self):
         if self._parts is None:
@@ -46,13 +49,48 @@ class TransformersLM:
         import torch
 
         tok, model = self._load()
-        ids = tok(text, return_tensors="pt", truncation=True, max_length=self.max_tokens)["input_ids"]
-        with torch.no_grad():
-            logp = torch.log_softmax(model(ids).logits[0, :-1], -1)
-        target = ids[0, 1:]
-        own = logp.gather(1, target[:, None])
-        rank = (logp > own).sum(1) + 1
-        return [(tok.decode([int(t)]), float(p), float(torch.log(r.double()))) for t, p, r in zip(target, own[:, 0], rank)]
+        ids = tok(text, return_tensors="pt")["input_ids"]
+        out: list[tuple[str, float, float]] = []
+        # windows that overlap by half: every token but the first is scored once, with at least half a window before it
+        for begin, scored in windows(ids.shape[1], self.max_tokens):
+            with torch.no_grad():
+                logp = torch.log_softmax(model(ids[:, begin:begin + self.max_tokens]).logits[0, :-1], -1)[scored - begin - 1:]
+            target = ids[0, scored:begin + self.max_tokens]
+            own = logp.gather(1, target[:, None])
+            rank = (logp > own).sum(1) + 1
+            out += [(tok.decode([int(t)]), float(p), float(torch.log(r.double()))) for t, p, r in zip(target, own[:, 0], rank)]
+        return out
 
     def perturb(self, text: str, n: int = 8) -> list[str]:
-        return kernels.drop_words(text, n)
+        if self.infill is None:
+            return kernels.drop_words(text, n)
+        return infilled(text, n, self._fill)
+
+    def _fill(self, masked: str) -> str:
+        if self._filler is None:
+            from transformers import AutoModelForSeq2SeqLM, AutoTokenizer
+
+            self._filler = AutoTokenizer.from_pretrained(self.infill), AutoModelForSeq2SeqLM.from_pretrained(self.infill).eval()
+        tok, model = self._filler
+        return tok.decode(model.generate(**tok(masked, return_tensors="pt"), do_sample=True, max_new_tokens=256)[0], skip_special_tokens=False)
+
+
+def windows(n: int, size: int) -> list[tuple[int, int]]:
+    """(where a window begins, the first token scored in it): together they score the tokens 1 to n - 1, each once."""
+    out, done = [], 1
+    begin = 0
+    while done < n:
+        out.append((begin, done))
+        done = min(n, begin + size)
+        begin = max(0, done - size // 2)
+    return out
+
+
+def infilled(text: str, n: int, fill: Callable[[str], str], rate: float = 0.15, size: int = 2) -> list[str]:
+    """Variants of a text: some of its spans are masked, another draw each time, and filled again. Texts too short to mask give none."""
+    out = []
+    for seed in range(n):
+        masked, holes = kernels.mask_spans(text, rate, size, seed)
+        if holes:
+            out.append(kernels.refill(masked, fill(masked)))
+    return [x for x in out if x]

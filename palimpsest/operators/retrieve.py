@@ -7,22 +7,29 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import FingerprintConfig
 from palimpsest.functions import native
-from palimpsest.operators.corpus import lsh, postings
+from palimpsest.config import PRIME
+from palimpsest.operators.corpus import counted, lsh, postings
 
 
-def shared_counts(subs: DataFrame, docs: DataFrame) -> DataFrame:
+def shared_counts(subs: DataFrame, docs: DataFrame, inverted: DataFrame | None = None) -> DataFrame:
     """(sub_id, src_id, shared): posting rows of the source for each distinct value of the submission.
 
     Postings are counted by (value, source) before the join, so a boilerplate value costs one row a
-    document, not one a position.
+    document, not one a position. inverted(value, doc_id, n): these counts as an index stores them.
     """
     q = postings(subs).select(F.col("doc_id").alias("sub_id"), "value").distinct()
-    p = postings(docs).groupBy("value", F.col("doc_id").alias("src_id")).agg(F.count("*").alias("n"))
+    p = (counted(docs) if inverted is None else inverted).withColumnRenamed("doc_id", "src_id")
     return q.join(p, "value").where(F.col("sub_id") != F.col("src_id")).groupBy("sub_id", "src_id").agg(F.sum("n").alias("shared"))
 
 
-def lsh_pairs(subs: DataFrame, docs: DataFrame, cfg: FingerprintConfig) -> DataFrame:
-    """(sub_id, src_id), distinct: pairs that agree in a band. Documents of one signature are joined as one class and expanded at the end."""
+def lsh_pairs(subs: DataFrame, docs: DataFrame, cfg: FingerprintConfig, empty: bool = True) -> DataFrame:
+    """(sub_id, src_id), distinct: pairs that agree in a band. Documents of one signature are joined as one class and expanded at the end.
+
+    All documents without fingerprints have one signature and meet, though they can never match; empty=False leaves them out.
+    """
+    if not empty:
+        subs, docs = (d.where(F.get("sig", F.lit(0)) != PRIME) for d in (subs, docs))
+
     def classes(d: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         m = d.select(F.col("doc_id").alias(name), "sig", F.xxhash64("sig").alias("_k"))
         return m.select(name, "_k").distinct(), m.groupBy("_k").agg(F.first("sig").alias("sig")).select(F.col("_k").alias("doc_id"), "sig")
@@ -35,15 +42,21 @@ def lsh_pairs(subs: DataFrame, docs: DataFrame, cfg: FingerprintConfig) -> DataF
     return k.join(ms.withColumnRenamed("_k", "ka"), "ka").join(md.withColumnRenamed("_k", "kb"), "kb").where(F.col("sub_id") != F.col("src_id")).select("sub_id", "src_id")
 
 
-def candidates(subs: DataFrame, docs: DataFrame, cfg: FingerprintConfig) -> DataFrame:
+def candidates(subs: DataFrame, docs: DataFrame, cfg: FingerprintConfig, exclude: DataFrame | None = None, min_shared: int | None = None, inverted: DataFrame | None = None, empty: bool = True) -> DataFrame:
     """(sub_id, src_id, est_jaccard, shared, via, rank): LSH or at least min_shared fingerprints; the best `limit` a submission.
 
     Ranked by shared count, then estimated Jaccard, then source id, so the cut is the same in every run.
+    exclude(doc_id): sources that are no candidates of any submission; min_shared: other than the configured one, for this call.
     """
-    s = shared_counts(subs, docs)
-    hits = lsh_pairs(subs, docs, cfg).withColumn("lsh", F.lit(True))
+    least = cfg.min_shared if min_shared is None else min_shared
+    if exclude is not None:
+        gone = exclude.select("doc_id").distinct()
+        docs = docs.join(gone, "doc_id", "left_anti")
+        inverted = None if inverted is None else inverted.join(gone, "doc_id", "left_anti")
+    s = shared_counts(subs, docs, inverted)
+    hits = lsh_pairs(subs, docs, cfg, empty).withColumn("lsh", F.lit(True))
     c = hits.join(s, ["sub_id", "src_id"], "full_outer").select("sub_id", "src_id", F.coalesce("lsh", F.lit(False)).alias("lsh"), F.coalesce("shared", F.lit(0)).alias("shared"))
-    c = c.withColumn("post", F.col("shared") >= cfg.min_shared).where("lsh or post")
+    c = c.withColumn("post", F.col("shared") >= least).where("lsh or post")
     sa = subs.groupBy(F.col("doc_id").alias("sub_id")).agg(F.first("sig").alias("_a"))
     sb = docs.groupBy(F.col("doc_id").alias("src_id")).agg(F.first("sig").alias("_b"))
     c = c.join(sa, "sub_id").join(sb, "src_id").select(

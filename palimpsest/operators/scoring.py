@@ -11,8 +11,11 @@ KEYS = ["sub_id", "src_id", "q0", "q1", "s0", "s1"]
 
 
 def admitted(matches: DataFrame, cfg: ScoringConfig) -> DataFrame:
-    """Without sources on the allow list (a broadcast list the user wrote) and passages that are too short."""
+    """Without sources on the allow list and passages that are too short. A long list is a table of its own, joined."""
     m = matches.where(F.col("q1") - F.col("q0") + 1 >= cfg.min_match_words)
+    if len(cfg.allowlist) > 1000:
+        allowed = m.sparkSession.createDataFrame([(x,) for x in sorted(cfg.allowlist)], "_allowed string")
+        return m.join(allowed, F.col("src_id").cast("string") == F.col("_allowed"), "left_anti")
     return m.where(~F.col("src_id").cast("string").isin(*sorted(cfg.allowlist))) if cfg.allowlist else m
 
 

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.functions import kernels, native
+from palimpsest.functions import kernels
 
 NORMALIZED = "text string, tokens array<struct<tok:string,start:int,end:int>>, sentences array<struct<start:int,end:int>>, exclusions array<struct<start:int,end:int,kind:string>>"
 
@@ -39,14 +40,10 @@ def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def token_offsets(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, idx, tok, start, end) of the stored text in code points, in the JVM: pieces that cover the text, their lengths summed up."""
-    pieces = F.regexp_extract_all(F.col(text), F.lit(native.TOKEN + "|[^A-Za-z0-9]+"), F.lit(0))
-    step = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<tok:string,start:int,end:int>>").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"),
-            F.when(p.rlike("^[A-Za-z0-9]"), F.concat(s["out"], F.array(F.struct(F.lower(p).alias("tok"), s["at"].alias("start"), (s["at"] + F.length(p)).alias("end"))))).otherwise(s["out"]).alias("out")))
-    return docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("doc_id"), F.posexplode(step["out"]).alias("idx", "x")).select("doc_id", "idx", "x.tok", "x.start", "x.end")
+    """(doc_id, idx, tok, start, end) of the stored text in code points; one pass over each text, whatever its length."""
+    kind = T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    found = F.pandas_udf(lambda s: s.map(lambda t: [{"tok": m[0].lower(), "start": m.start(), "end": m.end()} for m in kernels.TOKEN.finditer(t)]), kind)
+    return docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("doc_id"), F.posexplode(found(text)).alias("idx", "x")).select("doc_id", "idx", "x.tok", "x.start", "x.end")
 
 
 def scorable(tokens: DataFrame, spans: DataFrame) -> DataFrame:

@@ -401,7 +401,7 @@ def embedding_topk(s, d):
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     e = e.withColumn("v", F.transform("v", lambda x: x / n))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
-    return paraphrase.top_k(q, e, F.round(native.cosine("q", "v"), 6), 10, "vec_id").select("q_id", "vec_id", "score", "rank")
+    return paraphrase.best_rows(q, e, 10, "vec_id", "v").select("q_id", "vec_id", "score", "rank")
 
 
 def log_softmax_rank(s, d):
@@ -415,10 +415,53 @@ def lm_triples(s, d):
 
 
 def reconstruct_abstract(s, d):
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.transform(F.filter(pairs, lambda p: p["w"] == w), lambda p: p["i"]))))
-    return _t(s, d, "discovered").where("text is not null").select("cand_id", providers.reconstruct_abstract(index).alias("abstract"))
+    """The inverted index of each abstract is made by grouping, then undone."""
+    t = _t(s, d, "discovered").where("text is not null")
+    index = _word_index(t)
+    empty = F.create_map().cast("map<string,array<int>>")
+    return t.select("cand_id").join(index, "cand_id", "left").select("cand_id", providers.reconstruct_abstract(F.coalesce("index", empty)).alias("abstract"))
+
+
+def _word_index(t: DataFrame) -> DataFrame:
+    """(cand_id, index): word -> positions of each text."""
+    w = t.select("cand_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "w")).groupBy("cand_id", "w").agg(F.collect_list("i").alias("at"))
+    return w.groupBy("cand_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("index"))
+
+
+def openalex_payloads(s, d):
+    """Records written as the provider's JSON, a payload each, and read again."""
+    t = _t(s, d, "discovered").where("text is not null")
+    j = t.join(_word_index(t), "cand_id", "left").select("cand_id", F.to_json(F.struct(F.array(F.struct(
+        F.col("cand_id").cast("string").alias("id"), F.col("source_id").alias("doi"), "title", F.coalesce("year", F.lit(0)).alias("publication_year"), F.col("index").alias("abstract_inverted_index"),
+        F.struct(F.col("open_access").alias("is_oa")).alias("open_access"))).alias("results"))).alias("payload"))
+    return providers.openalex(j, keep=["cand_id"]).select("cand_id", "source_id", "title", "url", "text", "year", "open_access")
+
+
+def crossref_payloads(s, d):
+    t = _t(s, d, "discovered").where("text is not null")
+    j = t.select("cand_id", F.to_json(F.struct(F.struct(F.array(F.struct(
+        F.col("source_id").alias("DOI"), F.col("url").alias("URL"), F.array("title").alias("title"), F.regexp_replace("text", "[<>&]", " ").alias("abstract"),
+        F.struct(F.array(F.array(F.coalesce("year", F.lit(0)))).alias("date-parts")).alias("issued"))).alias("items")).alias("message"))).alias("payload"))
+    return providers.crossref(j, keep=["cand_id"]).select("cand_id", "source_id", "title", "url", "text", "year", "open_access")
+
+
+def candidates_filtered(s, d):
+    """With a set of sources left out and another number of fingerprints to share, for this call."""
+    docs, items = written(_fp(_docs(s, d))), written(_fp(_far(_items(s, d))))
+    c = _near(retrieve.candidates(docs, items, CFG, exclude=items.where(F.col("doc_id") % 3 == 0).select("doc_id"), min_shared=4))
+    return c.select("doc_id", "item_id", F.round("est_jaccard", 6).alias("est_jaccard"), "shared", "via", "rank")
+
+
+def allowlisted_runs(s, d):
+    """Runs that are long enough, of sources that no list lets pass."""
+    allowed = frozenset(str(i + SHIFT) for i in range(0, 10_000, 2))
+    return _near(scoring.admitted(_runs(s, d), ScoringConfig(allowlist=allowed))).select("doc_id", "item_id", "q0", "q1", "s0", "s1")
+
+
+def guaranteed_matches(s, d):
+    """Pairs whose longest common run of tokens is at least the guaranteed length: all of them share a fingerprint."""
+    r = _near(_runs(s, d)).where(F.col("q1") - F.col("q0") + 1 >= CFG.guaranteed_match_length)
+    return r.groupBy("doc_id", "item_id").agg((F.max(F.col("q1") - F.col("q0")) + 1).alias("longest"))
 
 
 def query_phrases(s, d):
@@ -514,7 +557,7 @@ def queries() -> dict[str, Query]:
         tidy_text, doc_content_id, content_dedupe, html_text, strip_jats, dedupe_by_doi, page_of_span, source_labels, latest_matches, tokenize, token_offsets, dehyphenate, tag_counts,
         merge_spans, scorable_tokens, token_hash, shingle_hash, winnow_fps, fingerprint_positions, distinct_fps, minhash_signature, lsh_band_keys, lsh_candidate_pairs, pair_jaccard,
         shared_counts, seeds, candidates_top50, exact_runs, similarity_index, source_breakdown, matched_index, ai_bands, ai_document_index, review_priority, isotonic_apply, isotonic_fit,
-        word_ratios, punct_entropy, lexical_embedding, paraphrase_topk, embedding_topk, log_softmax_rank, lm_triples, reconstruct_abstract, query_phrases, mask_and_refill, index_stats,
+        word_ratios, punct_entropy, lexical_embedding, paraphrase_topk, embedding_topk, log_softmax_rank, lm_triples, reconstruct_abstract, openalex_payloads, crossref_payloads, candidates_filtered, allowlisted_runs, guaranteed_matches, query_phrases, mask_and_refill, index_stats,
         forget_document, drift, fold_text, sentence_spans, exclusion_spans, chain_seeds, stylometry_doc, ai_segments, ai_analysis, originality_check, align_matches,
         originality_report_json, originality_report_html, token_offsets_docs, token_hash_docs, shingle_hash_docs, minhash_signature_docs, lsh_band_keys_docs, lsh_classes_docs,
         lsh_candidate_pairs_docs, pair_jaccard_docs, index_stats_docs, lexical_embedding_docs, mask_and_refill_docs, paraphrase_topk_all)}
@@ -606,18 +649,24 @@ def oracle_sql() -> dict[str, str]:
     jats = f"regexp_replace({jats}, '<[^>]+>', ' ', 'g')"
     for e, c in (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&amp;", "&")):
         jats = f"replace({jats}, '{e}', '{c}')"
-    cand = f"""WITH {DOCS}, {ITEMS}, {_sig("ds", "df")}, {_sig("si", "it")}, {_bands("db", "ds")}, {_bands("ib", "si")}, {SHARED},
+    cand = lambda items, least: f"""WITH {DOCS}, {items}, {_sig("ds", "df")}, {_sig("si", "it")}, {_bands("db", "ds")}, {_bands("ib", "si")}, {SHARED},
         lp AS (SELECT DISTINCT db.id AS doc_id, ib.id AS item_id FROM db JOIN ib ON db.band = ib.band AND db.key = ib.key),
         cn AS (SELECT coalesce(lp.doc_id, sc.doc_id) AS doc_id, coalesce(lp.item_id, sc.item_id) AS item_id, lp.doc_id IS NOT NULL AS l, coalesce(shared, 0) AS shared FROM lp FULL JOIN sc USING (doc_id, item_id)),
-        ck AS (SELECT * FROM cn WHERE l OR shared >= {CFG.min_shared}),
+        ck AS (SELECT * FROM cn WHERE l OR shared >= {least}),
         ej AS (SELECT ck.doc_id, ck.item_id, sum((x.value = y.value)::INT) / {CFG.n_perm} AS est FROM ck JOIN ds x ON x.id = ck.doc_id JOIN si y ON y.id = ck.item_id AND x.slot = y.slot GROUP BY ALL)
-        SELECT doc_id, item_id, round(est, 6)::DOUBLE AS est_jaccard, shared, CASE WHEN l AND shared >= {CFG.min_shared} THEN 'both' WHEN l THEN 'lsh' ELSE 'postings' END AS via,
-        (row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, est DESC, item_id))::INTEGER AS rank FROM ck JOIN ej USING (doc_id, item_id) QUALIFY rank <= {CFG.limit}"""
+        SELECT doc_id, item_id, round(est, 6)::DOUBLE AS est_jaccard, shared, CASE WHEN l AND shared >= {least} THEN 'both' WHEN l THEN 'lsh' ELSE 'postings' END AS via,
+        (row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, est DESC, item_id))::INTEGER AS rank FROM ck JOIN ej USING (doc_id, item_id) QUALIFY rank <= {CFG.limit}"""
     sigs = f"WITH {DOCS}, {_sig('ds', 'df')}, {twins.with_sentinel('ds', 'dz', 'documents', 'doc_id', 'df')}"
     classes = """kc AS (SELECT id, list(DISTINCT value ORDER BY value)::VARCHAR AS k FROM df GROUP BY id),
         cl AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(k, '')) AS class_id FROM documents LEFT JOIN kc ON id = doc_id)"""
     pairs = f"{sigs}, {_bands('db', 'dz')}, {classes}, rb AS (SELECT * FROM db WHERE id IN (SELECT class_id FROM cl)), cp AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM rb a JOIN rb b ON a.band = b.band AND a.key = b.key AND a.id < b.id)"
     return {
+        "openalex_payloads": r"""WITH t AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(text, '[\s\x0B]+'), lambda w: w <> ''), ' ') AS a, trim(coalesce(title, '')) AS t FROM discovered WHERE text IS NOT NULL)
+            SELECT cand_id, coalesce(nullif(source_id, ''), cand_id::VARCHAR) AS source_id, t AS title, cand_id::VARCHAR AS url, CASE WHEN t <> '' THEN t || '. ' || a ELSE a END AS text, coalesce(year, 0) AS year, coalesce(open_access, false) AS open_access FROM t WHERE a <> ''""",
+        "crossref_payloads": f"""WITH t AS (SELECT *, trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '{SPACE}+', ' ', 'g')) AS a, trim(coalesce(title, '')) AS t FROM discovered WHERE text IS NOT NULL)
+            SELECT cand_id, coalesce(nullif(source_id, ''), t) AS source_id, t AS title, coalesce(url, '') AS url, CASE WHEN t <> '' THEN t || '. ' || a ELSE a END AS text, coalesce(year, 0) AS year, false AS open_access FROM t WHERE a <> ''""",
+        "allowlisted_runs": f"WITH {DOCS}, {ITEMS}, {RUNS} SELECT doc_id, item_id, q0, q1, s0, s1 FROM xr WHERE q1 - q0 + 1 >= 8 AND NOT (item_id < 10000 AND item_id % 2 = 0)",
+        "guaranteed_matches": f"WITH {DOCS}, {ITEMS}, {RUNS} SELECT doc_id, item_id, max(q1 - q0) + 1 AS longest FROM xr WHERE q1 - q0 + 1 >= {CFG.guaranteed_match_length} GROUP BY ALL",
         "token_offsets_docs": f'WITH {_offsets("documents", "doc_id")} SELECT id AS doc_id, idx, tok, "start", "end" FROM ofs',
         "token_hash_docs": f"SELECT tok, {HASH} AS value FROM (SELECT DISTINCT unnest({TOK}) AS tok FROM documents WHERE text IS NOT NULL)",
         "shingle_hash_docs": f"WITH {DOCS} SELECT id AS doc_id, pos, value FROM df_s",
@@ -671,7 +720,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT a_id, b_id, round(est, 6)::DOUBLE AS estimated, round(len(list_intersect(x.vs, y.vs)) / len(list_distinct(list_concat(x.vs, y.vs))), 6)::DOUBLE AS exact FROM e JOIN v x ON x.id = a_id JOIN v y ON y.id = b_id""",
         "shared_counts": f"WITH {DOCS}, {ITEMS}, {SHARED} SELECT doc_id, item_id, shared FROM sc",
         "seeds": f"WITH {DOCS}, {ITEMS}, {SEEDS} SELECT doc_id, item_id, q, s FROM sd",
-        "candidates_top50": cand,
+        "candidates_top50": cand(ITEMS, CFG.min_shared),
+        "candidates_filtered": cand(_fps("it", "eval_items", "item_id", f"(item_id + {SHIFT}) % 3 <> 0"), 4),
         "exact_runs": f"WITH {DOCS}, {ITEMS}, {RUNS} SELECT doc_id, item_id, q0, q1, s0, s1, seeds FROM xr",
         "similarity_index": f"""WITH {DOCS}, {ITEMS}, {RUNS}, {COVER}, m AS (SELECT doc_id, count(DISTINCT pos) AS m FROM cv GROUP BY 1)
             SELECT doc_id, CASE WHEN n > 0 THEN round(coalesce(m, 0) / n, 6) ELSE 0.0 END::DOUBLE AS "index", coalesce(m, 0)::BIGINT AS matched_words, n::BIGINT AS scorable_words FROM tot LEFT JOIN m USING (doc_id)""",

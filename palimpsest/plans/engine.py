@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.config import PROFILES, AlignConfig, DetectorProfile, FingerprintConfig, ScoringConfig
+from palimpsest.config import PRIME, PROFILES, AlignConfig, DetectorProfile, FingerprintConfig, ScoringConfig
 from palimpsest.functions import kernels, native
-from palimpsest.operators import align, detect, retrieve, scoring, spans
+from palimpsest.operators import align, detect, paraphrase, retrieve, scoring, spans
 from palimpsest.operators.corpus import Corpus, fingerprints
 from palimpsest.operators.cut import written
 from palimpsest.sources import files
@@ -55,12 +55,15 @@ class Engine:
     def forget(self, ids: DataFrame) -> Engine:
         return replace(self, corpus=self.corpus.forget(ids))
 
-    def check(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text", cut: Callable[[DataFrame], DataFrame] = written) -> Checked:
-        """All submissions at once. `cut` ends the plan where a part is used again; pass the identity to keep one lazy plan."""
+    def check(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text", cut: Callable[[DataFrame], DataFrame] = written, exclude: DataFrame | None = None, min_shared: int | None = None) -> Checked:
+        """All submissions at once. `cut` ends the plan where a part is used again; pass the identity to keep one lazy plan.
+
+        exclude(doc_id): sources left out; min_shared: fingerprints a candidate must share, other than the index's own.
+        """
         cfg = self.corpus.cfg
         subs = cut(fingerprints(submissions, cfg, ident, text))
         docs = self.corpus.docs  # load() gives a table; a corpus built in memory is computed where it is used
-        cand = cut(retrieve.candidates(subs, docs, cfg))
+        cand = cut(retrieve.candidates(subs, docs, cfg, exclude, min_shared, self.corpus.inverted, empty=False))
         seed = retrieve.seeds(subs, docs, cand)
         found = align.passages(cand, seed, subs, docs, cfg, self.alignment)
         norm = cut(spans.normalized(submissions, ident, text)) if cfg.normalize else _stored(submissions, ident, text)
@@ -80,6 +83,10 @@ class Engine:
     def analyze(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
         return detect.analyze(submissions, self.profile, ident, text, self.model)
 
+    def paraphrases(self, submissions: DataFrame, sources: DataFrame, k: int = 10, embedder: Callable[[], paraphrase.Embedder] | None = None, ident: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc_id, src_id, score, rank): the k sources whose embeddings are nearest to each submission's. embedder makes the embedder in the worker; lexical if not given."""
+        return paraphrase.nearest(submissions, sources, k, embedder, ident, text)
+
     def check_and_add(self, submissions: DataFrame, **kw) -> tuple[Checked, Engine]:
         """Scored against the corpus as it is, then added as student papers."""
         return self.check(submissions, **kw), self.add(submissions, on_duplicate="ignore", kind="student")
@@ -107,12 +114,13 @@ def quick_ai_check(texts: DataFrame, ident: str = "doc_id", text: str = "text",
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: fold_text, token_hash, fnv1a32, band_for; the table function tokenize(text)."""
+    """SQL functions: fold_text, token_hash, fnv1a32, band_for; the table functions tokenize(text) and align_texts(submission, source)."""
     from pyspark.sql import types as T
 
     spark.udf.register("fold_text", F.pandas_udf(lambda s: s.map(lambda t: kernels.fold(t)[0], na_action="ignore"), T.StringType()))
-    spark.udf.register("token_hash", F.pandas_udf(lambda s: s.map(kernels.word_value), T.LongType()))
-    spark.udf.register("fnv1a32", F.pandas_udf(lambda s: s.map(kernels.fnv1a32, na_action="ignore"), T.LongType()))
+    letters = "filter(split(word, ''), c -> c <> '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION token_hash(word STRING) RETURNS BIGINT RETURN CAST(aggregate({letters}, CAST(0 AS DECIMAL(38, 0)), (h, c) -> CAST((h * 31 + ascii(c)) % {PRIME} AS DECIMAL(38, 0))) AS BIGINT)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fnv1a32(word STRING) RETURNS BIGINT RETURN aggregate({letters}, 2166136261L, (h, c) -> ((h ^ CAST(ascii(c) AS BIGINT)) * 16777619L) & 4294967295L)")
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="idx int, tok string, start int, end int")
@@ -123,5 +131,21 @@ def register(spark: SparkSession) -> None:
                 for i, (w, (s, e)) in enumerate(zip(n.words, n.spans)):
                     yield i, w, s, e
 
+    @udtf(returnType="q0 int, q1 int, s0 int, s1 int, similarity double, match_type string")
+    class Align:
+        def eval(self, submission: str, source: str):
+            if submission is None or source is None:
+                return
+            cfg = FingerprintConfig()
+            a, b = kernels.normalize(submission).words, kernels.normalize(source).words
+            (pa, va, _), (pb, vb, _) = kernels.fingerprint(a, cfg), kernels.fingerprint(b, cfg)
+            where: dict[int, list[int]] = {}
+            for p, v in zip(pb.tolist(), vb.tolist()):
+                where.setdefault(v, []).append(p)
+            seeds = [(q, s) for q, v in zip(pa.tolist(), va.tolist()) for s in where.get(v, ())]
+            for q0, q1, s0, s1, sim in kernels.align([(a, b, seeds)], cfg.k, AlignConfig())[0]:
+                yield int(q0), int(q1), int(s0), int(s1), float(sim), "verbatim" if sim >= 0.98 else "near-duplicate"
+
+    spark.udtf.register("align_texts", Align)
     spark.udtf.register("tokenize", Tokenize)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION band_for(score DOUBLE) RETURNS STRING RETURN CASE WHEN score < 0.20 THEN 'human' WHEN score < 0.75 THEN 'unclear' WHEN score < 0.90 THEN 'likely-ai' WHEN score IS NOT NULL THEN 'very-likely-ai' END")

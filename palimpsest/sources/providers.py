@@ -64,14 +64,14 @@ def first_by_doi(found: DataFrame, order: list[str]) -> DataFrame:
     return g.select("doi", *[F.col(f"x.{c}").alias(c) for c in cols])
 
 
-def discover(openalex_payloads: DataFrame | None = None, crossref_payloads: DataFrame | None = None) -> DataFrame:
-    """Both providers' records, one a DOI. Payloads: call int (the number of the phrase), payload string.
+def discover(openalex_payloads: DataFrame | None = None, crossref_payloads: DataFrame | None = None, only: tuple[str, ...] = ("openalex", "crossref")) -> DataFrame:
+    """The chosen providers' records, one a DOI. Payloads: call int (the number of the phrase), payload string.
 
     The first found wins, by call, then provider in this order, then title and text. Malformed payloads give no records.
     """
     parts = []
-    for no, (df, parse) in enumerate(((openalex_payloads, openalex), (crossref_payloads, crossref))):
-        if df is not None:
+    for no, (name, df, parse) in enumerate((("openalex", openalex_payloads, openalex), ("crossref", crossref_payloads, crossref))):
+        if df is not None and name in only:
             parts.append(parse(df, keep=["call"]).withColumn("provider_no", F.lit(no)))
     if not parts:
         raise ValueError("no payloads")

@@ -193,6 +193,46 @@ def test_providers(spark):
     d = providers.discover(pay("not json", a, a), pay(c.replace("&amp;", "&#8211;"), c)).collect()
     assert len(d) == 1 and d[0]["provider"] == "crossref" and "x \u2013 y" in d[0]["text"]
     assert providers.discover(pay("{}"), None).count() == 0
+    assert providers.discover(pay(a), pay(c), only=("openalex",)).first()["provider"] == "openalex" and providers.discover(pay(a), pay(c), only=("crossref",)).first()["provider"] == "crossref"
+
+
+def test_sources_left_out_and_stored_index(spark, tmp_path):
+    e = build(spark, {"a": SOURCE, "b": SOURCE + " and more words than that"})
+    subs = spark.createDataFrame([("s", COPIED)], "doc_id string, text string")
+    e.save(str(tmp_path / "i"))
+    stored = plans.Engine.load(spark, str(tmp_path / "i"))
+    assert stored.corpus.inverted.groupBy("doc_id").count().count() == 2
+    key = lambda c: sorted(tuple(r) for r in c.by_source.select("src_id", "words").collect())
+    assert key(stored.check(subs)) == key(e.check(subs))
+    assert {r["src_id"] for r in stored.check(subs, exclude=spark.createDataFrame([("a",)], "doc_id string")).by_source.collect()} == {"b"}
+    one = stored.forget(spark.createDataFrame([("b",)], "doc_id string"))
+    assert {r["src_id"] for r in one.check(subs).by_source.collect()} == {"a"}
+    again = stored.add(spark.createDataFrame([("c", SOURCE)], "doc_id string, text string"))
+    assert "c" in {r["src_id"] for r in again.check(subs).matches.collect()}
+
+
+def test_paraphrases_with_any_embedder(spark):
+    class Letters:
+        def embed(self, texts):
+            return [[t.count(c) + 0.1 for c in "abc"] for t in texts]
+
+    q = spark.createDataFrame([("q1", "aaa b"), ("q2", ""), ("q3", None)], "doc_id string, text string")
+    b = spark.createDataFrame([("x", "aaaa"), ("y", "bbbb"), ("z", "aaa b"), ("q1", "aaa b")], "doc_id string, text string")
+    e = build(spark, {"a": SOURCE})
+    got = [(r["doc_id"], r["src_id"], r["rank"]) for r in e.paraphrases(q, b, 2, Letters).orderBy("rank").collect()]
+    assert got == [("q1", "z", 1), ("q1", "x", 2)]
+    assert e.paraphrases(q, b, 1).first()["src_id"] == "z" and e.paraphrases(q.limit(0), b, 1).count() == 0
+
+
+def test_language_model_windows_and_infilling():
+    from palimpsest.operators import lm
+
+    for n in (0, 1, 2, 7, 8, 9, 40):
+        seen = [t for b, s in lm.windows(n, 8) for t in range(s, min(n, b + 8))]
+        assert seen == list(range(1, n)) and all(s - b >= 4 or b == 0 for b, s in lm.windows(n, 8))
+    words = " ".join(f"w{i}" for i in range(40))
+    out = lm.infilled(words, 3, lambda m: " ".join(f"<extra_id_{i}> new" for i in range(m.count("<extra_id_"))))
+    assert len(out) == 3 and all("new" in t and "extra_id" not in t for t in out) and lm.infilled("two words", 3, str) == []
 
 
 def test_stream(spark, tmp_path):
@@ -214,6 +254,14 @@ def test_sql_functions(spark):
     assert (r["f"], r["h"], r["b"]) == ("fin", 712203369825161900, "likely-ai")
 
 
+def test_align_table_function(spark):
+    plans.register(spark)
+    r = spark.sql(f"SELECT * FROM align_texts('{COPIED}', '{SOURCE}')".replace("\n", " ")).collect()
+    assert r and r[0]["match_type"] == "verbatim" and r[0]["q1"] - r[0]["q0"] >= 8
+    assert spark.sql("SELECT * FROM align_texts(NULL, 'a')").count() == 0
+    assert spark.sql("SELECT fnv1a32('ab') AS h, token_hash('') AS z").first()["z"] == 0
+
+
 def test_command_line(spark, tmp_path, capsys):
     from palimpsest import cli
 
