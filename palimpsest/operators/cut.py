@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         else:
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     path = f"{folder.rstrip('/')}/palimpsest-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, sc, path)
+    atexit.register(delete, sc, path)
     return path
 
 
@@ -42,7 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(sc, path: str) -> None:
+def delete(sc, path: str) -> None:
     try:
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
