@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.cut import shared_folder
+from palimpsest.operators.cut import delete, shared_folder
 
 from .common import materialize, present, table, tokens
 from .p2_spans import gram_hashes, token_ids
@@ -148,6 +148,7 @@ class History:
         }
         self.signed = f"_id {kind}, batch_no int, cls bigint, total int, bits binary, chunks array<bigint>, runs binary"
         self._order: Broadcast | None = None
+        self._work: dict[int, str] = {}
 
     def _load(self, name: str, paths: list[str]) -> DataFrame:
         schema = self.schemas[name]
@@ -181,7 +182,15 @@ class History:
         d = batch.where(present("text") & F.col(self.ident).isNotNull() & F.col("batch_no").isNotNull()).select(
             F.col(self.ident).alias("_id"), F.col("batch_no").cast("int").alias("batch_no"), F.xxhash64("text").alias("cls"), F.col("text").alias("_t"))
         order, similarity = self.order(d), self.similarity
-        return materialize(d.mapInPandas(lambda it: _signed(it, order, similarity), self.signed))
+        path = f"{self.path}/signed/{uuid.uuid4().hex}"
+        d.mapInPandas(lambda it: _signed(it, order, similarity), self.signed).write.parquet(path)
+        out = self.spark.read.schema(self.signed).parquet(path)
+        self._work[id(out)] = path
+        return out
+
+    def release(self, signed: DataFrame) -> None:
+        """Deletes signed rows that are in the history by now."""
+        delete(self.spark.sparkContext, self._work.pop(id(signed)))
 
     def rows(self, signed: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
         """(cls, ident, batch_no, ok) of the signed rows; accepted: ids, all of them if not given."""
@@ -191,10 +200,12 @@ class History:
         ok = accepted.select(F.col(self.ident).alias("_id")).distinct().withColumn("ok", F.lit(True))
         return materialize(r.join(ok, "_id", "left").select("cls", "_id", "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
 
-    def _classes(self, signed: DataFrame) -> DataFrame:
-        """One row of each class, without the copies; only ids are compared."""
-        one = signed.groupBy("cls").agg(F.min("_id").alias("_id"))
-        return signed.join(one, ["cls", "_id"], "left_semi").dropDuplicates(["cls", "_id"])
+    def _classes(self, signed: DataFrame, rows: DataFrame) -> DataFrame:
+        """One row of each class, without the copies. Which rows are copies is found by ids; if they are few (SENT, counted), the list of them is sent and nothing else moves."""
+        one = rows.groupBy("cls").agg(F.min("_id").alias("_one"), F.count("*").alias("_n")).where("_n > 1")
+        copies = materialize(rows.select("cls", "_id").join(one, "cls").where("_id <> _one").select("_id").distinct())
+        copies = F.broadcast(copies) if copies.count() <= SENT else copies
+        return signed.join(copies, "_id", "left_anti")
 
     @staticmethod
     def _exploded(classes: DataFrame, *more: str) -> DataFrame:
@@ -207,21 +218,25 @@ class History:
         """
         old = self._read("rows")
         spread_ = rows.groupBy("cls").agg(F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("first"), F.max("batch_no").alias("last"))
-        own = self._classes(signed).join(spread_, "cls")
+        own = self._classes(signed, rows)
         small = signed.agg(F.sum(F.size("chunks"))).first()[0] or 0
         sent = F.broadcast if small <= SENT else lambda d: d
         s = self.similarity
-        side = lambda d, x, t, p, w: d.select("chunk", F.col("cls").alias(x), F.col("total").alias(t), F.col("place").alias(p), w)
-        exploded = self._exploded(own, "first", "last")
-        b = side(exploded, "cb", "tb", "pb", "last")
+        side = lambda d, x, t, p: d.select("chunk", F.col("cls").alias(x), F.col("total").alias(t), F.col("place").alias(p))
+        exploded = self._exploded(own)
+        b = side(exploded, "cb", "tb", "pb")
         # from the first boundary they share on, the rest of either text must still hold what they have in common
         near = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) >= s / (1 + s) * (F.col("ta") + F.col("tb")) - 1e-6
-        meet = lambda a, b: a.join(b, "chunk").where((F.col("ca") != F.col("cb")) & near & (F.col("first") < F.col("last"))).select("ca", "cb")
-        met = meet(side(self._read("chunks"), "ca", "ta", "pa", F.lit(-2**31).alias("first")), sent(b))
+        meet = lambda a, b: a.join(b, "chunk").where((F.col("ca") != F.col("cb")) & near).select("ca", "cb")
+        met = meet(side(self._read("chunks"), "ca", "ta", "pa"), sent(b))
         fresh = spread_.where("first is not null").select("cls")
         several = rows.agg(F.min("batch_no") < F.max("batch_no")).first()[0]
         if several:  # batches signed together: the later ones are held against the accepted rows of the earlier ones too
-            met = met.unionByName(meet(side(exploded.where("first is not null"), "ca", "ta", "pa", "first"), b))
+            # within the delivery each two meet once, whichever is the earlier; then only those stay that some accepted row of one precedes
+            within = meet(side(exploded, "ca", "ta", "pa"), b).where("ca < cb").distinct()
+            x, y = (spread_.select(F.col("cls").alias(c), F.col("first").alias(f"f{c}"), F.col("last").alias(f"l{c}")) for c in ("ca", "cb"))
+            within = materialize(within.join(x, "ca").join(y, "cb").select("ca", "cb", (F.col("fca") < F.col("lcb")).alias("on"), (F.col("fcb") < F.col("lca")).alias("back")).where("on or back"))
+            met = met.unionByName(within.where("on").select("ca", "cb")).unionByName(within.where("back").select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
         met = met.distinct()
         # signatures and runs of the classes that met, and of no others
         needed = materialize(met)
@@ -258,7 +273,7 @@ class History:
         old = self._read("rows")
         new = rows.where("ok").drop("ok").join(old.select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
         fresh = materialize(new.join(old.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.min("_id").alias("_id")))
-        fresh = signed.join(fresh, ["cls", "_id"], "left_semi").dropDuplicates(["cls"])
+        fresh = signed.join(fresh.select("_id"), "_id", "left_semi")
         part = uuid.uuid4().hex
         self._exploded(fresh).write.parquet(f"{self.path}/{part}/chunks")
         fresh.select("cls", "total", "bits", "runs").write.parquet(f"{self.path}/{part}/texts")
@@ -285,6 +300,7 @@ def repeats(records: DataFrame, accepted: DataFrame, ident: str = "raw_id", simi
     ok = r.where(F.col(ident).isNotNull()).select(ident, "doc_id").join(known, "doc_id", "left_semi")
     base = history.sign(r.where(F.col("batch_no") == first))
     history.add(base, history.rows(base, ok))
+    history.release(base)
     later = history.sign(r.where(F.col("batch_no") > first))
     return history.pairs(later, history.rows(later, ok))
 
