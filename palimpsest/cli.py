@@ -60,9 +60,16 @@ def _check(spark, a) -> int:
 
 
 def _replace(spark, e: Engine, path: str) -> None:
-    """Written beside the index first: the new tables are computed from the old ones."""
+    """Written beside the index, which it then replaces by a change of names; the old one goes last."""
     e.save(f"{path}.new")
-    Engine.load(spark, f"{path}.new").save(path)
+    sc = spark.sparkContext
+    at = lambda x: sc._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.delete(at(f"{path}.old"), True)
+    fs.rename(at(path), at(f"{path}.old"))
+    fs.rename(at(f"{path}.new"), at(path))
+    fs.delete(at(f"{path}.old"), True)
+    spark.catalog.refreshByPath(path)
 
 
 def _forget(spark, a) -> int:

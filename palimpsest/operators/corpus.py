@@ -111,7 +111,14 @@ class Corpus:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Corpus:
         cfg = FingerprintConfig(**json.loads(spark.read.text(f"{path}/config").first()[0]))
-        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/meta"), cfg, spark.read.schema("value bigint, doc_id " + spark.read.parquet(f"{path}/docs").schema["doc_id"].dataType.simpleString() + ", n bigint").parquet(f"{path}/inverted"))
+        docs = spark.read.parquet(f"{path}/docs")
+        try:
+            inverted = spark.read.parquet(f"{path}/inverted")
+        except Exception as e:  # an index of before postings were stored
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            inverted = None
+        return cls(docs, spark.read.parquet(f"{path}/meta"), cfg, inverted)
 
 
 META = {"title": "string", "author": "string", "url": "string", "kind": "string", "year": "int"}

@@ -682,6 +682,7 @@ def oracle_sql() -> dict[str, str]:
         "paraphrase_topk_all": f"""WITH {_embed('e', 'eval_items', 'item_id')}, {_embed('d', 'documents', 'doc_id')}, c AS (SELECT e.id AS item_id, d.id AS doc_id, round(sum(e.weight * d.weight), 6) AS cosine FROM e JOIN d USING (bucket) GROUP BY ALL)
             SELECT item_id, doc_id, cosine, (row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id))::INTEGER AS rank FROM c QUALIFY rank <= 10""",
         "fold_text": twins.fold_text(),
+        "sentence_spans": twins.sentence_spans(SPACE),
         "query_phrases": twins.query_phrases(),
         "chain_seeds": twins.chain_seeds(DOCS, ITEMS, SEEDS),
         "isotonic_fit": twins.ISOTONIC_FIT,

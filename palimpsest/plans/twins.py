@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from palimpsest.config import PRIME, QUERY_STOPWORDS, AlignConfig
+from palimpsest.config import ABBREVIATIONS, PRIME, QUERY_STOPWORDS, AlignConfig
 from palimpsest.functions import kernels
 
 
@@ -83,3 +83,23 @@ LM_TRIPLES = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambd
 def with_sentinel(sig: str, name: str, table: str, ident: str, fps: str) -> str:
     """The signatures plus those of rows without fingerprints: the prime in every slot."""
     return f"{name} AS (SELECT * FROM {sig} UNION ALL SELECT {ident}, slot::INTEGER, {PRIME}::BIGINT FROM {table} CROSS JOIN {sig}_p WHERE {ident} NOT IN (SELECT id FROM {fps}))"
+
+
+def sentence_spans(space: str) -> str:
+    """Folded characters with their places, words joined over line ends, stops that end a sentence, and their places in the stored text."""
+    names = ", ".join(f"'{w}'" for w in sorted(ABBREVIATIONS))
+    return rf"""WITH {folded('documents', 'doc_id')},
+    br AS (SELECT id, generate_subscripts(l, 1) AS n, unnest(l) AS x FROM (SELECT id, regexp_extract_all(folded, '(?s)-[ \t]*\r?\n[ \t]*[a-z]|.') AS l FROM fd)),
+    kp AS (SELECT id, n, generate_subscripts(y, 1) AS m, length(x) AS len, unnest(y) AS c FROM (SELECT id, n, x, string_split(x, '') AS y FROM br)),
+    fo AS (SELECT id, k - 1 AS pl, row_number() OVER (PARTITION BY id ORDER BY k, i) AS r FROM (SELECT id, k, generate_subscripts(z, 1) AS i, unnest(z) AS c FROM (SELECT id, k, string_split(f, '') AS z FROM ff WHERE f <> ''))),
+    nr AS (SELECT id, c, m, len, row_number() OVER (PARTITION BY id ORDER BY n, m) AS r FROM kp),
+    tx AS (SELECT id, c, pl, row_number() OVER (PARTITION BY id ORDER BY r) - 1 AS j FROM nr JOIN fo USING (id, r) WHERE m = len),
+    st AS (SELECT id, string_agg(c, '' ORDER BY j) AS t, count(*) AS n FROM tx GROUP BY id),
+    pc AS (SELECT id, t, generate_subscripts(l, 1) AS q, unnest(l) AS x FROM (SELECT id, t, regexp_extract_all(t, '(?s)[.!?]["''\)\]]*|[^.!?]+') AS l FROM st)),
+    po AS (SELECT id, t, x, sum(length(x)) OVER (PARTITION BY id ORDER BY q) AS e FROM pc),
+    en AS (SELECT id, e FROM (SELECT id, e, regexp_replace(regexp_replace(lower(substr(t, greatest(0, e - length(x) - 12)::BIGINT + 1, least(12, e - length(x))::BIGINT)), '{space}+$', ''), '^(?s:.*){space}', '') AS w, substr(t, e::BIGINT + 1, 1) AS nx FROM po WHERE regexp_matches(x, '^[.!?]'))
+        WHERE (nx = '' OR regexp_matches(nx, '^{space}')) AND NOT (rtrim(w, '.') IN ({names}) OR regexp_matches(rtrim(w, '.'), '^\pL$'))),
+    bd AS (SELECT id, e AS b FROM en UNION SELECT id, n FROM st UNION SELECT id, 0 FROM st),
+    sg AS (SELECT id, b AS s, lead(b) OVER (PARTITION BY id ORDER BY b) AS e FROM bd),
+    ok AS (SELECT sg.id, s, e FROM sg JOIN st USING (id) WHERE e > s AND regexp_matches(substr(t, s::BIGINT + 1, (e - s)::BIGINT), '[^\s\x0B\x1c-\x1f]'))
+    SELECT ok.id AS doc_id, a.pl::INTEGER AS "start", (z.pl + 1)::INTEGER AS "end" FROM ok JOIN tx a ON a.id = ok.id AND a.j = s JOIN tx z ON z.id = ok.id AND z.j = e - 1"""
