@@ -508,7 +508,8 @@ def chain_seeds(s, d):
 
 
 def stylometry_doc(s, d):
-    return detect.features(_docs(s, d))
+    f = detect.features(_docs(s, d))
+    return f.select("doc_id", *[F.round(c, 6).alias(c) for c in detect.FEATURES], "has_likelihood")
 
 
 def ai_segments(s, d):
@@ -681,6 +682,7 @@ def oracle_sql() -> dict[str, str]:
         "lexical_embedding_docs": f"WITH {_embed('e', 'documents', 'doc_id')} SELECT id AS doc_id, bucket, round(weight, 6) AS weight FROM e",
         "paraphrase_topk_all": f"""WITH {_embed('e', 'eval_items', 'item_id')}, {_embed('d', 'documents', 'doc_id')}, c AS (SELECT e.id AS item_id, d.id AS doc_id, round(sum(e.weight * d.weight), 6) AS cosine FROM e JOIN d USING (bucket) GROUP BY ALL)
             SELECT item_id, doc_id, cosine, (row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id))::INTEGER AS rank FROM c QUALIFY rank <= 10""",
+        "stylometry_doc": twins.stylometry(SPACE, list(detect.LIKELIHOOD)),
         "fold_text": twins.fold_text(),
         "sentence_spans": twins.sentence_spans(SPACE),
         "query_phrases": twins.query_phrases(),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from palimpsest.config import ABBREVIATIONS, PRIME, QUERY_STOPWORDS, AlignConfig
+from palimpsest.config import ABBREVIATIONS, DISCOURSE_MARKERS, FUNCTION_WORDS, PRIME, QUERY_STOPWORDS, AlignConfig
 from palimpsest.functions import kernels
 
 
@@ -85,10 +85,10 @@ def with_sentinel(sig: str, name: str, table: str, ident: str, fps: str) -> str:
     return f"{name} AS (SELECT * FROM {sig} UNION ALL SELECT {ident}, slot::INTEGER, {PRIME}::BIGINT FROM {table} CROSS JOIN {sig}_p WHERE {ident} NOT IN (SELECT id FROM {fps}))"
 
 
-def sentence_spans(space: str) -> str:
+def _sentences(space: str) -> str:
     """Folded characters with their places, words joined over line ends, stops that end a sentence, and their places in the stored text."""
     names = ", ".join(f"'{w}'" for w in sorted(ABBREVIATIONS))
-    return rf"""WITH {folded('documents', 'doc_id')},
+    return rf"""{folded('documents', 'doc_id')},
     br AS (SELECT id, generate_subscripts(l, 1) AS n, unnest(l) AS x FROM (SELECT id, regexp_extract_all(folded, '(?s)-[ \t]*\r?\n[ \t]*[a-z]|.') AS l FROM fd)),
     kp AS (SELECT id, n, generate_subscripts(y, 1) AS m, length(x) AS len, unnest(y) AS c FROM (SELECT id, n, x, string_split(x, '') AS y FROM br)),
     fo AS (SELECT id, k - 1 AS pl, row_number() OVER (PARTITION BY id ORDER BY k, i) AS r FROM (SELECT id, k, generate_subscripts(z, 1) AS i, unnest(z) AS c FROM (SELECT id, k, string_split(f, '') AS z FROM ff WHERE f <> ''))),
@@ -101,5 +101,27 @@ def sentence_spans(space: str) -> str:
         WHERE (nx = '' OR regexp_matches(nx, '^{space}')) AND NOT (rtrim(w, '.') IN ({names}) OR regexp_matches(rtrim(w, '.'), '^\pL$'))),
     bd AS (SELECT id, e AS b FROM en UNION SELECT id, n FROM st UNION SELECT id, 0 FROM st),
     sg AS (SELECT id, b AS s, lead(b) OVER (PARTITION BY id ORDER BY b) AS e FROM bd),
-    ok AS (SELECT sg.id, s, e FROM sg JOIN st USING (id) WHERE e > s AND regexp_matches(substr(t, s::BIGINT + 1, (e - s)::BIGINT), '[^\s\x0B\x1c-\x1f]'))
-    SELECT ok.id AS doc_id, a.pl::INTEGER AS "start", (z.pl + 1)::INTEGER AS "end" FROM ok JOIN tx a ON a.id = ok.id AND a.j = s JOIN tx z ON z.id = ok.id AND z.j = e - 1"""
+    ok AS (SELECT sg.id, s, e FROM sg JOIN st USING (id) WHERE e > s AND regexp_matches(substr(t, s::BIGINT + 1, (e - s)::BIGINT), '[^\s\x0B\x1c-\x1f]')),
+    sp AS (SELECT ok.id, a.pl::INTEGER AS "start", (z.pl + 1)::INTEGER AS "end" FROM ok JOIN tx a ON a.id = ok.id AND a.j = s JOIN tx z ON z.id = ok.id AND z.j = e - 1)"""
+
+
+def sentence_spans(space: str) -> str:
+    return f'WITH {_sentences(space)} SELECT id AS doc_id, "start", "end" FROM sp'
+
+
+def stylometry(space: str, zero: list[str]) -> str:
+    """The features of style by grouping: words of the folded text, their sentences by place, marks. Those named in zero need a language model."""
+    words = lambda ws: ", ".join(f"'{w}'" for w in sorted(ws))
+    share = lambda c: f"round(sum(CASE WHEN {c} THEN n ELSE 0 END) / sum(n), 6)::DOUBLE"
+    return rf"""WITH {_sentences(space)},
+    wp AS (SELECT id, q, x, sum(length(x)) OVER (PARTITION BY id ORDER BY q) - length(x) AS b FROM (SELECT id, generate_subscripts(l, 1) AS q, unnest(l) AS x FROM (SELECT id, regexp_extract_all(t, '[A-Za-z0-9]+(?:''[A-Za-z]+)?|[^A-Za-z0-9]+') AS l FROM st))),
+    wo AS (SELECT wp.id, lower(x) AS w, pl FROM wp JOIN tx ON tx.id = wp.id AND tx.j = wp.b WHERE regexp_matches(x, '^[A-Za-z0-9]')),
+    sz AS (SELECT sp.id, sp."start", count(*) AS n FROM sp JOIN wo ON wo.id = sp.id AND wo.pl >= sp."start" AND wo.pl < sp."end" GROUP BY ALL),
+    sm AS (SELECT id, avg(n) AS m, stddev_pop(n) AS sd FROM sz GROUP BY id),
+    wc AS (SELECT id, w, count(*) AS n FROM wo GROUP BY ALL),
+    ws AS (SELECT id, round(count(*) / sum(n), 6)::DOUBLE AS tt, {share("n = 1")} AS hx, {share(f"w IN ({words(FUNCTION_WORDS)})")} AS fw, {share(f"w IN ({words(DISCOURSE_MARKERS)})")} AS dm FROM wc GROUP BY id),
+    mk AS (SELECT id, c, count(*) AS n FROM tx WHERE NOT regexp_matches(c, '^[\pL\pN]') AND NOT regexp_matches(c, '^{space}') GROUP BY ALL),
+    me AS (SELECT id, abs(log2(sum(n)) - sum(n * log2(n)) / sum(n)) AS h FROM mk GROUP BY id)
+    SELECT doc_id, {", ".join(f"0.0::DOUBLE AS {z}" for z in zero)}, coalesce(round(m, 6), 0)::DOUBLE AS sent_len_mean, coalesce(round(sd / m, 6), 0)::DOUBLE AS sent_len_cv, coalesce(tt, 0)::DOUBLE AS type_token_ratio, coalesce(hx, 0)::DOUBLE AS hapax_ratio,
+    coalesce(fw, 0)::DOUBLE AS function_word_ratio, CASE WHEN ws.id IS NULL THEN 0.0 ELSE coalesce(round(h, 6), 0) END::DOUBLE AS punct_entropy, coalesce(dm, 0)::DOUBLE AS discourse_marker_rate, false AS has_likelihood
+    FROM documents LEFT JOIN ws ON ws.id = doc_id LEFT JOIN sm ON sm.id = doc_id LEFT JOIN me ON me.id = doc_id"""
