@@ -9,8 +9,9 @@ batch that is small beside the history is sent to it, not the other way round.
 
 Boundaries at a fixed rate, with hashes of whole chunks, would lose pairs: two texts that are 0.7 similar need have no whole
 chunk in common. So the rate follows the text: the runs that come first in one fixed order are boundaries, as many
-as 1 - SIMILARITY of its distinct runs and one more. Two texts that are that similar then share a boundary, whatever their
-length, repetition or edits. Bounds on length, place and parity of hashed runs thin the candidates without loss.
+as 1 - SIMILARITY of its distinct runs and SHARED more. Two texts that are that similar then have the first SHARED runs they
+share among the boundaries of both, whatever their length, repetition or edits, so pairs with fewer boundaries in common (or fewer than all the
+runs they would have to share) are none. Bounds on length, place and parity of hashed runs thin the candidates further, without loss.
 
 The order puts last the runs that many texts of the first batch hold (counted over one text in SAMPLE; common is what
 at least one in RARE of them holds), then goes by hash. It is stored with the history and never changes. It decides only how many
@@ -40,6 +41,7 @@ GRAM = 5
 SIMILARITY = 0.7
 SAMPLE = 16
 RARE = 2_000
+SHARED = 3
 SENT = 100_000  # rows of two or three numbers each: what is broadcast at most
 
 
@@ -68,7 +70,7 @@ def _signed(batches: Iterator[pd.DataFrame], order: Broadcast, similarity: float
             if len(common) and len(g):
                 at = np.minimum(np.searchsorted(common, g), len(common) - 1)
                 often = np.where(common[at] == g, count[at], 0)
-            n = len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + 1 if len(g) else 0
+            n = min(len(g), len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + SHARED)
             runs.append(g.tobytes()); bits.append(parity(g) if len(g) else b""); chunks.append(g[np.lexsort((g, often))[:n]])
         yield pd.DataFrame({"_id": b["_id"], "batch_no": b["batch_no"], "cls": b["cls"], "total": [len(r) // 8 for r in runs], "bits": bits, "chunks": chunks, "runs": runs})
 
@@ -225,15 +227,18 @@ class History:
         side = lambda d, x, t, p: d.select("chunk", F.col("cls").alias(x), F.col("total").alias(t), F.col("place").alias(p))
         exploded = self._exploded(own)
         b = side(exploded, "cb", "tb", "pb")
-        # from the first boundary they share on, the rest of either text must still hold what they have in common
-        near = F.least(F.col("ta") - F.col("pa"), F.col("tb") - F.col("pb")) >= s / (1 + s) * (F.col("ta") + F.col("tb")) - 1e-6
-        meet = lambda a, b: a.join(b, "chunk").where((F.col("ca") != F.col("cb")) & near).select("ca", "cb")
-        met = meet(side(self._read("chunks"), "ca", "ta", "pa"), sent(b))
+        ta, tb = F.col("ta"), F.col("tb")
+        length = F.least(ta, tb) >= s * F.greatest(ta, tb) - 1e-6
+        # from each of the first SHARED boundaries they share on, the rest of either text must still hold what they have in common, but for those before it
+        near = F.least(ta - F.col("pa"), tb - F.col("pb")) >= s / (1 + s) * (ta + tb) - 1e-6 - (SHARED - 1)
+        enough = F.col("_k") >= F.least(F.lit(SHARED), F.ceil(s * F.greatest(ta, tb) - 1e-6))
+        meet = lambda a, b, which: a.join(b, "chunk").where(which & length & near).groupBy("ca", "cb", "ta", "tb").agg(F.count("*").alias("_k")).where(enough).select("ca", "cb")
+        met = meet(side(self._read("chunks"), "ca", "ta", "pa"), sent(b), F.col("ca") != F.col("cb"))
         fresh = spread_.where("first is not null").select("cls")
         several = rows.agg(F.min("batch_no") < F.max("batch_no")).first()[0]
         if several:  # batches signed together: the later ones are held against the accepted rows of the earlier ones too
             # within the delivery each two meet once, whichever is the earlier; then only those stay that some accepted row of one precedes
-            within = meet(side(exploded, "ca", "ta", "pa"), b).where("ca < cb").distinct()
+            within = materialize(meet(side(exploded, "ca", "ta", "pa"), b, F.col("ca") < F.col("cb")))
             x, y = (spread_.select(F.col("cls").alias(c), F.col("first").alias(f"f{c}"), F.col("last").alias(f"l{c}")) for c in ("ca", "cb"))
             within = materialize(within.join(x, "ca").join(y, "cb").select("ca", "cb", (F.col("fca") < F.col("lcb")).alias("on"), (F.col("fcb") < F.col("lca")).alias("back")).where("on or back"))
             met = met.unionByName(within.where("on").select("ca", "cb")).unionByName(within.where("back").select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
