@@ -16,7 +16,7 @@ from palimpsest.plans.engine import Checked
 VERSION = "1.0"
 # What every report says.
 CAVEATS = (
-    "Shared text is no verdict: quotations, citations and standard wording raise the index for good reasons.",
+    "Shared text by itself decides nothing: quotations, citations and standard wording raise the index for good reasons.",
     "Only the documents of the index were compared, so a low index does not show that a text is original.",
 )
 COLORS = {"human": "#1b6ca8", "unclear": "#6b6b6b", "likely-ai": "#b36b00", "very-likely-ai": "#a3195b"}
