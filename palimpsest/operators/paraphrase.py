@@ -110,7 +110,7 @@ def best_rows(queries: DataFrame, base: DataFrame, k: int, ident: str, vector: s
 
 
 def _matrix(q: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return q["q_id"].to_numpy(), np.array(q["q"].tolist(), float).reshape(len(q), -1)
+    return q["q_id"].to_numpy(), np.array(q["q"].tolist(), float) if len(q) else np.empty((0, 0))
 
 
 def top_k(queries: DataFrame, base: DataFrame, score: Column, k: int, ident: str) -> DataFrame:

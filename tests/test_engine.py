@@ -256,7 +256,7 @@ def test_sql_functions(spark):
 
 def test_align_table_function(spark):
     plans.register(spark)
-    r = spark.sql(f"SELECT * FROM align_texts('{COPIED}', '{SOURCE}')".replace("\n", " ")).collect()
+    r = spark.sql("SELECT * FROM align_texts(:a, :b)", args={"a": COPIED, "b": SOURCE}).collect()
     assert r and r[0]["match_type"] == "verbatim" and r[0]["q1"] - r[0]["q0"] >= 8
     assert spark.sql("SELECT * FROM align_texts(NULL, 'a')").count() == 0
     assert spark.sql("SELECT fnv1a32('ab') AS h, token_hash('') AS z").first()["z"] == 0
