@@ -250,11 +250,13 @@ class History:
         texts = self._read("texts").join(F.broadcast(ids) if few else ids, "cls", "left_semi")
         if several:
             texts = texts.unionByName(own.join(fresh, "cls", "left_semi").join(F.broadcast(ids) if few else ids, "cls", "left_semi").select("cls", "total", "bits", "runs"))
+        mine = needed.select(F.col("cb").alias("cls")).distinct()
+        met_own = own.join(F.broadcast(mine) if mine.count() <= SENT else mine, "cls", "left_semi")
         left = needed.join(texts.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("bits").alias("sa")), "ca")
-        pairs = materialize(left.join(own.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("bits").alias("sb")), "cb")
+        pairs = materialize(left.join(met_own.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("bits").alias("sb")), "cb")
                             .mapInPandas(lambda it: _close(it, s), "ca bigint, cb bigint").distinct())
         found = (pairs.join(texts.select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
-                 .join(own.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
+                 .join(met_own.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
         known = old.select("cls").unionByName(fresh) if several else old.select("cls")
         same = own.select("cls").join(known.distinct(), "cls", "left_semi").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
         return materialize(found.distinct().unionByName(same))
@@ -278,7 +280,8 @@ class History:
         old = self._read("rows")
         new = rows.where("ok").drop("ok").join(old.select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
         fresh = materialize(new.join(old.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.min("_id").alias("_id")))
-        fresh = signed.join(fresh.select("_id"), "_id", "left_semi")
+        ids = fresh.select("_id")
+        fresh = signed.join(F.broadcast(ids) if ids.count() <= SENT else ids, "_id", "left_semi")
         part = uuid.uuid4().hex
         self._exploded(fresh).write.parquet(f"{self.path}/{part}/chunks")
         fresh.select("cls", "total", "bits", "runs").write.parquet(f"{self.path}/{part}/texts")
