@@ -143,6 +143,17 @@ def test_p3_the_same_piece_is_read_alike_whatever_came_before(restorer):
     assert [p3.restore(t, restorer) for t in texts[::-1]][::-1] == a
 
 
+def test_p3_every_language_has_a_dictionary_for_each_script_it_is_written_in(spark):
+    """Few rows, or rows of another script than most of that label, are no reason to have none."""
+    docs = spark.createDataFrame([*[(f"{RU}{i}", "sr") for i in range(3)], (FR, "sr"), ("Η μελέτη.", "el"), (EN, "en")], "text string, lang string")
+    got = p3.dictionaries(docs)
+    assert {(k[:2], s): d.decode() for k, (s, d) in got.items() if s != "cyrillic"} == {("sr", "latin"): FR, ("el", "greek"): "Η μελέτη.", ("en", "latin"): EN}
+    r = p3.Restorer(got)
+    assert [s for s, _ in got.values()].count("cyrillic") == 1 and {k: len(v) for k, v in r.by_script.items()} == {"cyrillic": 1, "latin": 2, "greek": 1}
+    garbled = FR.encode("mac_roman").decode("latin-1")
+    assert p3.restore(garbled, r) == (True, True, FR)
+
+
 def test_p3_table(spark):
     d = spark.createDataFrame([(1, FR.encode().decode("latin-1")), (2, FR), (3, None), (4, ""), (5, "ascii")], "raw_id bigint, text string")
     clean = spark.createDataFrame([(FR * 8, "fr")], "text string, lang string")
