@@ -45,6 +45,17 @@ SHARED = 3
 SENT = 100_000  # rows of two or three numbers each: what is broadcast at most
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The table as written; what was shuffled for it is deleted with that, not when the driver next collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def parity(g: np.ndarray) -> bytes:
     """As many bits as there are runs, to the next power of two; each run flips one. Two of them differ in no more places than the sets do."""
     size = 1 << max(6, (len(g) - 1).bit_length())
@@ -63,7 +74,7 @@ def _signed(batches: Iterator[pd.DataFrame], order: Broadcast, similarity: float
     memo: dict[str, int] = {}
     common, count = order.value
     for b in batches:
-        runs, bits, chunks = [], [], []
+        runs, bits, ends = [], [], []
         for t in b["_t"]:
             g = np.unique(gram_hashes(token_ids(tokens(t), memo), GRAM))
             often = np.zeros(len(g), np.int64)
@@ -71,8 +82,8 @@ def _signed(batches: Iterator[pd.DataFrame], order: Broadcast, similarity: float
                 at = np.minimum(np.searchsorted(common, g), len(common) - 1)
                 often = np.where(common[at] == g, count[at], 0)
             n = min(len(g), len(g) - int(np.ceil(similarity * len(g) - 1e-6)) + SHARED)
-            runs.append(g.tobytes()); bits.append(parity(g) if len(g) else b""); chunks.append(g[np.lexsort((g, often))[:n]])
-        yield pd.DataFrame({"_id": b["_id"], "batch_no": b["batch_no"], "cls": b["cls"], "total": [len(r) // 8 for r in runs], "bits": bits, "chunks": chunks, "runs": runs})
+            runs.append(g[np.lexsort((g, often))]); bits.append(parity(g) if len(g) else b""); ends.append(n)
+        yield pd.DataFrame({"_id": b["_id"], "batch_no": b["batch_no"], "cls": b["cls"], "total": [len(r) for r in runs], "bits": bits, "chunks": ends, "runs": runs})
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +123,6 @@ def _jaccard(batches: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.
     for b in batches:
         keep = []
         for x, y in zip(b["ra"], b["rb"]):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             n = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
         yield b.loc[keep, ["ca", "cb"]]
@@ -145,10 +155,10 @@ class History:
     def __init__(self, spark: SparkSession, path: str, ident: str = "raw_id", similarity: float = SIMILARITY, kind: str = "bigint"):
         self.spark, self.path, self.ident, self.similarity = spark, path, ident, similarity
         self.schemas = {
-            "rows": f"cls bigint, _id {kind}, batch_no int", "chunks": "chunk bigint, cls bigint, total int, place int",
-            "texts": "cls bigint, total int, bits binary, runs binary", "order": "run bigint, n bigint", "parts": "part string",
+            "rows": f"cls bigint, _id {kind}, batch_no int", "chunks": "chunk bigint, place int, cls bigint, total int",
+            "texts": "cls bigint, total int, bits binary, runs array<bigint>", "order": "run bigint, n bigint", "parts": "part string",
         }
-        self.signed = f"_id {kind}, batch_no int, cls bigint, total int, bits binary, chunks array<bigint>, runs binary"
+        self.signed = f"_id {kind}, batch_no int, cls bigint, total int, bits binary, chunks int, runs array<bigint>"  # the first `chunks` of the runs are its chunks
         self._order: Broadcast | None = None
         self._work: dict[int, str] = {}
 
@@ -211,7 +221,8 @@ class History:
 
     @staticmethod
     def _exploded(classes: DataFrame, *more: str) -> DataFrame:
-        return classes.select("cls", "total", *more, F.posexplode("chunks").alias("place", "chunk")).select("chunk", "cls", "total", "place", *more)
+        # what one text's rows share stands last and together: it packs to a few bytes in a shuffle
+        return classes.select("cls", "total", *more, F.posexplode(F.slice("runs", F.lit(1), F.col("chunks"))).alias("place", "chunk")).select("chunk", "place", "cls", "total", *more)
 
     def similar(self, signed: DataFrame, rows: DataFrame) -> DataFrame:
         """(ca, cb): accepted classes, of the history or of a batch signed along, and classes of the signed rows that are equal or similar; written.
@@ -221,10 +232,10 @@ class History:
         old = self._read("rows")
         spread_ = rows.groupBy("cls").agg(F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("first"), F.max("batch_no").alias("last"))
         own = self._classes(signed, rows)
-        small = signed.agg(F.sum(F.size("chunks"))).first()[0] or 0
+        small = signed.agg(F.sum("chunks")).first()[0] or 0
         sent = F.broadcast if small <= SENT else lambda d: d
         s = self.similarity
-        side = lambda d, x, t, p: d.select("chunk", F.col("cls").alias(x), F.col("total").alias(t), F.col("place").alias(p))
+        side = lambda d, x, t, p: d.select("chunk", F.col("place").alias(p), F.col("cls").alias(x), F.col("total").alias(t))
         exploded = self._exploded(own)
         b = side(exploded, "cb", "tb", "pb")
         ta, tb = F.col("ta"), F.col("tb")
@@ -238,28 +249,28 @@ class History:
         several = rows.agg(F.min("batch_no") < F.max("batch_no")).first()[0]
         if several:  # batches signed together: the later ones are held against the accepted rows of the earlier ones too
             # within the delivery each two meet once, whichever is the earlier; then only those stay that some accepted row of one precedes
-            within = materialize(meet(side(exploded, "ca", "ta", "pa"), b, F.col("ca") < F.col("cb")))
+            within = kept(meet(side(exploded, "ca", "ta", "pa"), b, F.col("ca") < F.col("cb")))
             x, y = (spread_.select(F.col("cls").alias(c), F.col("first").alias(f"f{c}"), F.col("last").alias(f"l{c}")) for c in ("ca", "cb"))
-            within = materialize(within.join(x, "ca").join(y, "cb").select("ca", "cb", (F.col("fca") < F.col("lcb")).alias("on"), (F.col("fcb") < F.col("lca")).alias("back")).where("on or back"))
+            within = kept(within.join(x, "ca").join(y, "cb").select("ca", "cb", (F.col("fca") < F.col("lcb")).alias("on"), (F.col("fcb") < F.col("lca")).alias("back")).where("on or back"))
             met = met.unionByName(within.where("on").select("ca", "cb")).unionByName(within.where("back").select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
         met = met.distinct()
-        # signatures and runs of the classes that met, and of no others
-        needed = materialize(met)
-        ids = needed.select(F.col("ca").alias("cls")).distinct()
-        few = ids.count() <= SENT
-        texts = self._read("texts").join(F.broadcast(ids) if few else ids, "cls", "left_semi")
-        if several:
-            texts = texts.unionByName(own.join(fresh, "cls", "left_semi").join(F.broadcast(ids) if few else ids, "cls", "left_semi").select("cls", "total", "bits", "runs"))
-        mine = needed.select(F.col("cb").alias("cls")).distinct()
-        met_own = own.join(F.broadcast(mine) if mine.count() <= SENT else mine, "cls", "left_semi")
-        left = needed.join(texts.select(F.col("cls").alias("ca"), F.col("total").alias("ta"), F.col("bits").alias("sa")), "ca")
-        pairs = materialize(left.join(met_own.select(F.col("cls").alias("cb"), F.col("total").alias("tb"), F.col("bits").alias("sb")), "cb")
-                            .mapInPandas(lambda it: _close(it, s), "ca bigint, cb bigint").distinct())
-        found = (pairs.join(texts.select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
-                 .join(met_own.select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
+        needed = kept(met)
+        texts = self._read("texts")
+        if several:  # those of them that stand on side a are accepted
+            texts = texts.unionByName(own.select("cls", "total", "bits", "runs"))
+
+        def among(d: DataFrame, x: str, ps: DataFrame) -> DataFrame:
+            """The classes of d that stand on that side of the pairs. If they are few (SENT, counted), the list of them is sent and nothing else moves."""
+            ids = ps.select(F.col(x).alias("cls")).distinct()
+            return d.join(F.broadcast(ids) if ids.count() <= SENT else ids, "cls", "left_semi")
+
+        # signatures of the classes that met, then runs of those whose signatures are close, and of no others
+        pairs = kept(close(needed, among(texts, "ca", needed), among(own, "cb", needed), s).distinct())
+        found = (pairs.join(among(texts, "ca", pairs).select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
+                 .join(among(own, "cb", pairs).select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
         known = old.select("cls").unionByName(fresh) if several else old.select("cls")
         same = own.select("cls").join(known.distinct(), "cls", "left_semi").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
-        return materialize(found.distinct().unionByName(same))
+        return kept(found.distinct().unionByName(same))
 
     def pairs(self, signed: DataFrame, rows: DataFrame) -> DataFrame:
         """(ident_a, ident_b) of signed rows."""

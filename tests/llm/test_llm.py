@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -271,6 +272,34 @@ def test_p4_a_part_that_was_not_finished_is_never_read(spark, tmp_path):
     assert h._read("rows").count() == 1 and h._read("chunks").count() == 3 and rows(h.check(d.where("batch_no = 1"))) == {(0, 1)}
 
 
+def test_p4_signed_rows_hold_each_run_once(spark, tmp_path):
+    """Chunks are the first of a text's runs, not a second list beside them."""
+    d, _, _ = p4_rows(spark, [(" ".join(f"w{k}x{i}" for i in range(2000)), 0) for k in range(50)])
+    h = p4.History(spark, str(tmp_path / "h"))
+    signed = h.sign(d.coalesce(1))
+    assert all(x["total"] == len(set(x["runs"])) == 1996 for x in signed.collect())
+    assert h._exploded(signed).count() == 50 * (1996 - 1398 + p4.SHARED)
+    assert sum(p.stat().st_size for p in (tmp_path / "h" / "signed").rglob("*.parquet")) < 1.15 * 8 * 1996 * 50
+
+
+def test_p4_what_a_step_shuffled_is_deleted_once_it_is_written(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        blocks = disk.getAllBlocks()
+        return {n for n in (blocks.apply(i).name() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key, None), shuffled()
+    out = p4.kept(spark.range(1000).groupBy(F.pmod("id", F.lit(7)).alias("k")).count())
+    for _ in range(50):  # they go in the background
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 7 and spark.conf.get(key, None) == was
+
+
 def test_p4_parity_never_exceeds_the_difference():
     r = np.random.default_rng(1)
     for n, m in ((1, 1), (50, 65), (64, 90), (200, 257), (1000, 1400)):
