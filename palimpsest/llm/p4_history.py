@@ -23,6 +23,7 @@ copies; rows without an accepted doc_id never stand on the earlier side, rows of
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -45,15 +46,26 @@ SHARED = 3
 SENT = 100_000  # rows of two or three numbers each: what is broadcast at most
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The table as written; what was shuffled for it is deleted with that, not when the driver next collects its garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a table written in here is deleted with that, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
     try:
-        return materialize(df)
+        yield
     finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    with tidy(df.sparkSession):
+        return materialize(df)
+
+
+def listed(ids: DataFrame) -> DataFrame:
+    """A list to join with: if it is short (SENT, counted), it is sent, and nothing else moves."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids
 
 
 def parity(g: np.ndarray) -> bytes:
@@ -212,12 +224,10 @@ class History:
         ok = accepted.select(F.col(self.ident).alias("_id")).distinct().withColumn("ok", F.lit(True))
         return materialize(r.join(ok, "_id", "left").select("cls", "_id", "batch_no", F.coalesce("ok", F.lit(False)).alias("ok")))
 
-    def _classes(self, signed: DataFrame, rows: DataFrame) -> DataFrame:
-        """One row of each class, without the copies. Which rows are copies is found by ids; if they are few (SENT, counted), the list of them is sent and nothing else moves."""
+    def _copies(self, rows: DataFrame) -> DataFrame:
+        """Ids of all rows of a class but one."""
         one = rows.groupBy("cls").agg(F.min("_id").alias("_one"), F.count("*").alias("_n")).where("_n > 1")
-        copies = materialize(rows.select("cls", "_id").join(one, "cls").where("_id <> _one").select("_id").distinct())
-        copies = F.broadcast(copies) if copies.count() <= SENT else copies
-        return signed.join(copies, "_id", "left_anti")
+        return kept(rows.select("cls", "_id").join(one, "cls").where("_id <> _one").select("_id").distinct())
 
     @staticmethod
     def _exploded(classes: DataFrame, *more: str) -> DataFrame:
@@ -231,7 +241,11 @@ class History:
         """
         old = self._read("rows")
         spread_ = rows.groupBy("cls").agg(F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("first"), F.max("batch_no").alias("last"))
-        own = self._classes(signed, rows)
+        copies = self._copies(rows)
+        without = listed(copies)
+        # one row of each class; chunks and signatures, each without the runs, which would move with them if the copies are too many to be sent
+        own = signed.select("_id", "cls", "total", "chunks", F.slice("runs", F.lit(1), F.col("chunks")).alias("runs")).join(without, "_id", "left_anti")
+        signatures = signed.select("_id", "cls", "total", "bits").join(without, "_id", "left_anti").drop("_id")
         small = signed.agg(F.sum("chunks")).first()[0] or 0
         sent = F.broadcast if small <= SENT else lambda d: d
         s = self.similarity
@@ -256,18 +270,18 @@ class History:
         met = met.distinct()
         needed = kept(met)
         texts = self._read("texts")
+        accepted = texts.select("cls", "total", "bits")
         if several:  # those of them that stand on side a are accepted
-            texts = texts.unionByName(own.select("cls", "total", "bits", "runs"))
-
-        def among(d: DataFrame, x: str, ps: DataFrame) -> DataFrame:
-            """The classes of d that stand on that side of the pairs. If they are few (SENT, counted), the list of them is sent and nothing else moves."""
-            ids = ps.select(F.col(x).alias("cls")).distinct()
-            return d.join(F.broadcast(ids) if ids.count() <= SENT else ids, "cls", "left_semi")
-
-        # signatures of the classes that met, then runs of those whose signatures are close, and of no others
-        pairs = kept(close(needed, among(texts, "ca", needed), among(own, "cb", needed), s).distinct())
-        found = (pairs.join(among(texts, "ca", pairs).select(F.col("cls").alias("ca"), F.col("runs").alias("ra")), "ca")
-                 .join(among(own, "cb", pairs).select(F.col("cls").alias("cb"), F.col("runs").alias("rb")), "cb").mapInPandas(lambda it: _jaccard(it, s), "ca bigint, cb bigint"))
+            accepted = accepted.unionByName(signatures)
+        among = lambda d, x: d.join(listed(needed.select(F.col(x).alias("cls")).distinct()), "cls", "left_semi")
+        # signatures of the classes that met
+        pairs = kept(close(needed, among(accepted, "ca"), among(signatures, "cb"), s).distinct())
+        # then runs of those whose signatures are close, and of no others; one table is moved at a time if they are too many to be sent
+        ids = kept(pairs.select(F.col("ca").alias("cls")).unionByName(pairs.select(F.col("cb").alias("cls"))).distinct())
+        ones = kept(rows.select("cls", "_id").join(ids, "cls", "left_semi").join(copies, "_id", "left_anti").select("_id").distinct())
+        mine = kept(signed.select("_id", "cls", "runs").join(listed(ones), "_id", "left_semi")).select("cls", "runs").dropDuplicates(["cls"])
+        theirs = kept(texts.select("cls", "runs").join(listed(ids), "cls", "left_semi"))
+        found = confirmed(pairs, mine.unionByName(theirs.join(mine.select("cls"), "cls", "left_anti")), s)
         known = old.select("cls").unionByName(fresh) if several else old.select("cls")
         same = own.select("cls").join(known.distinct(), "cls", "left_semi").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
         return kept(found.distinct().unionByName(same))
@@ -290,13 +304,13 @@ class History:
         """Appends the accepted ones of the signed rows; of copies the chunks are stored once."""
         old = self._read("rows")
         new = rows.where("ok").drop("ok").join(old.select("_id"), "_id", "left_anti").dropDuplicates(["_id"])
-        fresh = materialize(new.join(old.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.min("_id").alias("_id")))
-        ids = fresh.select("_id")
-        fresh = signed.join(F.broadcast(ids) if ids.count() <= SENT else ids, "_id", "left_semi")
+        fresh = kept(new.join(old.select("cls"), "cls", "left_anti").groupBy("cls").agg(F.min("_id").alias("_id")))
+        fresh = signed.join(listed(fresh.select("_id")), "_id", "left_semi")
         part = uuid.uuid4().hex
-        self._exploded(fresh).write.parquet(f"{self.path}/{part}/chunks")
-        fresh.select("cls", "total", "bits", "runs").write.parquet(f"{self.path}/{part}/texts")
-        new.select("cls", "_id", "batch_no").write.parquet(f"{self.path}/{part}/rows")
+        with tidy(self.spark):
+            self._exploded(fresh).write.parquet(f"{self.path}/{part}/chunks")
+            fresh.select("cls", "total", "bits", "runs").write.parquet(f"{self.path}/{part}/texts")
+            new.select("cls", "_id", "batch_no").write.parquet(f"{self.path}/{part}/rows")
         self.spark.createDataFrame([(part,)], "part string").coalesce(1).write.mode("append").parquet(f"{self.path}/parts")
 
 

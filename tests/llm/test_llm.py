@@ -272,6 +272,16 @@ def test_p4_a_part_that_was_not_finished_is_never_read(spark, tmp_path):
     assert h._read("rows").count() == 1 and h._read("chunks").count() == 3 and rows(h.check(d.where("batch_no = 1"))) == {(0, 1)}
 
 
+def test_p4_lists_too_long_to_be_sent_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(p4, "SENT", -1)
+    monkeypatch.setattr(p4, "listed", lambda ids: ids.hint("merge"))
+    rs = history_rows()
+    d = spark.createDataFrame([r for r in rs if r[1]], "raw_id bigint, doc_id string, text string, batch_no int")
+    accepted = {r[1] for r in rs if r[1] and r[1] != "d3"}
+    want = brute_repeats([r for r in rs if r[1]], accepted)
+    assert want and rows(p4.repeats(d, spark.createDataFrame([(a,) for a in accepted], "doc_id string"))) == want
+
+
 def test_p4_signed_rows_hold_each_run_once(spark, tmp_path):
     """Chunks are the first of a text's runs, not a second list beside them."""
     d, _, _ = p4_rows(spark, [(" ".join(f"w{k}x{i}" for i in range(2000)), 0) for k in range(50)])
