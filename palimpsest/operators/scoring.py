@@ -34,9 +34,22 @@ def apply_exclusions(matches: DataFrame, exclusions: DataFrame, cfg: ScoringConf
     return matches.join(best, ["sub_id", "c0", "c1"], "left").withColumn("excluded", F.col("exclusion_reason").isNotNull())
 
 
+def judged(matches: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """As apply_exclusions(), of matches that hold the exclusions near them; no join."""
+    size = F.greatest(F.lit(1), F.col("c1") - F.col("c0"))
+    near = F.filter("near", lambda x: x["kind"].isin(*cfg.kinds)) if cfg.kinds else F.slice("near", 1, 0)
+    best = F.array_max(F.transform(near, lambda x: F.struct(
+        ((F.least("c1", x["end"]) - F.greatest("c0", x["start"])) / size).alias("cover"), (-x["start"]).alias("a"), (-x["end"]).alias("b"), x["kind"].alias("kind"))))
+    m = matches.withColumn("_x", best).drop("near")
+    m = m.withColumn("exclusion_reason", F.when(F.col("_x.cover") >= cfg.exclusion_ratio, F.col("_x.kind"))).drop("_x")
+    return m.withColumn("excluded", F.col("exclusion_reason").isNotNull())
+
+
 def covered(matches: DataFrame) -> DataFrame:
-    """(sub_id, src_id, pos) of matches that are not excluded, distinct: only matched positions are ever a row each."""
-    return matches.where("not excluded").select("sub_id", "src_id", F.explode(F.sequence("q0", "q1")).alias("pos")).distinct()
+    """(sub_id, src_id, pos) of matches that are not excluded, distinct: only matched positions are ever a row each. Without the positions in lost, if matches have it."""
+    at = F.sequence("q0", "q1")
+    at = F.array_except(at, "lost") if "lost" in matches.columns else at
+    return matches.where("not excluded").select("sub_id", "src_id", F.explode(at).alias("pos")).distinct()
 
 
 def token_mask(tokens: str | Column, exclusions: str | Column, kinds: list[str]) -> Column:
@@ -64,7 +77,8 @@ def breakdown(matches: DataFrame, cover: DataFrame, sizes: DataFrame) -> DataFra
     """
     words = cover.groupBy("sub_id", "src_id").agg(F.count("*").alias("words"))
     # who claims a position: the best source that holds it; a minimum, so no sort of a position's holders
-    owner = cover.join(words, ["sub_id", "src_id"]).groupBy("sub_id", "pos").agg(F.min(F.struct((-F.col("words")).alias("w"), "src_id")).alias("x"))
+    # a file of positions is a hundredth of them in memory, so its size must not have them broadcast
+    owner = cover.join(words.hint("merge"), ["sub_id", "src_id"]).groupBy("sub_id", "pos").agg(F.min(F.struct((-F.col("words")).alias("w"), "src_id")).alias("x"))
     unique = owner.groupBy("sub_id", F.col("x.src_id").alias("src_id")).agg(F.count("*").alias("unique_words"))
     kinds = matches.where("not excluded").groupBy("sub_id", "src_id").agg(F.max("similarity").alias("best_similarity"), F.array_sort(F.collect_set("match_type")).alias("match_types"))
     out = words.join(unique, ["sub_id", "src_id"], "left").na.fill(0, ["unique_words"]).join(sizes.select("sub_id", "scorable_words"), "sub_id").join(kinds, ["sub_id", "src_id"])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.config import FingerprintConfig
 from palimpsest.functions import kernels
+from palimpsest.operators.corpus import FINGERPRINT
 
-NORMALIZED = "text string, tokens array<struct<tok:string,start:int,end:int>>, sentences array<struct<start:int,end:int>>, exclusions array<struct<start:int,end:int,kind:string>>"
+EXCLUSIONS = "array<struct<start:int,end:int,kind:string>>"
+NORMALIZED = "text string, tokens array<struct<tok:string,start:int,end:int>>, sentences array<struct<start:int,end:int>>, exclusions " + EXCLUSIONS
 
 
 def normalized(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,6 +34,40 @@ def normalized(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t")).mapInPandas(run, f"doc_id {kind}, {NORMALIZED}")
 
 
+def prepared(docs: DataFrame, cfg: FingerprintConfig, ident: str = "doc_id", text: str = "text", kinds: Sequence[str] = ()) -> DataFrame:
+    """As corpus.fingerprints(), plus gaps, exclusions and lost, from one pass over each text.
+
+    gaps: starts and ends of the tokens in the stored text, in turn, each as the distance to the one before; small numbers,
+    which files and shuffles squeeze. lost: positions of the tokens that overlap an exclusion of the given kinds. Texts go
+    on in parts of 500, so a worker holds no more of them at once.
+    """
+    kind = docs.schema[ident].dataType.simpleString()
+
+    def row(i, t: str) -> tuple:
+        n = kernels.normalize(t)
+        words, places = (n.words, n.spans) if cfg.normalize else ([], [])
+        if not cfg.normalize:
+            for m in kernels.TOKEN.finditer(t):
+                words.append(m[0].lower())
+                places.append(m.span())
+        pos, value, sig = kernels.fingerprint(words, cfg)
+        at = np.array(places, np.int32).reshape(-1, 2)
+        out = np.zeros(len(at), bool)
+        for s, e, k in n.exclusions:
+            if k in kinds:
+                out |= (s < at[:, 1]) & (at[:, 0] < e)
+        return (i, len(words), words, pos.astype("int32"), value, sig, np.diff(at.ravel(), prepend=np.int32(0)),
+                [{"start": s, "end": e, "kind": k} for s, e, k in n.exclusions], np.flatnonzero(out).astype("int32"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                rows = [row(i, t or "") for i, t in zip(b["_id"][at:at + 500], b["_t"][at:at + 500])]
+                yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "tokens", "pos", "value", "sig", "gaps", "exclusions", "lost"])
+
+    return docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t")).mapInPandas(run, f"doc_id {kind}, {FINGERPRINT}, gaps array<int>, exclusions {EXCLUSIONS}, lost array<int>")
+
+
 def merge_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, end): spans of one key that overlap or touch become one."""
     before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

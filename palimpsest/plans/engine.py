@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import PRIME, PROFILES, AlignConfig, DetectorProfile, FingerprintConfig, ScoringConfig
 from palimpsest.functions import kernels, native
 from palimpsest.operators import align, detect, paraphrase, retrieve, scoring, spans
-from palimpsest.operators.corpus import Corpus, fingerprints
+from palimpsest.operators.corpus import Corpus
 from palimpsest.operators.cut import written
 from palimpsest.sources import files
 
@@ -61,23 +60,16 @@ class Engine:
         exclude(doc_id): sources left out; min_shared: fingerprints a candidate must share, other than the index's own.
         """
         cfg = self.corpus.cfg
-        subs = cut(fingerprints(submissions, cfg, ident, text))
+        subs = cut(spans.prepared(submissions, cfg, ident, text, self.scoring.kinds))
         docs = self.corpus.docs  # load() gives a table; a corpus built in memory is computed where it is used
         cand = cut(retrieve.candidates(subs, docs, cfg, exclude, min_shared, self.corpus.inverted, empty=False))
-        seed = retrieve.seeds(subs, docs, cand)
-        found = align.passages(cand, seed, subs, docs, cfg, self.alignment)
-        norm = cut(spans.normalized(submissions, ident, text)) if cfg.normalize else _stored(submissions, ident, text)
-        m = scoring.admitted(found, self.scoring)
-        # characters of the first and last token
-        places = norm.select(F.col("doc_id").alias("sub_id"), "tokens").dropDuplicates(["sub_id"])
-        m = m.join(places, "sub_id").withColumn("c0", F.get("tokens", F.col("q0"))["start"]).withColumn("c1", F.get("tokens", F.col("q1"))["end"]).drop("tokens")
+        found = align.located(cand, subs, docs, cfg, self.alignment)
         label = self.corpus.meta.select(F.col("doc_id").alias("src_id"), native.source_label("title", "url", "doc_id").alias("source_label"))
-        excl = norm.select("doc_id", F.explode("exclusions").alias("x")).select("doc_id", "x.start", "x.end", "x.kind")
-        m = cut(scoring.apply_exclusions(m, excl, self.scoring).join(label, "src_id", "left"))
-        # what counts is a mask beside the tokens, so the tokens themselves are never rows of a shuffle
-        mask = norm.select(F.col("doc_id").alias("sub_id"), scoring.token_mask("tokens", "exclusions", self.scoring.kinds).alias("mask")).dropDuplicates(["sub_id"])
-        sizes = cut(mask.select("sub_id", F.size("mask").alias("total_words"), F.size(F.filter("mask", lambda x: x)).alias("scorable_words")))
-        cover = cut(scoring.covered(m).join(mask, "sub_id").where(F.get("mask", F.col("pos"))).drop("mask"))
+        held = cut(scoring.judged(scoring.admitted(found, self.scoring), self.scoring).join(label, "src_id", "left"))
+        m = held.drop("lost")
+        sizes = cut(subs.groupBy(F.col("doc_id").alias("sub_id")).agg(F.first(F.struct(F.col("n_tokens").alias("total_words"), (F.col("n_tokens") - F.size("lost")).alias("scorable_words"))).alias("x")).select("sub_id", "x.*"))
+        # positions of a match that do not count are kept beside it, so what is covered needs no join
+        cover = cut(scoring.covered(held))
         return Checked(m, scoring.similarity_index(cover, sizes), scoring.breakdown(m, cover, sizes), submissions)
 
     def analyze(self, submissions: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,22 +84,6 @@ class Engine:
         return self.check(submissions, **kw), self.add(submissions, on_duplicate="ignore", kind="student")
 
 
-def _stored(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """As spans.normalized(), with the tokens of the stored text."""
-    kind = docs.schema[ident].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, t in zip(b["_id"], b["_t"]):
-                n = kernels.normalize(t or "")
-                rows.append((i, n.text, [{"tok": m[0].lower(), "start": m.start(), "end": m.end()} for m in kernels.TOKEN.finditer(t or "")],
-                             [{"start": s, "end": e} for s, e in n.sentences], [{"start": s, "end": e, "kind": k} for s, e, k in n.exclusions]))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "tokens", "sentences", "exclusions"])
-
-    return docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t")).mapInPandas(run, f"doc_id {kind}, {spans.NORMALIZED}")
-
-
 def quick_ai_check(texts: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = 25) -> DataFrame:
     """The writing index alone, of texts with at least min_words tokens."""
     return detect.analyze(texts.where(F.size(native.tokens(text)) >= min_words), PROFILES["hc3-style-v1"], ident, text)

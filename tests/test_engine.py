@@ -1,8 +1,10 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.config import CALIBRATED, PROFILES, DetectorProfile, FingerprintConfig, ScoringConfig
-from palimpsest.operators import corpus, detect, paraphrase, retrieve, scoring, spans
+from palimpsest.operators import align, corpus, detect, paraphrase, retrieve, scoring, spans
 from palimpsest.plans import engine as plans
 from palimpsest.plans import report
 from palimpsest.sources import files, providers
@@ -286,3 +288,32 @@ def test_table_function(spark):
     plans.register(spark)
     assert [tuple(r) for r in spark.sql("SELECT * FROM tokenize('The bank')").collect()] == [(0, "the", 0, 3), (1, "bank", 4, 8)]
     assert spark.sql("SELECT * FROM tokenize(NULL)").count() == 0
+
+
+def test_positions_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    spark.range(50_000).selectExpr("'s' AS sub_id", "'a' AS src_id", "cast(id AS int) AS pos").write.parquet(str(tmp_path / "cover"))
+    cover = spark.read.parquet(str(tmp_path / "cover"))
+    m = spark.createDataFrame([("s", "a", 1.0, "verbatim", False)], "sub_id string, src_id string, similarity double, match_type string, excluded boolean")
+    sizes = spark.createDataFrame([("s", 60_000, 60_000)], "sub_id string, total_words int, scorable_words int")
+    b = scoring.breakdown(m, cover, sizes)
+    assert "SortMergeJoin [sub_id" in b._jdf.queryExecution().executedPlan().toString() and b.first()["unique_words"] == 50_000
+
+
+def test_matches_carry_their_places_and_exclusions(spark):
+    quoted = f'{COPIED} He wrote: "{SOURCE[:300].replace(chr(34), "")}" and no more.'
+    subs = spark.createDataFrame([("s", quoted), ("t", COPIED), ("e", ""), ("n", None)], "doc_id string, text string")
+    e = build(spark, {"a": SOURCE})
+    p = spans.prepared(subs, e.corpus.cfg, kinds=e.scoring.kinds)
+    norm = {r["doc_id"]: r for r in spans.normalized(subs).collect()}
+    for r in p.collect():
+        at, n = list(itertools.accumulate(r["gaps"])), norm[r["doc_id"]]
+        assert list(zip(at[::2], at[1::2])) == [(t["start"], t["end"]) for t in n["tokens"]] and r["exclusions"] == n["exclusions"]
+        assert r["lost"] == [i for i, t in enumerate(n["tokens"]) if any(x["start"] < t["end"] and t["start"] < x["end"] for x in n["exclusions"])]
+    pairs = spark.createDataFrame([(d, "a") for d in norm], "sub_id string, src_id string")
+    m = align.located(pairs, p, e.corpus.docs, e.corpus.cfg, e.alignment)
+    want = align.passages(pairs, retrieve.seeds(p, e.corpus.docs, pairs), p, e.corpus.docs, e.corpus.cfg, e.alignment)
+    keys = ("sub_id", "src_id", "q0", "q1", "s0", "s1", "similarity", "match_type")
+    assert sorted(tuple(x[k] for k in keys) for x in m.collect()) == sorted(tuple(x[k] for k in keys) for x in want.collect()) and m.count() > 1
+    x = p.select("doc_id", F.explode("exclusions").alias("x")).select("doc_id", "x.*")
+    got, want = ({(r["sub_id"], r["q0"], r["excluded"], r["exclusion_reason"]) for r in d.collect()} for d in (scoring.judged(m, e.scoring), scoring.apply_exclusions(m, x, e.scoring)))
+    assert got == want
