@@ -1,3 +1,8 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from palimpsest.functions import kernels
+from palimpsest.operators import blocks
 from palimpsest.operators.corpus import choose_bands
 from palimpsest.plans import catalog
 from tests import brute
@@ -34,3 +39,23 @@ def test_paraphrase_search_takes_all_items(spark, sf):
     some = {(r[0], r[1], r[3]): r[2] for r in got if r[0] % 100 == 0}
     want = {(r[0], r[1], r[3]): r[2] for r in map(tuple, catalog.paraphrase_topk(spark, sf).collect())}
     assert some.keys() == want.keys() and all(abs(some[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_all_pairs_of_the_threshold_are_found_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    cfg, rng = catalog.CFG, np.random.default_rng(1)
+    # sets of 20 to 60 out of 60 values that are frequent and 400 that are not; some share 10 to 13 % and no band
+    sets = {i: set(rng.choice(60, rng.integers(2, 8), replace=False).tolist()) | set((60 + rng.choice(400, rng.integers(18, 52), replace=False)).tolist()) for i in range(1, 141)} | {200: {1}, 201: set()}
+    df = spark.createDataFrame([(i, sorted(v)) for i, v in sets.items()], "doc_id bigint, value array<bigint>").repartition(3)
+    sig = {i: kernels.minhash(np.array(sorted(v), np.int64), cfg.n_perm, cfg.seed) for i, v in sets.items()}
+    bands, rows = choose_bands(cfg.n_perm, cfg.threshold)
+    both = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
+    meet = {(a, b) for a, b in both if (sig[a] == sig[b]).reshape(bands, rows).all(axis=1).any()}
+    near = {p for p, (n, m) in both.items() if n / m >= cfg.threshold}
+    assert {tuple(r) for r in blocks.pairs(df, cfg).collect()} == meet and len(near - meet) > 50
+    got = [tuple(r) for r in blocks.pairs(df, cfg, jaccard=True).collect()]
+    assert len(got) == len(meet | near) and {r[:2]: r[3:] for r in got} == {p: both[p] for p in meet | near}
+    assert all(r[2] == (sig[r[0]] == sig[r[1]]).sum() for r in got)
+    monkeypatch.setattr(blocks, "PART", 50)
+    assert sorted(tuple(r) for r in blocks.pairs(df, cfg, jaccard=True).collect()) == sorted(got)
+    assert blocks.pairs(df.where(F.lit(False)), cfg, jaccard=True).count() == 0
